@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from acquira.llm import bpe, mixing, quality, token_counts
+from acquira.llm import bpe, langid, mixing, quality, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,11 +31,18 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = langid.identify(docs.withColumn("held_out", langid.fold(F.col("doc_id"), 4) == 2), train=~F.col("held_out"))
+    return out.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op4_line_quality": op4_line_quality,
     "op8_source_mix": op8_source_mix,
     "op9_token_counts": op9_token_counts,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE: dict[str, str] = {
