@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acquira.llm import ann, bpe, langid, mixing, quality, token_counts
+from acquira.llm import ann, bpe, langid, mixing, quality, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean_lines(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.archive(table(spark, sf_dir, "pages"), min_bytes=0)
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "timestamp", "part", "place")
+
+
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), queries=F.col("id") % 50 == 0, k=5)
 
@@ -44,6 +49,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op4_line_quality": op4_line_quality,
+    "op5_warc_index": op5_warc_index,
     "op6_nearest": op6_nearest,
     "op8_source_mix": op8_source_mix,
     "op9_token_counts": op9_token_counts,
