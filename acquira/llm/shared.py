@@ -190,3 +190,50 @@ def send(block: int, hashes: np.ndarray, n: int, *more: np.ndarray) -> pa.Table:
     at = ranges_of(hashes, n)
     parts = [i for i in range(n) if at[i + 1] > at[i]]
     return question_table(block, parts, [pack(*(a[at[i]:at[i + 1]] for a in (hashes, *more))) for i in parts])
+
+
+# ---------------------------------------------------------------- keys of 48 bits in 32
+
+
+def short_keys(hashes: np.ndarray) -> np.ndarray:
+    return hashes >> _U(16)
+
+
+def key_ranges(n: int) -> np.ndarray:
+    """First of the 65,536 buckets (top 16 of 48 bits) of each of n ranges; n + 1 places."""
+    return (np.arange(n + 1, dtype=np.int64) * 65536 + n - 1) // n
+
+
+def pack_counts(c: np.ndarray) -> bytes:
+    """Non-negative integers in the fewest of 1, 2, 4 or 8 bytes, after a byte that says which."""
+    top = int(c.max()) if len(c) else 0
+    width = 1 if top < 256 else 2 if top < 65536 else 4 if top < 2**32 else 8
+    return bytes([width]) + c.astype(f"<u{width}").tobytes()
+
+
+def unpack_counts(blob: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
+    width = blob[at]
+    return np.frombuffer(blob, f"<u{width}", n, at + 1).astype(np.int64), at + 1 + width * n
+
+
+def pack_keys(keys: np.ndarray, first: int, last: int, *counts: np.ndarray) -> bytes:
+    """Ascending 48-bit keys of buckets first to last as the buckets' sizes and the low 32 bits, then counts for each key."""
+    sizes = np.bincount((keys >> _U(32)).astype(np.int64) - first, minlength=last - first)
+    return b"".join([np.uint32(len(keys)).tobytes(), pack_counts(sizes), keys.astype("<u4").tobytes(), *map(pack_counts, counts)])
+
+
+def unpack_keys(blob: bytes, first: int, last: int, n_counts: int) -> list[np.ndarray]:
+    m = int(np.frombuffer(blob, "<u4", 1)[0])
+    sizes, at = unpack_counts(blob, 4, last - first)
+    keys = (np.repeat(np.arange(first, last, dtype=np.int64).astype(_U), sizes) << _U(32)) | np.frombuffer(blob, "<u4", m, at).astype(_U)
+    at, out = at + 4 * m, [keys]
+    for _ in range(n_counts):
+        c, at = unpack_counts(blob, at, m)
+        out.append(c)
+    return out
+
+
+def cut_keys(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n ranges' first buckets, and where each range starts in ascending keys (n + 1 places both)."""
+    edges = key_ranges(n)
+    return edges, np.searchsorted(keys, edges.astype(_U) << _U(32)).astype(np.int64)
