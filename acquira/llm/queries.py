@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acquira.llm import ann, bpe, langid, lm, mixing, quality, token_counts, warc
+from acquira.llm import ann, bpe, langid, lm, mixing, quality, suffix, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), queries=F.col("id") % 50 == 0, k=5)
 
 
+def op7_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix.remove_repeats(table(spark, sf_dir, "documents"), length=100)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, cap=2.0)
 
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_quality": op4_line_quality,
     "op5_warc_index": op5_warc_index,
     "op6_nearest": op6_nearest,
+    "op7_repeated_strings": op7_repeated_strings,
     "op8_source_mix": op8_source_mix,
     "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
