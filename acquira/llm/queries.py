@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acquira.llm import ann, bpe, langid, lm, mixing, quality, suffix, token_counts, warc
+from acquira.llm import ann, bpe, langid, lm, mixing, ngram_join, quality, suffix, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), size=5, percent=80)
+
+
 def op3_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = langid.fold(F.col("doc_id"), 10)
     out = lm.score(table(spark, sf_dir, "documents"), train=fold != 0, tune=fold == 1)
@@ -59,6 +63,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_jaccard_components": op2_jaccard_components,
     "op3_interpolated_lm": op3_interpolated_lm,
     "op4_line_quality": op4_line_quality,
     "op5_warc_index": op5_warc_index,
