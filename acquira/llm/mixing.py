@@ -41,8 +41,8 @@ def targets(sizes: DataFrame, *, weights: Sequence[int], share: float, cap: floa
     return s.select("source", "source_size", F.least("limit", F.col("level") * F.col("weight")).alias("target"))
 
 
-def mix(df: DataFrame, *, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """id, source, size, source_size, target, taken of every row.
+def mix(df: DataFrame, *, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: Sequence[str] = ()) -> DataFrame:
+    """id, source, size, source_size, target, taken of every row, then the columns named in ``carry``.
 
     Every document is taken target / source_size times: the whole part for all, the rest for those first by a seeded hash until
     the source's target is met, where the last one gives only the words that are missing. Sums by slices of the hash decide for
@@ -50,7 +50,7 @@ def mix(df: DataFrame, *, weights: Sequence[int] = (3, 1, 2), share: float = 1.5
     Null texts have size 0 and take nothing; null sources are one source, the last. Repeated rows count each. An empty table stays empty.
     """
     h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
-    d = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    d = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)))
     d = materialize(d.withColumn("h", h).withColumn("slice", (F.col("h") % SLICES).cast("int")))
     sums = d.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     goal = targets(sums.groupBy("source").agg(F.sum("slice_size").alias("source_size")), weights=weights, share=share, cap=cap)
@@ -63,17 +63,27 @@ def mix(df: DataFrame, *, weights: Sequence[int] = (3, 1, 2), share: float = 1.5
     rows = _by_source(d, goal, "left")
     at_edge = F.coalesce(F.col("slice") == F.col("edge"), F.lit(False))
     extra = F.when(F.col("slice") < F.col("edge"), F.col("size")).otherwise(F.lit(0))
-    names = ["id", "source", "size", "source_size", "target", "whole"]
+    names = ["id", "source", "size", "source_size", "target", "whole", *(f"carried_{i}" for i in range(len(carry)))]
     plain = rows.where(~at_edge).select(*names, extra.alias("extra"))
     in_order = Window.partitionBy("source").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("rest") - F.col("before") - F.coalesce(F.sum("size").over(in_order), F.lit(0))
     cut = rows.where(at_edge).select(*names, F.greatest(F.lit(0), F.least("size", left)).alias("extra"))
     return plain.unionByName(cut).select(
         F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target",
-        (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"),
+        (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"), *(F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)),
     )
 
 
+def draw(mixed: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """The mix itself: a row for each whole repetition of a document, and one with the first words of a document cut at the edge."""
+    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
+    rest = F.col("taken") - copies * F.col("size")
+    whole = mixed.where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).drop("copy")
+    core = F.split(F.btrim(F.col(text_col), F.lit(" \t\n\x0b\x0c\r")), "[\\x20\\x09-\\x0D]+")
+    cut = mixed.where((F.col("size") > 0) & (rest > 0)).withColumn(text_col, F.array_join(F.slice(core, F.lit(1), rest.cast("int")), " "))
+    return whole.unionByName(cut)
+
+
 def _by_source(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
     """Joined on source, where null equals null; right's other columns are added."""
     key = lambda s: F.struct(s.isNull().alias("none"), F.coalesce(s, F.lit("")).alias("name"))

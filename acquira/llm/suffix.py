@@ -12,6 +12,7 @@ equal ranks are equal strings, exactly.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from acquira.llm.shared import BLOCKS_PER_PARTITION, BYTE_VALUES, _power_table, column_bytes, cut_keys, key_ranges, materialize, mix, pack_keys, shuffle_partitions, unpack_keys, write_blocks
 
@@ -137,16 +139,16 @@ def _rows(block: int, which: int, rows: list[tuple[int, bytes]]) -> pa.Table:
     return pa.table([pa.array([block] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int32()), pa.array([which] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], _ROWS.names)
 
 
-def remove_repeats(df: DataFrame, *, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_bytes, n_removed, n_spans and kept (binary) of every row.
+def remove_repeats(df: DataFrame, *, length: int = 100, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """id, n_bytes, n_removed, n_spans and kept (binary) of every row, then the columns named in ``carry``.
 
     A byte goes if a string of ``length`` bytes that covers it also starts earlier: in a row with a smaller id, or earlier in the
     same row. Strings never cross rows and are judged on the input. Null texts are empty; null ids come after all others; rows
-    with equal ids are in the order of their texts. Other columns are not carried. ``length`` is 32 at least.
+    with equal ids are in the order of their texts. ``length`` is 32 at least.
     """
     spark = df.sparkSession
     n = min(shuffle_partitions(spark), 65536)
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)))
     n_blocks = n * BLOCKS_PER_PARTITION
     cuts = docs.agg(F.percentile_approx("id", [i / n_blocks for i in range(1, n_blocks)], 20 * n_blocks)).first()[0] if n_blocks > 1 else None
     blocks = write_blocks(docs, _block_of(sorted(set(cuts or [])), F.col("id")))
@@ -248,11 +250,11 @@ def remove_repeats(df: DataFrame, *, length: int = 100, id_col: str = "doc_id",
         cut = np.searchsorted(block_no, np.arange(1, len(order)))
         return pa.table([t["block"].take(pa.array(order)), t["part"], t["round"], pa.array([x.tobytes() for x in np.split(answer, cut)], pa.binary())], _ROWS.names)
 
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())])
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType()), *(f for f in blocks.schema if f.name.startswith("carried_"))])
 
     def finish(t: pa.Table, got: pa.Table) -> pa.Table:
         if not len(t):
-            return pa.table([pa.array([], k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())], schema.names)
+            return pa.Table.from_batches([], to_arrow_schema(schema))
         t, raw, offsets, p = load(t)
         one, place, code, unsure = open_phrases(raw, p, got)
         change = np.zeros(len(raw) + 1, np.int32)
@@ -297,10 +299,10 @@ def remove_repeats(df: DataFrame, *, length: int = 100, id_col: str = "doc_id",
         kept = raw[~out]
         kept_at = np.concatenate([[0], np.cumsum(np.diff(offsets) - removed)]).astype(np.int32)
         column = pa.Array.from_buffers(pa.binary(), len(t), [None, pa.py_buffer(kept_at.tobytes()), pa.py_buffer(kept.tobytes())])
-        return pa.table([t["id"], pa.array(np.diff(offsets)), pa.array(removed.astype(np.int64)), pa.array(spans.astype(np.int64)), column], schema.names)
+        return pa.table([t["id"], pa.array(np.diff(offsets)), pa.array(removed.astype(np.int64)), pa.array(spans.astype(np.int64)), column, *(t[c] for c in schema.names[5:])], schema.names)
 
     by_block = lambda d: d.groupBy("block")
     one = materialize(by_block(blocks).applyInArrow(ask_phrases, _ROWS).groupBy("part").applyInArrow(judge_phrases, _ROWS))
     two = materialize(by_block(blocks).cogroup(by_block(one)).applyInArrow(ask_strings, _ROWS).groupBy("part").applyInArrow(judge_strings, _ROWS))
     out = by_block(blocks).cogroup(by_block(one.unionByName(two))).applyInArrow(finish, schema)
-    return out.withColumnRenamed("id", id_col)
+    return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept", *(F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)))
