@@ -19,9 +19,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Blocks for each shuffle partition: several small ones even out what the buckets hold.
-BLOCKS_PER_PARTITION = 3
-
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _rng = np.random.default_rng(20240517)
@@ -65,9 +62,28 @@ def write_blocks(df: DataFrame, block: Column) -> DataFrame:
     return spark.table(name)
 
 
+def block_ids(n: int) -> list[int]:
+    """n ascending block numbers of which each falls into a bucket of its own, of n (Spark deals buckets by Murmur3 of the number)."""
+    rotate = lambda x, r: (x << np.uint32(r)) | (x >> np.uint32(32 - r))
+    ids = np.arange(n * (int(np.log(n + 1)) + 12), dtype=np.uint32)
+    h = rotate(rotate(ids * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593) ^ np.uint32(42), 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(4)
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    bucket = (h ^ (h >> np.uint32(16))).view(np.int32).astype(np.int64) % n
+    have, first = np.unique(bucket, return_index=True)
+    spare = np.setdiff1d(np.arange(len(ids)), first)[: n - len(have)]  # a bucket that none falls into stays empty
+    return np.sort(ids[np.concatenate([first, spare])]).astype(int).tolist()
+
+
+def block_of(place: Column, n: int) -> Column:
+    """The number of the place-th block (from 0) of n."""
+    return F.element_at(F.array(*[F.lit(i) for i in block_ids(n)]), place.cast("int") + 1)
+
+
 def hashed_block(spark: SparkSession, key: str = "doc_id") -> Column:
-    n = shuffle_partitions(spark) * BLOCKS_PER_PARTITION
-    return F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int")
+    n = shuffle_partitions(spark)
+    return block_of(F.pmod(F.xxhash64(F.col(key)), F.lit(n)), n)
 
 
 # ---------------------------------------------------------------- Arrow columns as bytes

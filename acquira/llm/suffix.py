@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from acquira.llm.shared import BLOCKS_PER_PARTITION, BYTE_VALUES, _power_table, column_bytes, cut_keys, key_ranges, materialize, mix, pack_keys, shuffle_partitions, unpack_keys, write_blocks
+from acquira.llm.shared import BYTE_VALUES, _power_table, block_of, column_bytes, cut_keys, key_ranges, materialize, mix, pack_keys, shuffle_partitions, unpack_keys, write_blocks
 
 _U = np.uint64
 GRAM = 16
@@ -121,7 +121,7 @@ def suffix_ranks(text: np.ndarray, length: int) -> np.ndarray:
     return rank
 
 
-def _block_of(bounds: list[int], key: Column) -> Column:
+def _place_of(bounds: list[int], key: Column) -> Column:
     """How many of the ascending bounds are at most the key, counted in two steps; a null key is above all."""
     if not bounds:
         return F.lit(0)
@@ -149,9 +149,9 @@ def remove_repeats(df: DataFrame, *, length: int = 100, id_col: str = "doc_id",
     spark = df.sparkSession
     n = min(shuffle_partitions(spark), 65536)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)))
-    n_blocks = n * BLOCKS_PER_PARTITION
+    n_blocks = shuffle_partitions(spark)
     cuts = docs.agg(F.percentile_approx("id", [i / n_blocks for i in range(1, n_blocks)], 20 * n_blocks)).first()[0] if n_blocks > 1 else None
-    blocks = write_blocks(docs, _block_of(sorted(set(cuts or [])), F.col("id")))
+    blocks = write_blocks(docs.withColumn("place", _place_of(sorted(set(cuts or [])), F.col("id"))), block_of(F.col("place"), n_blocks))
 
     def load(t: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, Phrases]:
         t = t.take(pa.compute.sort_indices(t, sort_keys=[("id", "ascending"), ("text", "ascending")], null_placement="at_end"))
