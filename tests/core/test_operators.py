@@ -92,3 +92,67 @@ def test_text_rules(spark):
         text.parse_quota(F.lit("a:1;b:c:2;bad")).alias("q"), text.alias_id(F.lit("000000021740")).alias("a"), text.canonical_name(F.lit(" sofa ")).alias("c"), vec.entropy(F.array(F.lit(0.25), F.lit(0.25), F.lit(0.25), F.lit(0.25))).alias("u"),
     ).first()
     assert (r.q, r.a, r.c) == ({"a": 1, "b:c": 2}, "900000021740", "couch") and math.isclose(r.u, 1)
+
+
+def test_power_allocation():
+    from acquira.operators.sequential import power_allocation
+
+    assert power_allocation({"a": 10000, "b": 1000, "c": 100}, total=300) == {"a": 100, "b": 100, "c": 100}
+    got = power_allocation({"head": 262465, "tail": 1294}, total=50, alpha=1)
+    assert sum(got.values()) == 50 and got["tail"] >= 1
+    assert power_allocation({"a": 3, "b": 100}, total=50) == {"a": 3, "b": 47}
+    assert sum(power_allocation({"a": 5, "b": 6, "c": 7}, total=2, alpha=1).values()) == 2 and power_allocation({"a": 0}, total=5) == {}
+
+
+def test_k_centre_opens_the_uncovered(spark):
+    import numpy as np
+    from acquira.operators.sequential import k_centre
+
+    e = np.eye(3)
+    pool = values(spark, [(i, f"i{i}", 1, 0.0, e[i].tolist()) for i in range(3)], "pos int, image_id string, cost int, tie double, embedding array<double>")
+    assert k_centre(pool, budget=1, reference=e[:2])["image_id"].tolist() == ["i2"]
+    first = k_centre(pool, budget=3)
+    assert first["distance"].isna().tolist()[0] and len(first) == 3
+
+
+def test_emit_is_a_permutation_and_charges_openings(spark):
+    from acquira.operators.sequential import emit
+
+    pool = values(spark, [(0, 1, 0.9, "a", 2), (1, 1, 0.8, "a", 2), (2, 2, 0.7, "b", 1), (3, -1, 0.95, "c", 1)], "pos int, cluster int, entropy double, image_id string, cost int")
+    got = emit(pool, {1: 2.5, 2: 1.0})
+    assert got["pos"].tolist() == [0, 2, 1, 3] and got["paid"].tolist() == [True, True, True, False]
+
+
+def test_herding_starts_at_the_mean(spark):
+    from acquira.operators.sequential import herding
+
+    rows = values(spark, [("c", 0, [0.0, 3.0]), ("c", 1, [0.0, 1.1]), ("c", 2, [0.0, -1.0])], "label string, pos int, embedding array<double>")
+    assert {r.step: r.pos for r in herding(rows, "label").collect()}[1] == 1
+
+
+def test_image_memory_covers_the_demand(spark):
+    from acquira.operators.sequential import image_memory
+
+    counts = values(spark, [("a", "x", 1), ("b", "x", 2), ("b", "y", 1), ("c", "y", 1)], "image_id string, class_name string, n int")
+    assert image_memory(counts, {"x": 2, "y": 1}) == ["b"] and image_memory(counts, {"x": 1, "y": 1}, priority=["c", "a", "b"]) == ["c", "a"]
+
+
+def test_static_arm_ignores_rounds(spark):
+    from acquira.operators import campaign
+
+    pool = campaign.terms(values(spark, [(i, "i", 0.1 + i % 5 / 10, 0.2, 0.5 + i % 3 / 10, [1.0, 2.0 + i % 4], i % 6) for i in range(60)], "pos long, image_id string, w double, h double, objectness double, q array<double>, cluster int"))
+    one = {r.pos for r in campaign.select(pool, campaign.ARMS["prior_rarity"], budget=20, rounds=1).collect()}
+    six = campaign.select(pool, campaign.ARMS["prior_rarity"], budget=20, rounds=6).collect()
+    assert {r.pos for r in six} == one and [sum(r.round == i for r in six) for i in range(6)] == [4, 4, 3, 3, 3, 3]
+
+
+def test_dbscan(spark, tmp_path):
+    import math as m
+
+    from acquira.operators import clusters
+
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    at = lambda d: [m.cos(m.radians(d)), m.sin(m.radians(d))]
+    rows = values(spark, [(i, at(d)) for i, d in enumerate([0, 1, 2, 3, 6, 90, 91, 92, 200])], "vec_id int, embedding array<double>")
+    got = {r.vec_id: (r.status, r.cluster) for r in clusters.dbscan(rows, eps=1 - m.cos(m.radians(3.2)), minimum=3).collect()}
+    assert got[8] == ("noise", -1) and got[0] == ("core", 0) and got[4] == ("border", 0) and got[6] == ("core", 5)
