@@ -1,4 +1,4 @@
 """Every registered query: importing the modules of plans fills the registry."""
 
-from acquira.plans import analytics, core, reports, selection  # noqa: F401
+from acquira.plans import analytics, core, more, reports, selection  # noqa: F401
 from acquira.plans.registry import ORACLE, QUERIES  # noqa: F401
