@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from acquira.llm.shared import column_bytes
+from acquira.llm.shared import column_bytes, small_batches
 
 DIMENSIONS = 1 << 13
 #: Tasks that add up the counts, so rows that reach the driver: this many for each language.
@@ -159,6 +159,7 @@ def identify(df: DataFrame, *, train: Column, id_col: str = "doc_id", text_col:
     Null texts and texts without a letter are ``und`` with score 0, as is everything if no row could be learned from. Predictions
     use the text alone. Columns of df that have one of the three names give way; repeated rows and null ids stay.
     """
+    small_batches(df.sparkSession)
     model = learn(df.where(train), text_col=text_col, lang_col=lang_col)
     df = df.drop("lang_pred", "score", "ambiguous")
     shared = df.sparkSession.sparkContext.broadcast(model)
