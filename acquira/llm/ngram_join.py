@@ -23,7 +23,7 @@ from acquira.llm.shared import column_bytes, cut_keys, hashed_block, key_ranges,
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
 #: Members of a group that one task compares with at most, and documents that it compares with them.
-MEMBERS, VISITORS = 256, 2048
+MEMBERS, VISITORS = 256, 256
 
 
 def shingle_sets(texts, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
