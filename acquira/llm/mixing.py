@@ -58,16 +58,15 @@ def mix(df: DataFrame, *, weights: Sequence[int] = (3, 1, 2), share: float = 1.5
     goal = goal.withColumn("rest", F.round("target").cast("long") - F.col("whole") * F.col("source_size"))
     run = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     edge = sums.withColumn("before", F.coalesce(F.sum("slice_size").over(run), F.lit(0)))
-    edge = _by_source(edge, goal).where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("slice_size")))
-    goal = _by_source(goal, edge.select("source", F.col("slice").alias("edge"), "before"), "left")
-    rows = _by_source(d, goal, "left")
-    at_edge = F.coalesce(F.col("slice") == F.col("edge"), F.lit(False))
-    extra = F.when(F.col("slice") < F.col("edge"), F.col("size")).otherwise(F.lit(0))
+    edge = materialize(_by_source(edge, goal).where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("slice_size"))))
+    goal = materialize(_by_source(goal, edge.select("source", F.col("slice").alias("edge")), "left"))
     names = ["id", "source", "size", "source_size", "target", "whole", *(f"carried_{i}" for i in range(len(carry)))]
-    plain = rows.where(~at_edge).select(*names, extra.alias("extra"))
+    rows = _by_source(d, goal, "left").where(~F.coalesce(F.col("slice") == F.col("edge"), F.lit(False)))
+    plain = rows.select(*names, F.when(F.col("slice") < F.col("edge"), F.col("size")).otherwise(F.lit(0)).alias("extra"))
+    at_edge = _by_source(d, edge.drop("slice_size"), "inner", "slice")
     in_order = Window.partitionBy("source").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("rest") - F.col("before") - F.coalesce(F.sum("size").over(in_order), F.lit(0))
-    cut = rows.where(at_edge).select(*names, F.greatest(F.lit(0), F.least("size", left)).alias("extra"))
+    cut = at_edge.select(*names, F.greatest(F.lit(0), F.least("size", left)).alias("extra"))
     return plain.unionByName(cut).select(
         F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target",
         (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"), *(F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)),
@@ -84,10 +83,10 @@ def draw(mixed: DataFrame, *, text_col: str = "text") -> DataFrame:
     return whole.unionByName(cut)
 
 
-def _by_source(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
-    """Joined on source, where null equals null; right's other columns are added."""
+def _by_source(left: DataFrame, right: DataFrame, how: str = "inner", *more: str) -> DataFrame:
+    """Joined on source, where null equals null, and on the columns ``more``; right's other columns are added."""
     key = lambda s: F.struct(s.isNull().alias("none"), F.coalesce(s, F.lit("")).alias("name"))
-    return left.withColumn("_key", key(F.col("source"))).join(right.withColumn("_key", key(F.col("source"))).drop("source"), "_key", how).drop("_key")
+    return left.withColumn("_key", key(F.col("source"))).join(right.withColumn("_key", key(F.col("source"))).drop("source"), ["_key", *more], how).drop("_key")
 
 
 def oracle(weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 0) -> str:
