@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acquira.functions import vec
@@ -27,7 +27,7 @@ def nearest_medoid(reference: DataFrame, medoids: DataFrame, *, vector: str = "e
     return medoids.select("cluster").join(hits, "cluster", "left").select("cluster", F.coalesce("references", F.lit(0)).alias("references"))
 
 
-def order(pool: DataFrame, reference: DataFrame, *, budget: float, k: int = 20, seed: int = 0) -> pd.DataFrame:
+def order(pool: DataFrame, reference: DataFrame, *, budget: float, k: int = 20, seed: int = 0) -> DataFrame:
     """seq, pos, paid: cluster the gated pool, set quotas by what the reference lacks, emit by turns.
 
     pool: pos, entropy, image_id, cost, embedding. Clusters are of k-means; the smallest size that the budget can serve makes
@@ -36,12 +36,13 @@ def order(pool: DataFrame, reference: DataFrame, *, budget: float, k: int = 20,
     d = clusters.kmeans(pool.drop("cluster"), k=k, seed=seed)
     n, mean = pool.agg(F.count("*"), F.avg("cost")).first()
     least = least_cluster(n, budget, mean or 1.0)
-    d = d.withColumn("_size", F.count("*").over(Window.partitionBy("cluster"))).withColumn("cluster", F.when(F.col("_size") >= least, F.col("cluster")).otherwise(-1)).drop("_size")
+    large = d.groupBy("cluster").agg(F.count("*").alias("_size"))
+    d = d.join(F.broadcast(large), "cluster").withColumn("cluster", F.when(F.col("_size") >= least, F.col("cluster")).otherwise(-1)).drop("_size")  # one row a cluster
     centres = clusters.medoids(d, key="pos").join(pool.select(F.col("pos").alias("medoid"), "embedding"), "medoid").select("cluster", "embedding")
     refs = nearest_medoid(reference, centres)
     sizes = d.where("cluster >= 0").groupBy("cluster").agg(F.count("*").alias("candidates")).join(refs, "cluster")
     quota = {r.cluster: r.quota for r in sampling.quotas(sizes, budget=budget).collect() if r.quota}
-    return sequential.emit(d.select("pos", "cluster", "entropy", "image_id", "cost"), quota)
+    return sequential.emitted(d.select("pos", "cluster", "entropy", "image_id", "cost"), quota)
 
 
 def rounds(pool: DataFrame, reference: DataFrame, *, budget: int, n: int, k: int = 20) -> pd.DataFrame:
@@ -57,18 +58,14 @@ def rounds(pool: DataFrame, reference: DataFrame, *, budget: int, n: int, k: int
             break
         allowed = budget * (r + 1) // n - spent
         walk = order(left, ref, budget=max(allowed, 1), k=k)
-        rows = {x.pos: (x.image_id, x.cost) for x in sequential.bounded(left.select("pos", "image_id", "cost")).itertuples()}
-        seen: set = set()
-        for pos in walk["pos"]:
-            image, cost = rows[pos]
-            if image in seen:
-                continue
-            if cost > allowed:
+        # an image costs 1 or more, so the walk ends among the first allowed + 1 of them
+        first = walk.join(left.select("pos", "image_id", "cost"), "pos").groupBy("image_id").agg(F.min(F.struct("seq", "cost")).alias("first"))
+        for x in first.orderBy("first.seq").limit(allowed + 1).collect():
+            if x.first.cost > allowed:
                 break
-            seen.add(image)
-            allowed -= cost
-            spent += cost
-            out.append((r + 1, image, cost))
+            allowed -= x.first.cost
+            spent += x.first.cost
+            out.append((r + 1, x.image_id, x.first.cost))
         got = pool.join(spark.createDataFrame([(x[1],) for x in out], "image_id long"), "image_id", "left_semi")
         ref = reference.select("embedding").unionByName(got.select("embedding"))
     return pd.DataFrame(out, columns=["round", "image_id", "cost"])

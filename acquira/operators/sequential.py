@@ -1,4 +1,9 @@
-"""Choices in which each step needs the one before it: bounded tables, decided in one task or on the driver."""
+"""Choices in which each step needs the one before it.
+
+What a row is worth only falls as a choice goes on. So a pass over the whole table brings its first rows to the driver, which
+chooses among them as long as its best row comes before all that stayed behind; then the next pass follows. Results are those of
+a choice among all rows, and only rows of a pass are held.
+"""
 
 from __future__ import annotations
 
@@ -8,11 +13,16 @@ from collections.abc import Mapping
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that a sequential choice takes at most; larger pools have to be gated first.
+from acquira.functions import ranking
+
+#: Rows that a choice on the driver alone takes at most.
 MOST_ROWS = 200_000
+#: Rows that a pass brings to the driver.
+AHEAD = 4096
 
 
 def bounded(df: DataFrame) -> pd.DataFrame:
@@ -69,27 +79,61 @@ def herding(df: DataFrame, group: str, *, vector: str = "embedding", order: str
     return df.select(group, order, vector).groupBy(group).applyInPandas(run, f"{group} {df.schema[group].dataType.simpleString()}, {order} {kind}, step int")
 
 
-def k_centre(pool: DataFrame, *, budget: int, reference: np.ndarray | None = None, vector: str = "embedding") -> pd.DataFrame:
+def _distances(pool: DataFrame, centres: np.ndarray | None, vector: str) -> DataFrame:
+    """pos, image_id, tie, far: the cosine distance to the nearest centre, infinite without any."""
+    d = pool.select("pos", "image_id", F.col("tie").cast("double").alias("tie"), vector)
+    names = ["pos", "image_id", "tie", "far"]
+    shared = pool.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches):
+        for batch in batches:
+            x = batch.column(3).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(_far(x, shared.value), pa.float64())], names)
+
+    return d.mapInArrow(run, d.drop(vector).withColumn("far", F.lit(0.0)).schema)
+
+
+def _far(x: np.ndarray, centres: np.ndarray | None) -> np.ndarray:
+    """Rounded, so that equal rows tie wherever they are computed."""
+    return np.full(len(x), np.inf) if centres is None or not len(x) else np.round(1 - (x @ centres.T).max(1), 9) + 0.0
+
+
+def k_centre(pool: DataFrame, *, budget: int, reference: np.ndarray | None = None, vector: str = "embedding", ahead: int = AHEAD) -> pd.DataFrame:
     """image_id, anchor, distance, cost in the order of opening: always the row farthest from what is covered.
 
     pool: pos, image_id, cost, tie, embedding (unit). Ties go to the larger ``tie``, then the smaller position. An opened image
     covers its rows; the first image that can't be paid ends it. Distances are NULL while nothing is covered.
     """
-    rows = bounded(pool).sort_values("pos").reset_index(drop=True)
-    x = np.stack([np.asarray(v, float) for v in rows[vector]]) if len(rows) else np.zeros((0, 1))
-    far = np.full(len(rows), np.inf) if reference is None or not len(reference) else 1 - (x @ np.asarray(reference, float).T).max(1)
-    free, left, out = np.ones(len(rows), bool), budget, []
-    image, tie, cost = rows["image_id"].to_numpy(), rows["tie"].to_numpy(float), rows["cost"].to_numpy()
-    while free.any():
-        open_ = np.flatnonzero(free)
-        best = min(open_, key=lambda i: (-far[i], -tie[i], i))
-        if cost[best] > left:
+    pool = pool.select("pos", "image_id", "cost", "tie", vector).persist()
+    centres = None if reference is None or not len(reference) else np.asarray(reference, float)
+    left, out, more = budget, [], True
+    while more:
+        shut = pool.where(~F.col("image_id").isin([x[0] for x in out]))
+        top = _distances(shut, centres, vector).orderBy(F.desc("far"), F.desc("tie"), "pos").limit(ahead).collect()
+        if not top:
             break
-        left -= cost[best]
-        out.append((image[best], rows["pos"][best], far[best] if np.isfinite(far[best]) else None, cost[best]))
-        own = np.flatnonzero(image == image[best])
-        free[own] = False
-        far = np.minimum(far, 1 - (x @ x[own].T).max(1))
+        # every row that isn't brought comes after the last of these, and distances only fall
+        last = (-top[-1].far, -top[-1].tie, top[-1].pos) if len(top) == ahead else None
+        names = pool.sparkSession.createDataFrame([(i,) for i in {r.image_id for r in top}], pool.select("image_id").schema)
+        rows = shut.join(F.broadcast(names), "image_id", "left_semi").toPandas().sort_values("pos").reset_index(drop=True)
+        x = np.stack([np.asarray(v, float) for v in rows[vector]])
+        far, free = _far(x, centres), np.ones(len(rows), bool)
+        image, tie, cost, pos = rows["image_id"].to_numpy(), rows["tie"].to_numpy(float), rows["cost"].to_numpy(), rows["pos"].to_numpy()
+        while free.any():
+            open_ = np.flatnonzero(free)
+            best = open_[np.lexsort((pos[open_], -tie[open_], -far[open_]))[0]]
+            if last is not None and (-far[best], -tie[best], pos[best]) > last:
+                break
+            if cost[best] > left:
+                more = False
+                break
+            left -= cost[best]
+            out.append((image[best].item() if hasattr(image[best], "item") else image[best], pos[best], far[best] if np.isfinite(far[best]) else None, cost[best]))
+            own = image == image[best]
+            free[own] = False
+            centres = x[own] if centres is None else np.concatenate([centres, x[own]])
+            far = np.minimum(far, _far(x, x[own]))
+    pool.unpersist()
     return pd.DataFrame(out, columns=["image_id", "anchor_pos", "distance", "cost"])
 
 
@@ -110,36 +154,52 @@ def greedy_batch(pool: DataFrame, *, quota: int, mu: float, shortlist: int = 20,
 
 
 def emit(pool: DataFrame, quota: Mapping[int, float]) -> pd.DataFrame:
-    """pos in the order of emission and whether a quota paid for it: clusters in turn, by quota, give their next by entropy.
+    """``emitted`` in its order, on the driver."""
+    return emitted(pool, quota).orderBy("seq").toPandas()
+
+
+def emitted(pool: DataFrame, quota: Mapping[int, float], *, ahead: int = 1000) -> DataFrame:
+    """seq, pos in the order of emission and whether a quota paid for it: clusters in turn, by quota, give their next by entropy.
 
     pool: pos, cluster, entropy, image_id, cost. A pick is charged to its cluster only if it opens an image; clusters leave when
-    they are empty or spent. All other rows follow by entropy.
+    they are empty or spent. All other rows follow by entropy. Quotas pay for few rows, so only the first of each cluster are
+    brought to the driver, more if a cluster runs out of them; the others are numbered where they are.
     """
-    rows = bounded(pool)
-    queues = {c: [] for c in quota}
-    for r in rows.itertuples():
-        if r.cluster in queues:
-            heapq.heappush(queues[r.cluster], (-r.entropy, r.pos, r.image_id, r.cost))
-    purse, seen, paid = dict(quota), set(), []
-    turn = sorted((c for c in quota if queues[c] and quota[c] > 0), key=lambda c: (-quota[c], c))
-    while turn:
-        for c in turn:
-            _, pos, image, cost = heapq.heappop(queues[c])
-            paid.append(pos)
-            if image not in seen:
-                seen.add(image)
-                purse[c] -= cost
-        turn = [c for c in turn if queues[c] and purse[c] > 0]
-    rest = rows[~rows["pos"].isin(paid)].sort_values(["entropy", "pos"], ascending=[False, True])["pos"].tolist()
-    return pd.DataFrame({"seq": range(1, len(rows) + 1), "pos": paid + rest, "paid": [True] * len(paid) + [False] * len(rest)})
-
-
-def image_memory(counts: DataFrame, demand: Mapping[str, int], *, priority: list | None = None) -> list:
+    funded = [c for c in quota if quota[c] > 0]
+    heads = pool.where(F.col("cluster").isin(funded)).select("pos", "cluster", "entropy", "image_id", "cost")
+    heads = heads.withColumn("rn", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("entropy"), "pos")))
+    while True:
+        queues: dict = {c: [] for c in funded}
+        for r in heads.where(F.col("rn") <= ahead).collect():
+            queues[r.cluster].append((-r.entropy, r.pos, r.image_id, r.cost))
+        cut = {c for c in funded if len(queues[c]) == ahead}
+        for q in queues.values():
+            heapq.heapify(q)
+        purse, seen, paid = dict(quota), set(), []
+        turn = sorted((c for c in funded if queues[c]), key=lambda c: (-quota[c], c))
+        short = False
+        while turn and not short:
+            for c in turn:
+                _, pos, image, cost = heapq.heappop(queues[c])
+                paid.append(pos)
+                if image not in seen:
+                    seen.add(image)
+                    purse[c] -= cost
+            short = any(c in cut and not queues[c] and purse[c] > 0 for c in turn)
+            turn = [c for c in turn if queues[c] and purse[c] > 0]
+        if not short:
+            break
+        ahead *= 4
+    kind = pool.schema["pos"].dataType.simpleString()
+    first = pool.sparkSession.createDataFrame([(i, p, True) for i, p in enumerate(paid, 1)], f"seq long, pos {kind}, paid boolean")
+    rest = pool.select("pos", "entropy").join(F.broadcast(first.select("pos")), "pos", "left_anti")
+    rest = ranking.row_numbers(rest, ["entropy", "pos"], "rn", descending=True)
+    return first.unionByName(rest.select((F.col("rn") + len(paid)).alias("seq"), "pos", F.lit(False).alias("paid")))
+
+
+def image_memory(counts: DataFrame, demand: Mapping[str, int], *, priority: list | None = None, ahead: int = AHEAD) -> list:
     """Images that cover the demand: always the one that meets most of what is missing (or in the order of priority, if it helps)."""
-    rows = bounded(counts.orderBy("image_id", "class_name"))
     held: dict = {}
-    for r in rows.itertuples():
-        held.setdefault(r.image_id, {})[r.class_name] = r.n
     missing, out = dict(demand), []
     gain = lambda i: sum(min(n, missing.get(c, 0)) for c, n in held[i].items())
 
@@ -150,20 +210,32 @@ def image_memory(counts: DataFrame, demand: Mapping[str, int], *, priority: list
                 missing[c] = max(0, missing[c] - n)
 
     if priority is not None:
+        for r in bounded(counts.orderBy("image_id", "class_name")).itertuples():
+            held.setdefault(r.image_id, {})[r.class_name] = r.n
         for i in priority:
             if any(missing.values()) and gain(i):
                 take(i)
         return out
-    # gains only fall, so the top of a heap of old gains is the best once its gain is as it was
-    order = [(-gain(i), i) for i in held]
-    heapq.heapify(order)
-    while order and any(missing.values()):
-        old, i = heapq.heappop(order)
-        now = -gain(i)
-        if now == 0:
-            continue
-        if now == old:
-            take(i)
-        else:
-            heapq.heappush(order, (now, i))
+    images = counts.groupBy("image_id").agg(F.collect_list(F.struct("class_name", "n")).alias("held")).persist()
+    while any(missing.values()):
+        want = F.create_map(*[F.lit(x) for c, m in missing.items() if m for x in (c, m)])
+        meets = F.aggregate("held", F.lit(0).cast("long"), lambda s, h: s + F.least(h["n"], F.coalesce(F.element_at(want, h["class_name"]), F.lit(0))))
+        top = images.where(~F.col("image_id").isin(out)).withColumn("gain", meets).where("gain > 0").orderBy(F.desc("gain"), "image_id").limit(ahead).collect()
+        if not top:
+            break
+        # every image that isn't brought comes after the last of these, and gains only fall
+        last = (-top[-1].gain, top[-1].image_id) if len(top) == ahead else None
+        held = {r.image_id: {h.class_name: h.n for h in r.held} for r in top}
+        # the top of a heap of old gains is the best once its gain is as it was
+        order = [(-r.gain, r.image_id) for r in top]
+        while order and any(missing.values()):
+            old, i = heapq.heappop(order)
+            now = -gain(i)
+            if now == old and last is not None and (old, i) > last:
+                break
+            if now == old:
+                take(i)
+            elif now:
+                heapq.heappush(order, (now, i))
+    images.unpersist()
     return out

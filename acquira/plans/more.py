@@ -78,11 +78,11 @@ def reference(spark, sf):
 
 @query()
 def distribution_aware_order(spark, sf):
-    pool = gated_pool(spark, sf).withColumn("entropy", F.round("u", 9))
-    return spark.createDataFrame(allocation.order(pool, reference(spark, sf), budget=200), "seq long, pos long, paid boolean")
+    pool = gated_pool(spark, sf).withColumn("entropy", F.round("u", 9)).select("pos", "entropy", "image_id", "cost", "embedding").persist()
+    return allocation.order(pool, reference(spark, sf), budget=200)
 
 
 @query()
 def distribution_aware_rounds(spark, sf):
-    pool = gated_pool(spark, sf).withColumn("entropy", F.round("u", 9))
+    pool = gated_pool(spark, sf).withColumn("entropy", F.round("u", 9)).select("pos", "entropy", "image_id", "cost", "embedding").persist()
     return spark.createDataFrame(allocation.rounds(pool, reference(spark, sf), budget=120, n=2), "round int, image_id long, cost long")

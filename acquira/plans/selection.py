@@ -7,10 +7,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from acquira.functions import vec
-from acquira.operators import clusters, sampling, sequential
+from acquira.operators import clusters, gates, sampling, sequential
 from acquira.plans.core import by_admissibility, r6, scored
 from acquira.plans.registry import query
 from acquira.sources import tables as t
+from acquira.sources.shared import written
 
 
 def counts(spark, sf):
@@ -84,12 +85,15 @@ def herding(spark, sf):
     return sequential.herding(t.read(spark, sf, "embeddings").select("label", F.col("vec_id").alias("pos"), "embedding"), "label")
 
 
-def gated_pool(spark, sf, rows: int = 2000):
-    """The best rows by admissibility with vectors, costs and clusters: what sequential selection works on."""
+def gated_pool(spark, sf, share: float = 0.3):
+    """What survives suppression and is in the top share by admissibility, with vectors, costs and clusters: what sequential selection works on."""
     p = t.proposals(spark, sf)
-    top = by_admissibility(spark, sf).orderBy(F.desc("a"), "pos").limit(rows)
+    kept = gates.suppress(by_admissibility(spark, sf), F.col("a")).where("kept").select("pos", "image_id", "vec_id", "objectness", "a", "u", "l_linestatus").persist()  # the gate reads it more than once
+    top = gates.admissible(kept, "a", share).where("in_gate").drop("in_gate").join(t.image_cost(p, counts(spark, sf)), "image_id")
+    top = written(top)
+    kept.unpersist()
     e = t.read(spark, sf, "embeddings").select("vec_id", vec.unit(F.col("embedding")).alias("embedding"))
-    return top.join(e, "vec_id").join(t.image_cost(p, counts(spark, sf)), "image_id").withColumn("cluster", F.col("vec_id") % 20)
+    return top.join(e, "vec_id").withColumn("cluster", F.col("vec_id") % 20)
 
 
 @query()
@@ -105,15 +109,14 @@ def greedy_batch(spark, sf):
 
 @query()
 def emit_order(spark, sf):
-    pool = gated_pool(spark, sf).withColumn("entropy", F.round("u", 9))
+    pool = gated_pool(spark, sf).withColumn("entropy", F.round("u", 9)).select("pos", "cluster", "entropy", "image_id", "cost", "l_linestatus").persist()
     q = {r.cluster: r.quota for r in sampling.quotas(pool.groupBy("cluster").agg(F.count("*").alias("candidates"), F.count(F.when(F.col("l_linestatus") == "F", 1)).alias("references")), budget=200).collect()}
-    return spark.createDataFrame(sequential.emit(pool.select("pos", "cluster", "entropy", "image_id", "cost"), q), "seq long, pos long, paid boolean")
+    return sequential.emitted(pool, q)
 
 
 @query()
 def set_cover_memory(spark, sf):
-    pool = gated_pool(spark, sf).select("image_id").distinct()
-    c = counts(spark, sf).join(pool, "image_id", "left_semi")
+    c = counts(spark, sf).persist()
     n = {r.class_name: r.n for r in c.groupBy("class_name").agg(F.sum("n").alias("n")).orderBy("class_name").collect()}
     return spark.createDataFrame(pd.DataFrame({"image_id": sequential.image_memory(c, sequential.power_allocation(n, total=200, alpha=0.5))}), "image_id long")
 

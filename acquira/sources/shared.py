@@ -4,9 +4,17 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a local folder only where it is unset."""
     return spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="acquira-")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as checkpointed, so that the plans of many steps over it stay short."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
+    return df.checkpoint()
