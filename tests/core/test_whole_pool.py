@@ -61,3 +61,22 @@ def test_passes_choose_as_one_does(spark):
     demand = {"a": 40, "b": 25, "c": 90}
     for ahead in (1, 5, 1000):
         assert sequential.image_memory(spark.createDataFrame(c), demand, ahead=ahead) == cover(held, demand)
+
+
+def test_select_rounds_ranks_all_candidates(spark):
+    from acquira.plans import reports
+
+    d = reports.pool(spark, SF).select("pos", "vec_id", "u", "a", "r", "g").toPandas()
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas().set_index("vec_id")["embedding"]
+    x = np.stack([np.asarray(e[v], float) for v in d["vec_id"]])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    d["d"], taken = 0.0, []
+    for _ in range(3):
+        left = d[~d.index.isin(taken)].copy()
+        if taken:
+            far = pd.Series(np.round(1 - (x[left.index] @ x[taken].T).max(1), 9), left.index)
+            left["d"] = (far.rank(method="average") - 1) / (len(left) - 1)
+        left["score"] = (left["a"] * (left["u"] + left["d"] + left["r"] * left["g"])).round(9)
+        taken += left.sort_values(["score", "pos"], ascending=[False, True]).index[:40].tolist()
+    got = [r.pos for r in reports.select_rounds(spark, SF).orderBy("pick").collect()]
+    assert got == d["pos"][taken].tolist()
