@@ -56,6 +56,9 @@ def mix(df: DataFrame, *, weights: Sequence[int] = (3, 1, 2), share: float = 1.5
     goal = targets(sums.groupBy("source").agg(F.sum("slice_size").alias("source_size")), weights=weights, share=share, cap=cap)
     goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     goal = goal.withColumn("rest", F.round("target").cast("long") - F.col("whole") * F.col("source_size"))
+    # a target that rounds up to a multiple of the size leaves a rest of the whole size, which no slice holds
+    full = (F.col("source_size") > 0) & (F.col("rest") == F.col("source_size"))
+    goal = goal.withColumns({"whole": F.col("whole") + full.cast("long"), "rest": F.when(full, F.lit(0)).otherwise(F.col("rest"))})
     run = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     edge = sums.withColumn("before", F.coalesce(F.sum("slice_size").over(run), F.lit(0)))
     edge = materialize(_by_source(edge, goal).where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("slice_size"))))
