@@ -113,7 +113,7 @@ def suffix_ranks(text: np.ndarray, length: int) -> np.ndarray:
         ahead = np.zeros_like(rank)
         ahead[:len(rank) - step] = rank[step:] if step else rank
         pair = rank * (int(rank.max(initial=0)) + 1) + ahead
-        if width < 4:  # up to four bytes fit as they are
+        if width < 2:  # two bytes stay as they are; four are made dense, as the product of two such ranks would overflow
             rank = pair
         else:
             rank = np.unique(pair, return_inverse=True)[1]
