@@ -1,9 +1,9 @@
 """N-gram Jaccard join by a token-group matrix, and the components of its links.
 
-Documents with equal sets are one class; the smallest id stands for it. Similar classes (equal least shingle hash) are groups, and
-a group is stored with the union of its members' shingles. A document is matched with groups, not with documents: it is a
-candidate for a group if one of its rarest shingles is among the rarest of a member's; the group is opened only if the union
-holds enough of the document's shingles to reach the similarity, and only then members are compared, exactly.
+Documents with equal sets are one class; the smallest id stands for it. Similar classes (equal least shingle hash) are groups. A
+document is matched with groups, not with documents: it is a candidate for a group if one of its rarest shingles is among the
+rarest of a member's. The sets of both go to the group's chunk, where the union of its members' shingles is made; members are
+compared, exactly, only if the union holds enough of the document's shingles to reach the similarity.
 
 "Rarest" takes shingles in ascending number of classes that have them: of n shingles, any n - ceil(s * n) + 1 of one order over all
 shingles have one in common with those of every set that is similar at s. Common passages come last in that order, so documents
