@@ -1,29 +1,42 @@
 """N-gram Jaccard join by a token-group matrix, and the components of its links.
 
-Documents with equal sets are one class; the smallest id stands for it. Similar classes (equal least shingle hash) are groups. A
-document is matched with groups, not with documents: it is a candidate for a group if one of its rarest shingles is among the
-rarest of a member's. The sets of both go to the group's chunk, where the union of its members' shingles is made; members are
-compared, exactly, only if the union holds enough of the document's shingles to reach the similarity.
-
-"Rarest" takes shingles in ascending number of classes that have them: of n shingles, any n - ceil(s * n) + 1 of one order over all
-shingles have one in common with those of every set that is similar at s. Common passages come last in that order, so documents
-that share nothing else are no candidates.
+Documents with equal sets are one class, a *node*. A node's column entries are its rarest shingles: of n shingles in ascending
+number of classes that have them, any n - ceil(s * n) + 1 have one in common with those of every set that is similar at s. Common
+passages come last in that order, so documents that share nothing else never meet.
+
+1. *Groups.* In each column every node is compared, exactly, with the column's HUBS first nodes. Nodes that such links join are a
+   group; a node that none joins is grouped with its first hub.
+2. *Matrix.* Columns that hold more than one component are looked at again: a node may visit a group of another component, the
+   smaller component the larger one, and a hub's group itself. The union of each visited group's shingles, with the number of
+   members that have each, is written once.
+3. *Bound.* A visitor's shingles that other members have, counted in the stored union, bound its overlap with every member.
+4. *Opening.* Groups that pass the bound for a visitor are opened: their members are compared with it, exactly.
+
+A large cluster of near copies is one component after step 1, so its members make no rows for each other afterwards. No link
+that joins two components is lost: each pair of similar nodes meets in a column, there one is a hub, or they share a component,
+or one visits the other's group.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from acquira.llm.shared import column_bytes, cut_keys, hashed_block, key_ranges, materialize, mix, pack_counts, pack_keys, shuffle_partitions, unpack_counts, unpack_keys, words, write_blocks
+from acquira.llm.shared import Scratch, batch_rows, column_bytes, cut_keys, hashed_block, key_ranges, mix, pack_counts, pack_keys, shuffle_partitions, unpack_counts, unpack_keys, words
 
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
-#: Members of a group that one task compares with at most, and documents that it compares with them.
-MEMBERS, VISITORS = 256, 256
+#: Nodes of a column that all its others are compared with.
+HUBS = 2
+#: Members of a group that are opened together, their shingles, and documents that are compared with them. None changes a result.
+MEMBERS, CHUNK_SHINGLES, VISITORS = 128, 1 << 20, 128
+#: Bytes of text whose shingles are made at a time.
+SLICE_BYTES = 2 << 20
 
 
 def shingle_sets(texts, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -31,8 +44,21 @@ def shingle_sets(texts, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     A text with fewer than ``size`` words has all its words as one shingle; one without words has none.
     """
-    h, owner, _ = words(*column_bytes(texts))
-    n_docs = len(texts)
+    raw, offsets = column_bytes(texts)
+    docs, hashes, counts, row = [np.zeros(0, np.int64)], [np.zeros(0, _U)], [np.zeros(0, np.int64)], 0
+    while row < len(texts):
+        end = min(len(texts), max(row + 1, int(np.searchsorted(offsets, offsets[row] + SLICE_BYTES, "right")) - 1))
+        doc, s, count = _sets_of_slice(raw[offsets[row]:offsets[end]], offsets[row:end + 1] - offsets[row], size)
+        docs.append(doc + row)
+        hashes.append(s)
+        counts.append(count)
+        row = end
+    return np.concatenate(docs), np.concatenate(hashes), np.concatenate(counts)
+
+
+def _sets_of_slice(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    h, owner, _ = words(raw, offsets)
+    n_docs = len(offsets) - 1
     count = np.bincount(owner, minlength=n_docs)
     start = np.concatenate([[0], np.cumsum(count)])
     docs, hashes = [], []
@@ -64,57 +90,204 @@ def _sums(x: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
-_ROWS = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("data", T.BinaryType())])
-_CANDIDATE = T.StructType([T.StructField("doc", T.LongType()), T.StructField("grp", T.LongType())])
+def signatures(s: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two sums of hashes that, with the size, tell a set from others."""
+    return _sums(mix(s), doc, n_docs).view(np.int64), _sums(mix(s ^ _STEP), doc, n_docs).view(np.int64)
+
+
+def _schema(**kinds) -> T.StructType:
+    return T.StructType([T.StructField(k, v()) for k, v in kinds.items()])
+
+
+_INT, _LONG, _BYTES, _BOOL = T.IntegerType, T.LongType, T.BinaryType, T.BooleanType
+_ROWS = _schema(block=_INT, part=_INT, data=_BYTES)
+_SIGNED = _schema(id=_LONG, n=_LONG, s1=_LONG, s2=_LONG)
+_POSTED = _schema(block=_INT, part=_INT, again=_BOOL, data=_BYTES, node=_LONG, n=_LONG)
+_PAIR = _schema(node=_LONG, hub=_LONG)
+_VISIT = _schema(node=_LONG, grp=_LONG)
+_EDGE = _schema(u=_LONG, v=_LONG)
+_UNION = _schema(grp=_LONG, chunk=_INT, tokens=_BYTES, having=_BYTES, low=_LONG, high=_LONG)
+_PASSED = _schema(node=_LONG, grp=_LONG, chunk=_INT)
+#: What a column's entry holds: shingle, node, size of its set; in the second round also its component, group and that one's rank.
+_ENTRY = np.dtype([("key", "<u8"), ("node", "<i8"), ("n", "<i8")])
+_LABELLED = np.dtype([("key", "<u8"), ("node", "<i8"), ("n", "<i8"), ("label", "<i8"), ("grp", "<i8"), ("size", "<i8")])
+
+
+def _table(schema: T.StructType, *cols) -> pa.Table:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return pa.table([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(cols, schema.fields, strict=True)], schema.names)
+
+
+def _none(schema: T.StructType) -> pa.Table:
+    return _table(schema, *([] for _ in schema.fields))
+
+
+def _entries(t: pa.Table, kind: np.dtype) -> np.ndarray:
+    parts = [np.frombuffer(d, kind) for d in t["data"].to_pylist()]
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
 
+def _edges(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal values of x starts, and its length last."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]]))
 
-def _rows(block: int, rows: list[tuple[int, bytes]]) -> pa.Table:
-    return pa.table([pa.array([block] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], _ROWS.names)
+
+def grouped(batches: Iterable[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """Runs of rows that agree in the keys; rows come in the keys' order."""
+    rest = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        if rest is not None and len(rest):
+            t = pa.concat_tables([rest, t])
+        if not len(t):
+            continue
+        new = np.zeros(len(t) - 1, bool)
+        for k in keys:
+            c = t[k].to_numpy()
+            new |= c[1:] != c[:-1]
+        at = [0, *(np.flatnonzero(new) + 1)]
+        for lo, hi in zip(at[:-1], at[1:], strict=True):
+            yield t.slice(lo, hi - lo)
+        rest = t.slice(at[-1])
+    if rest is not None and len(rest):
+        yield rest
+
+
+def meet_hubs(entries: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs (node, hub) of each column, without those whose sizes alone exclude the similarity."""
+    entries = entries[np.lexsort((mix(entries["node"].view(_U)), entries["key"]))]
+    key, node, n = entries["key"], entries["node"], entries["n"]
+    out = [np.zeros((0, 2), np.int64)]
+    if len(key):
+        at = _edges(key)
+        start = np.repeat(at[:-1], np.diff(at))
+        place = np.arange(len(key)) - start
+        for h in range(HUBS):
+            i = np.flatnonzero(place > h)
+            j = start[i] + h
+            ok = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+            out.append(np.stack([node[i[ok]], node[j[ok]]], 1))
+    return np.unique(np.concatenate(out), axis=0)
+
+
+def meet_groups(entries: np.ndarray, percent: int) -> np.ndarray:
+    """Visits (node, group) of the columns with more than one component."""
+    entries = entries[np.lexsort((entries["node"], entries["grp"], entries["size"], entries["key"]))]
+    out = [np.zeros((0, 2), np.int64)]
+    if not len(entries):
+        return out[0]
+    at = _edges(entries["key"])
+    label = entries["label"]
+    mixed = np.minimum.reduceat(label, at[:-1]) != np.maximum.reduceat(label, at[:-1])
+    # columns of the same nodes say the same
+    same = np.stack([np.add.reduceat(mix(entries["node"].view(_U)), at[:-1]), np.add.reduceat(mix(entries["node"].view(_U) ^ _STEP), at[:-1])], 1)
+    first = np.unique(same[mixed], axis=0, return_index=True)[1]
+    for c in np.flatnonzero(mixed)[first]:
+        e = entries[at[c]:at[c + 1]]
+        n, cut = e["n"], _edges(e["grp"])
+        low, high = np.minimum.reduceat(n, cut[:-1]), np.maximum.reduceat(n, cut[:-1])
+        for g in range(len(cut) - 1):  # groups in ascending order of their components' sizes
+            own = e["grp"][cut[g]] & 1 and cut[g + 1] - cut[g] > 1
+            v = e[: cut[g + 1] if own else cut[g]]
+            v = v[(100 * high[g] >= percent * v["n"]) & (100 * v["n"] >= percent * low[g])]
+            if len(v):
+                out.append(np.stack([v["node"], np.full(len(v), e["grp"][cut[g]])], 1))
+    return np.unique(np.concatenate(out), axis=0)
+
+
+def unite(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The union of sets and how many of them have each of its tokens."""
+    return np.unique(np.concatenate(sets), return_counts=True)
+
+
+def _place(sorted_tokens: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return np.minimum(np.searchsorted(sorted_tokens, q), max(len(sorted_tokens) - 1, 0))
+
+
+def within_bound(union: np.ndarray, having: np.ndarray, low: int, high: int, q: np.ndarray, own: bool, percent: int) -> bool:
+    """Whether a set may reach the similarity with a member other than itself: its tokens that others have bound the overlap."""
+    if 100 * high < percent * len(q) or 100 * len(q) < percent * low:
+        return False
+    at = _place(union, q)
+    reach = int(((union[at] == q) & (having[at] > own)).sum())
+    return (100 + percent) * reach >= percent * (len(q) + low)
+
+
+def open_group(homes: list[tuple[int, np.ndarray]], visitors: list[tuple[int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """Links between visitors and members, as a forest: as many as join the same nodes."""
+    sizes = np.array([len(s) for _, s in homes], np.int64)
+    tokens = np.concatenate([s for _, s in homes])
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], np.repeat(np.arange(len(homes)), sizes)[order]
+    root: dict[int, int] = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for node, q in visitors:
+        lo, hi = np.searchsorted(tokens, q), np.searchsorted(tokens, q, "right")
+        reach = hi - lo
+        hit = owner[np.repeat(lo - np.concatenate([[0], np.cumsum(reach)[:-1]]), reach) + np.arange(reach.sum())]
+        both = np.bincount(hit, minlength=len(homes))
+        for j in np.flatnonzero(100 * both >= percent * (sizes + len(q) - both)):
+            a, b = find(node), find(homes[j][0])
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    return [(x, find(x)) for x in list(root) if find(x) != x]
 
 
 def jaccard_components(df: DataFrame, *, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles and component_id (smallest id reachable by links, its own included) of every row.
 
     Two sets are linked if 100 * intersection >= percent * union. Texts that are null or have no words are empty and linked with
-    nothing. Rows with a null id have no component and link nothing; rows that share an id share a component.
+    nothing. Rows with a null id have no component and link nothing. Rows that share an id share a component, and each of their
+    texts links it; an empty one's component is its own id. Columns other than the two named are not read.
     """
     spark = df.sparkSession
-    n = min(shuffle_partitions(spark), 65536)
+    scratch = Scratch(spark)
+    n_parts = min(shuffle_partitions(spark), 65536)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    blocks = write_blocks(docs, hashed_block(spark, "id"))
-
-    sig_schema = T.StructType([T.StructField(c, T.LongType()) for c in ("id", "n", "s1", "s2")])
+    blocks = scratch.blocks(docs, hashed_block(spark, "id"))
 
     def sign(batches):
         for b in batches:
             doc, s, count = shingle_sets(b.column(1), size)
-            a, c = _sums(mix(s), doc, len(b)), _sums(mix(s ^ _STEP), doc, len(b))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(c.view(np.int64))], sig_schema.names)
-
-    signed = materialize(blocks.select("id", "text").mapInArrow(sign, sig_schema))
-    classes = materialize(signed.where("id IS NOT NULL AND n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")))
-    reps = materialize(classes.select("rep").distinct().withColumn("block", hashed_block(spark, "rep")))
-
-    def sets_of(t: pa.Table, ids: np.ndarray):
-        """Ids of the rows that stand for a class, document, hash and 48-bit key of their shingles, and their counts."""
-        own = pa.compute.is_in(t["id"], value_set=pa.array(ids, pa.int64()))
-        t = t.filter(own)
-        name, first = np.unique(t["id"].to_numpy(), return_index=True)  # rows that share an id: the first
-        t = t.take(pa.array(first))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count.astype(np.int64)), *map(pa.array, signatures(s, doc, len(b)))], _SIGNED.names)
+
+    with batch_rows(spark, 2000):
+        signed = scratch.write(blocks.select("id", "text").mapInArrow(sign, _SIGNED))
+    with_words = signed.where("id IS NOT NULL AND n > 0")
+    classes = scratch.write(with_words.groupBy("n", "s1", "s2").agg(F.min("id").alias("id")).withColumn("node", F.monotonically_increasing_id()))
+    reps = scratch.write(classes.withColumn("block", hashed_block(spark, "id")))
+
+    def sets_of(t: pa.Table, r: pa.Table):
+        """A block's nodes, document and hash of their shingles, and their sets' sizes."""
+        t = t.filter(pa.compute.is_in(t["id"], value_set=r["id"].combine_chunks()))
         doc, s, count = shingle_sets(t["text"], size)
-        return name, doc, s, s >> _U(16), count
+        left = dict(zip(zip(*(r[c].to_pylist() for c in ("id", "n", "s1", "s2")), strict=True), r["node"].to_pylist(), strict=True))
+        node = np.array([left.pop(k, -1) for k in zip(t["id"].to_pylist(), count.tolist(), *(x.tolist() for x in signatures(s, doc, len(t))), strict=True)], np.int64)
+        if left:
+            raise RuntimeError("a block's texts changed between passes")
+        mine = node >= 0
+        new = np.cumsum(mine) - 1
+        own = mine[doc]
+        return node[mine], new[doc[own]], s[own], count[mine]
 
     def ask(t: pa.Table, r: pa.Table) -> pa.Table:
         if not len(t) or not len(r):
-            return _rows(0, [])
-        t = t.sort_by([("id", "ascending"), ("text", "ascending")])
-        _, _, _, key, _ = sets_of(t, r["rep"].to_numpy())
-        key, count = np.unique(key, return_counts=True)
-        first, at = cut_keys(key, n)
-        return _rows(t["block"][0].as_py(), [(i, pack_keys(key[at[i]:at[i + 1]], int(first[i]), int(first[i + 1]), count[at[i]:at[i + 1]])) for i in range(n) if at[i + 1] > at[i]])
+            return _none(_ROWS)
+        _, _, s, _ = sets_of(t, r)
+        key, count = np.unique(s >> _U(16), return_counts=True)
+        first, at = cut_keys(key, n_parts)
+        parts = [i for i in range(n_parts) if at[i + 1] > at[i]]
+        return _table(_ROWS, [t["block"][0].as_py()] * len(parts), parts, [pack_keys(key[at[i]:at[i + 1]], int(first[i]), int(first[i + 1]), count[at[i]:at[i + 1]]) for i in parts])
 
     def add(t: pa.Table) -> pa.Table:
-        i, first = t["part"][0].as_py(), key_ranges(n)
+        i, first = t["part"][0].as_py(), key_ranges(n_parts)
         keys, counts = zip(*(unpack_keys(d, int(first[i]), int(first[i + 1]), 1) for d in t["data"].to_pylist()), strict=True)
         known, place = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(place, np.concatenate(counts), len(known)).astype(np.int64)
@@ -122,20 +295,17 @@ def jaccard_components(df: DataFrame, *, size: int = 5, percent: int = 80, id_co
         return pa.table([t["block"], t["part"], pa.array(out, pa.binary())], _ROWS.names)
 
     by = lambda d: d.groupBy("block")
-    asked = by(blocks).cogroup(by(reps)).applyInArrow(ask, _ROWS)
-    answers = materialize(asked.groupBy("part").applyInArrow(add, _ROWS))
-
-    post_schema = T.StructType([*_ROWS.fields, T.StructField("doc", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("grp", T.LongType())])
+    answers = scratch.write(by(blocks).cogroup(by(reps)).applyInArrow(ask, _ROWS).groupBy("part").applyInArrow(add, _ROWS))
 
     def post(t: pa.Table, r: pa.Table) -> pa.Table:
-        """For each range, the documents' rarest shingles that others have too; and a row for each document with any (part -1)."""
-        if not len(t) or not len(r):
-            return pa.table([pa.array([], f) for f in (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int64())], post_schema.names)
-        t = t.sort_by([("id", "ascending"), ("text", "ascending")])
-        mine = r.filter(pa.compute.is_valid(r["rep"]))
-        name, doc, s, key, count = sets_of(t, mine["rep"].to_numpy())
+        """A block's entries of the matrix by ranges of shingles, columns of more than HUBS + 1 apart; and its nodes' whole sets."""
+        known = r.filter(pa.compute.is_valid(r["node"]))
+        if not len(t) or not len(known):
+            return _none(_POSTED)
+        node, doc, s, count = sets_of(t, known)
+        key = s >> _U(16)
         distinct, place = np.unique(key, return_inverse=True)
-        sizes, at, freq = np.diff(cut_keys(distinct, n)[1]), 0, np.zeros(len(distinct), np.int64)
+        sizes, at, freq = np.diff(cut_keys(distinct, n_parts)[1]), 0, np.zeros(len(distinct), np.int64)
         for part, data in sorted((p, d) for p, d in zip(r["part"].to_pylist(), r["data"].to_pylist(), strict=True) if d is not None):
             m = int(sizes[part])
             freq[at:at + m] = unpack_counts(data, 0, m)[0]
@@ -145,156 +315,160 @@ def jaccard_components(df: DataFrame, *, size: int = 5, percent: int = 80, id_co
         f = freq[place]
         order = np.lexsort((key, f, doc))
         begin = np.concatenate([[0], np.cumsum(count)])
-        rank = np.arange(len(order)) - begin[doc[order]]
         prefix = count - (percent * count + 99) // 100 + 1
-        keep = order[(rank < prefix[doc[order]]) & (f[order] >= 2)]
-        least = np.minimum.reduceat(mix(s), begin[:-1][count > 0]) if len(s) else s
-        group = np.zeros(len(count), _U)
-        group[count > 0] = least
-        group = group.view(np.int64)
-        keep = keep[np.argsort(key[keep], kind="stable")]
-        k, d = key[keep], doc[keep]
-        _, at = cut_keys(k, n)
-        rows = [(i, np.uint32(at[i + 1] - at[i]).tobytes() + k[at[i]:at[i + 1]].tobytes() + name[d[at[i]:at[i + 1]]].tobytes() + group[d[at[i]:at[i + 1]]].tobytes() + count[d[at[i]:at[i + 1]]].astype("<u4").tobytes()) for i in range(n) if at[i + 1] > at[i]]
-        some = np.unique(d)
-        block, m = t["block"][0].as_py(), len(rows)
-        pad = lambda kind: pa.nulls(m, kind)
-        both = lambda a, b, kind: pa.concat_arrays([a.cast(kind), pa.array(b, kind)])
-        return pa.table([
-            pa.array([block] * (m + len(some)), pa.int32()), pa.array([x[0] for x in rows] + [-1] * len(some), pa.int32()), pa.array([x[1] for x in rows] + [None] * len(some), pa.binary()),
-            both(pad(pa.int64()), name[some], pa.int64()), both(pad(pa.int32()), count[some], pa.int32()), both(pad(pa.int64()), group[some], pa.int64()),
-        ], post_schema.names)
-
-    known = reps.select("block", "rep", F.lit(None).cast("int").alias("part"), F.lit(None).cast("binary").alias("data")).unionByName(answers.select("block", F.lit(None).cast("long").alias("rep"), "part", "data"))
-    posted = materialize(by(blocks).cogroup(by(known)).applyInArrow(post, post_schema))
-    members = posted.where("part = -1").select("doc", F.col("n"), "grp", "block")
-
-    def meet(t: pa.Table) -> pa.Table:
-        """Documents and the groups that they are candidates for, from one range's column of the matrix."""
-        cols = [[], [], [], []]
-        for d in t["data"].to_pylist():
-            m = int(np.frombuffer(d, "<u4", 1)[0])
-            for c, (kind, at) in zip(cols, (("<u8", 4), ("<i8", 4 + 8 * m), ("<i8", 4 + 16 * m), ("<u4", 4 + 24 * m)), strict=True):
-                c.append(np.frombuffer(d, kind, m, at))
-        key, doc, group, count = (np.concatenate(c) for c in cols)
-        order = np.lexsort((doc, group, key))
-        key, doc, group, count = key[order], doc[order], group[order], count[order].astype(np.int64)
-        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-        out_doc, out_group = [], []
-        for a, b in zip(edge[:-1], edge[1:], strict=True):
-            if b - a < 2:
-                continue
-            cuts = np.flatnonzero(np.concatenate([[True], group[a + 1:b] != group[a:b - 1], [True]])) + a
-            if len(cuts) == 2:
-                out_doc.append(doc[a:b])
-                out_group.append(group[a:b])
-                continue
-            sizes, low, high = np.diff(cuts), np.minimum.reduceat(count[a:b], cuts[:-1] - a), np.maximum.reduceat(count[a:b], cuts[:-1] - a)
-            names = group[cuts[:-1]]
-            own = np.repeat(np.arange(len(sizes)), sizes)
-            for i in range(len(sizes)):  # documents of smaller groups visit the larger ones, and every group with two itself
-                goes = (sizes[own] < sizes[i]) | ((sizes[own] == sizes[i]) & (own < i)) | ((own == i) & (sizes[i] > 1))
-                c = count[a:b]
-                goes &= (100 * high[i] >= percent * c) & (100 * c >= percent * low[i])
-                if goes.any():
-                    out_doc.append(doc[a:b][goes])
-                    out_group.append(np.full(int(goes.sum()), names[i]))
-        if not out_doc:
-            return pa.table([pa.array([], pa.int64())] * 2, _CANDIDATE.names)
-        pairs = np.unique(np.stack([np.concatenate(out_doc), np.concatenate(out_group)]), axis=1)
-        return pa.table([pa.array(pairs[0]), pa.array(pairs[1])], _CANDIDATE.names)
-
-    candidates = materialize(posted.where("part >= 0").select("part", "data").groupBy("part").applyInArrow(meet, _CANDIDATE).distinct())
-    visits = candidates.groupBy("grp").agg(F.count("*").alias("visitors"))
-    plan = materialize(
-        members.groupBy("grp").agg(F.count("*").alias("size")).join(visits, "grp")
-        .select("grp", F.ceil(F.col("size") / MEMBERS).cast("int").alias("chunks"), F.ceil(F.col("visitors") / VISITORS).cast("int").alias("shares"))
-    )
+        keep = order[(np.arange(len(order)) - begin[doc[order]] < prefix[doc[order]]) & (f[order] >= 2)]
+        rows: list[tuple] = []
+        for again in (False, True):
+            own = keep[(f[keep] > HUBS + 1) == again]
+            e = np.zeros(len(own), _ENTRY)
+            e["key"], e["node"], e["n"] = key[own], node[doc[own]], count[doc[own]]
+            e = e[np.argsort(e["key"], kind="stable")]
+            at = cut_keys(e["key"], n_parts)[1]
+            rows += [(i, again, e[at[i]:at[i + 1]].tobytes(), None, None) for i in range(n_parts) if at[i + 1] > at[i]]
+        rows += [(None, None, s[begin[d]:begin[d + 1]].tobytes(), int(node[d]), int(count[d])) for d in np.unique(doc[keep])]
+        block = t["block"][0].as_py()
+        return _table(_POSTED, [block] * len(rows), *(list(c) for c in zip(*rows, strict=True))) if rows else _none(_POSTED)
+
+    nothing = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    known = reps.select("block", "node", "id", "n", "s1", "s2", nothing("int", "part"), nothing("binary", "data")).unionByName(answers, allowMissingColumns=True)
+    posted = scratch.write(by(blocks).cogroup(by(known)).applyInArrow(post, _POSTED))
+    sets = posted.where("part IS NULL").select("node", "n", "data")
+    packets = posted.where("part IS NOT NULL")
+
+    spread = lambda d, *keys: d.repartition(n_parts, *keys).sortWithinPartitions(*keys)
     hash_of = lambda c, k: F.pmod(F.xxhash64(F.col(c)), F.col(k)).cast("int")
-    homes = members.join(plan, "grp").select("doc", "grp", hash_of("doc", "chunks").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(True).alias("member"))
-    trips = candidates.join(plan, "grp").select("doc", "grp", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), hash_of("doc", "shares").alias("share"), F.lit(False).alias("member"))
-    places = homes.unionByName(trips).withColumn("block", hashed_block(spark, "doc"))
-
-    set_schema = T.StructType([T.StructField("grp", T.LongType()), T.StructField("chunk", T.IntegerType()), T.StructField("share", T.IntegerType()), T.StructField("member", T.BooleanType()), T.StructField("doc", T.LongType()), T.StructField("data", T.BinaryType())])
-
-    def carry(t: pa.Table, p: pa.Table) -> pa.Table:
-        if not len(t) or not len(p):
-            return pa.table([pa.array([], f) for f in (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary())], set_schema.names)
-        t = t.sort_by([("id", "ascending"), ("text", "ascending")])
-        name, _, s, _, count = sets_of(t, pa.compute.unique(p["doc"]).to_numpy())
-        at = np.concatenate([[0], np.cumsum(count)])
-        data = pa.array([s[at[i]:at[i + 1]].tobytes() for i in range(len(name))], pa.binary())
-        return pa.table([p["grp"], p["chunk"], p["share"], p["member"], p["doc"], data.take(pa.array(np.searchsorted(name, p["doc"].to_numpy())))], set_schema.names)
-
-    edge_schema = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
-
-    def open_group(t: pa.Table) -> pa.Table:
-        """Links between visitors and members of a group, as a forest: as many as join the same documents."""
-        member = t["member"].to_numpy(zero_copy_only=False)
-        doc, data = t["doc"].to_numpy(), t["data"].to_pylist()
-        home = np.flatnonzero(member)
-        sets = [np.frombuffer(data[i], "<u8") for i in home]
-        sizes = np.array([len(x) for x in sets], np.int64)
-        order = np.argsort(tokens := np.concatenate(sets) if sets else np.zeros(0, _U), kind="stable")
-        tokens, owner = tokens[order], np.repeat(np.arange(len(sets)), sizes)[order]
-        union = np.unique(tokens)
-        root = {}
-
-        def find(x):
-            while root.setdefault(x, x) != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for i in np.flatnonzero(~member):
-            q = np.frombuffer(data[i], "<u8")
-            if not len(union):
-                break
-            at = np.minimum(np.searchsorted(union, q), len(union) - 1)
-            shared = q[union[at] == q]
-            if 100 * len(shared) < percent * len(q):
-                continue
-            lo, hi = np.searchsorted(tokens, shared), np.searchsorted(tokens, shared, "right")
-            reach = hi - lo
-            hit = owner[np.repeat(lo - np.concatenate([[0], np.cumsum(reach)[:-1]]), reach) + np.arange(reach.sum())]
-            both = np.bincount(hit, minlength=len(sets))
-            for j in np.flatnonzero(100 * both >= percent * (sizes + len(q) - both)):
-                a, b = find(int(doc[i])), find(int(doc[home[j]]))
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-        pairs = [(x, find(x)) for x in list(root) if find(x) != x]
-        return pa.table([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], edge_schema.names)
-
-    carried = by(blocks).cogroup(by(places)).applyInArrow(carry, set_schema)
-    links = materialize(carried.groupBy("grp", "chunk", "share").applyInArrow(open_group, edge_schema).distinct())
-    labels = components(links)
-    named = materialize(classes.join(labels, F.col("rep") == F.col("node"), "left").select("n", "s1", "s2", F.coalesce("label", "rep").alias("component_id")))
-    out = signed.join(named, ["n", "s1", "s2"], "left")
+    several = lambda c, k: F.explode(F.sequence(F.lit(0), F.col(k) - 1)).alias(c)
+
+    def verify(batches):
+        for t in grouped(batches, "grp", "chunk", "share"):
+            member = t["member"].to_numpy(zero_copy_only=False)
+            rows = [(i, np.frombuffer(d, "<u8")) for i, d in zip(t["node"].to_pylist(), t["data"].to_pylist(), strict=True)]
+            homes, visitors = [x for x, m in zip(rows, member, strict=True) if m], [x for x, m in zip(rows, member, strict=True) if not m]
+            if homes and visitors:
+                pairs = open_group(homes, visitors, percent)
+                yield from _table(_EDGE, *(zip(*pairs, strict=True) if pairs else ([], []))).to_batches()
+
+    def opened(members: DataFrame, visitors: DataFrame) -> DataFrame:
+        """Links of (grp, chunk, share, node) visitors with (grp, chunk, share, node) members."""
+        places = members.withColumn("member", F.lit(True)).unionByName(visitors.withColumn("member", F.lit(False)))
+        with batch_rows(spark, 1000):
+            return scratch.write(spread(places.join(sets, "node"), "grp", "chunk", "share").mapInArrow(verify, _EDGE).distinct())
+
+    # 1: nodes against their columns' hubs
+    pairs = scratch.write(packets.groupBy("part").applyInArrow(lambda t: _table(_PAIR, *meet_hubs(_entries(t, _ENTRY), percent).T), _PAIR).distinct())
+    hubs = pairs.groupBy("hub").agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("shares"))
+    one = F.lit(0).alias("chunk")
+    links = opened(
+        hubs.select(F.col("hub").alias("grp"), one, several("share", "shares"), F.col("hub").alias("node")),
+        pairs.join(hubs, "hub").select(F.col("hub").alias("grp"), one, hash_of("node", "shares").alias("share"), "node"),
+    )
+    labels = components(links, scratch)
+
+    # 2: the other components' groups of each column
+    sized = labels.join(labels.groupBy("label").agg(F.count("*").alias("size")), "label")
+    first = pairs.groupBy("node").agg(F.min("hub").alias("hub"))
+    homes = scratch.write(
+        posted.where("part IS NULL").select("block", "node", "n").join(sized, "node", "left").join(first, "node", "left")
+        .select("block", "node", "n", F.coalesce("label", "node").alias("label"), F.coalesce(F.col("label") * 2, F.coalesce("hub", "node") * 2 + 1).alias("grp"), F.coalesce("size", F.lit(0)).alias("size"))
+    )
+
+    def relabel(t: pa.Table, r: pa.Table) -> pa.Table:
+        if not len(t) or not len(r):
+            return _none(_ROWS)
+        node, fields = r["node"].to_numpy(), {c: r[c].to_numpy() for c in ("label", "grp", "size")}
+        order = np.argsort(node)
+        out = []
+        for d in t["data"].to_pylist():
+            e = np.frombuffer(d, _ENTRY)
+            x = np.zeros(len(e), _LABELLED)
+            at = order[np.searchsorted(node, e["node"], sorter=order)]
+            for c in _ENTRY.names:
+                x[c] = e[c]
+            for c, v in fields.items():
+                x[c] = v[at]
+            out.append(x.tobytes())
+        return _table(_ROWS, t["block"].to_pylist(), t["part"].to_pylist(), out)
+
+    labelled = by(packets.where("again").select("block", "part", "data")).cogroup(by(homes)).applyInArrow(relabel, _ROWS)
+    visits = scratch.write(labelled.groupBy("part").applyInArrow(lambda t: _table(_VISIT, *meet_groups(_entries(t, _LABELLED), percent).T), _VISIT).distinct())
+    more = [links]
+    if not visits.isEmpty():
+        asked = visits.groupBy("grp").agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("shares"))
+        plan = scratch.write(homes.groupBy("grp").agg(F.ceil(F.greatest(F.sum("n") / CHUNK_SHINGLES, F.count("*") / MEMBERS)).cast("int").alias("chunks")).join(asked, "grp"))
+        placed = scratch.write(homes.join(plan, "grp").select("grp", hash_of("node", "chunks").alias("chunk"), "node", "shares"))
+
+        def unions(batches):
+            for t in grouped(batches, "grp", "chunk"):
+                u, having = unite([np.frombuffer(d, "<u8") for d in t["data"].to_pylist()])
+                n = t["n"].to_numpy()
+                yield from _table(_UNION, [t["grp"][0].as_py()], [t["chunk"][0].as_py()], [u.tobytes()], [having.astype("<u4").tobytes()], [int(n.min())], [int(n.max())]).to_batches()
+
+        with batch_rows(spark, 1000):
+            union = scratch.write(spread(placed.join(sets, "node"), "grp", "chunk").mapInArrow(unions, _UNION))
+
+        def bound(batches):
+            for t in grouped(batches, "grp", "chunk", "share"):
+                kept, u = [], None
+                for r in t.select(["node", "own", "tokens", "having", "low", "high"]).to_pylist():
+                    if r["node"] is None:
+                        u = (np.frombuffer(r["tokens"], "<u8"), np.frombuffer(r["having"], "<u4"), r["low"], r["high"])
+                    elif u is not None and within_bound(*u, np.frombuffer(r["tokens"], "<u8"), r["own"], percent):
+                        kept.append(r["node"])
+                yield from _table(_PASSED, kept, [t["grp"][0].as_py()] * len(kept), [t["chunk"][0].as_py()] * len(kept)).to_batches()
+
+        # 3: visitors against the stored unions
+        trips = visits.join(plan, "grp").select("node", "grp", several("chunk", "chunks"), hash_of("node", "shares").alias("share"))
+        trips = trips.join(placed.select("node", "grp", "chunk", F.lit(True).alias("own")), ["node", "grp", "chunk"], "left").join(sets.withColumnRenamed("data", "tokens"), "node")
+        shown = union.join(plan, "grp").select("grp", "chunk", several("share", "shares"), "tokens", "having", "low", "high")
+        rows = trips.select("grp", "chunk", "share", "node", F.coalesce("own", F.lit(False)).alias("own"), "tokens").unionByName(shown, allowMissingColumns=True)
+        with batch_rows(spark, 1000):
+            ordered = rows.repartition(n_parts, "grp", "chunk", "share").sortWithinPartitions("grp", "chunk", "share", F.col("node").asc_nulls_first())
+            passed = scratch.write(ordered.mapInArrow(bound, _PASSED))
+
+        # 4: the groups that some visitor's bound leaves open
+        shares = passed.groupBy("grp", "chunk").agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("shares"))
+        more.append(opened(
+            placed.drop("shares").join(shares, ["grp", "chunk"]).select("grp", "chunk", several("share", "shares"), "node"),
+            passed.join(shares, ["grp", "chunk"]).select("grp", "chunk", hash_of("node", "shares").alias("share"), "node"),
+        ))
+    of_set = ["n", "s1", "s2"]
+    twice = with_words.groupBy("id").agg(F.min(F.struct(*of_set)).alias("a"), F.max(F.struct(*of_set)).alias("b")).where("a <> b").select("id")
+    twice = scratch.write(with_words.join(twice, "id", "left_semi").distinct())
+    if not twice.isEmpty():
+        named = twice.join(classes.drop("id"), of_set)
+        more.append(named.join(named.groupBy("id").agg(F.min("node").alias("v")), "id").select(F.col("node").alias("u"), "v"))
+    if len(more) > 1:
+        every = more[0]
+        for x in more[1:]:
+            every = every.unionByName(x)
+        labels = components(every, scratch)
+    least = classes.join(labels, "node").groupBy("label").agg(F.min("id").alias("component_id"))
+    named = classes.join(labels.join(least, "label"), "node", "left").select(*of_set, F.coalesce("component_id", "id").alias("component_id"))
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), own).alias("component_id"))
+    out = signed.join(named, of_set, "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), own).alias("component_id"))
+    return scratch.finish(out)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """node, label: the smallest node that links (u, v) lead to, for every node of a link.
 
     In each round every node takes its smallest neighbour if that is smaller, chains of such choices are followed to their ends,
     and the links between the ends are what is left; nodes fall to half at least. All is joins of written tables.
     """
-    spark = links.sparkSession
+    scratch = scratch or Scratch(links.sparkSession)
     links = links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
-    nodes = links.select(F.col("u").alias("node")).union(links.select(F.col("v").alias("node"))).distinct()
-    labels = materialize(nodes.withColumn("label", F.col("node")))
-    left = materialize(links)
+    left = scratch.write(links)
+    labels = scratch.write(left.select(F.col("u").alias("node")).union(left.select(F.col("v").alias("node"))).distinct().withColumn("label", F.col("node")))
     while not left.isEmpty():
-        parent = materialize(left.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("up")))
+        parent = scratch.write(left.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("up")))
         while True:  # each pass doubles the steps that are followed
             over = parent.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            joined = materialize(parent.join(over, "up", "left").select("node", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")))
+            joined = scratch.write(parent.join(over, "up", "left").select("node", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")))
             parent = joined.select("node", "up")
             if joined.where("moved").isEmpty():
                 break
-        labels = materialize(labels.join(parent.select(F.col("node").alias("label"), "up"), "label", "left").select("node", F.coalesce("up", "label").alias("label")))
+        labels = scratch.write(labels.join(parent.select(F.col("node").alias("label"), "up"), "label", "left").select("node", F.coalesce("up", "label").alias("label")))
         a = left.join(parent.select(F.col("node").alias("u"), F.col("up").alias("pu")), "u", "left").select("v", F.coalesce("pu", "u").alias("u"))
         b = a.join(parent.select(F.col("node").alias("v"), F.col("up").alias("pv")), "v", "left").select("u", F.coalesce("pv", "v").alias("v"))
-        left = materialize(b.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        left = scratch.write(b.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     return labels

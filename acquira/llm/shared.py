@@ -11,8 +11,12 @@ The corpus-wide operators follow one plan, the *hash exchange*:
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,16 +34,27 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+@lru_cache(4)
+def _local_root(application: str) -> str:
+    root = tempfile.mkdtemp(prefix="acquira-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return "file://" + root
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the one that all executors share (``spark.checkpoint.dir``); a local one only where that is unset."""
+    """A new folder in the one that all executors share (``spark.checkpoint.dir``).
+
+    Where that is unset, a local session takes a folder that goes with the process; a cluster has none to take and raises.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="acquira-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the executors share")
+        root = _local_root(spark.sparkContext.applicationId)
     return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, partitions: int | None = None) -> DataFrame:
+def materialize(df: DataFrame) -> DataFrame:
     """Writes df in the shared folder and reads it again: later passes don't repeat its plan and survive lost executors."""
     spark = df.sparkSession
     path = shared_folder(spark)
@@ -47,6 +62,53 @@ def materialize(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """The tables that one call writes for itself; ``finish`` writes its result and deletes them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.tables, self.number = spark, shared_folder(spark), [], 0
+
+    def _path(self) -> str:
+        self.number += 1
+        return f"{self.folder}/{self.number}"
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = self._path()
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def blocks(self, df: DataFrame, block: Column, number: int | None = None) -> DataFrame:
+        """df with its ``block``, as a table bucketed by it: what groups or cogroups by ``block`` afterwards reads it in place."""
+        n, name = number or shuffle_partitions(self.spark), f"llm_{uuid.uuid4().hex}"
+        out = df.withColumn("block", block).repartition(n, "block").write.format("parquet").bucketBy(n, "block")
+        out.option("path", self._path()).option("compression", "zstd").saveAsTable(name)
+        self.tables.append(name)
+        return self.spark.table(name)
+
+    def drop(self) -> None:
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+    def finish(self, df: DataFrame) -> DataFrame:
+        out = materialize(df)
+        self.drop()
+        return out
+
+
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int):
+    """Inside, Arrow batches have so many rows at most: whole texts make batches of the usual 10,000 rows too large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """From now on Arrow batches have so many rows at most: whole texts make batches of the usual 10,000 rows too large."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

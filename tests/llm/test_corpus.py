@@ -71,6 +71,34 @@ def test_jaccard_null_and_repeated_ids(spark):
     assert got == sorted([(5, 2, 3), (5, 2, 3), (None, 2, None), (3, 2, 3), (9, 0, 9)], key=str)
 
 
+def test_jaccard_repeated_ids_with_different_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows, ids = [a, b, a + " x", b + " y", "", "z"], [5, 5, 7, 9, 5, 11]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(frame(spark, rows, ids)).collect())
+    assert got == [(5, 0, 5), (5, 56, 5), (5, 56, 5), (7, 57, 5), (9, 57, 5), (11, 1, 11)]
+
+
+@pytest.mark.parametrize("hubs, chunk, visitors", [(1, 64, 2), (2, 300, 3), (2, 1 << 20, 256)])
+def test_jaccard_clusters_of_near_copies(spark, monkeypatch, hubs, chunk, visitors):
+    """Clusters whose members are at about the similarity, so that many links decide and many fail; groups in several chunks."""
+    monkeypatch.setattr(ngram_join, "HUBS", hubs)
+    monkeypatch.setattr(ngram_join, "CHUNK_SHINGLES", chunk)
+    monkeypatch.setattr(ngram_join, "MEMBERS", visitors)
+    monkeypatch.setattr(ngram_join, "VISITORS", visitors)
+    rng, rows = random.Random(11), []
+    for c in range(3):
+        base = [f"w{rng.randrange(4000)}" for _ in range(70)]
+        for _ in range(40):
+            near = list(base)
+            for _ in range(rng.randint(0, 3)):
+                near[rng.randrange(70)] = f"v{rng.randrange(9999)}"
+            rows.append(" ".join(near[rng.randint(0, 4):]))
+    ids = rng.sample(range(1000), len(rows))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(frame(spark, rows, ids)).collect()}
+    want = components(rows, ids)
+    assert got == want and 4 < len({c for _, c in want.values()}) < 100
+
+
 def test_components_follow_long_chains(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 150)]
     got = dict(map(tuple, ngram_join.components(spark.createDataFrame(chain, "u long, v long")).collect()))
