@@ -1,7 +1,8 @@
-"""Ranks and running sums over whole tables, without bringing them to one task.
+"""Ranks, running sums and quantiles over whole tables, without bringing them to one task.
 
-Rows are dealt by ranges of the first key (its approximate quantiles); each range's total is added to the ranges after it. One
-small job finds the quantiles. Rows that tie in the first key share a range.
+Running sums deal rows into ranges of all their keys, so ties of the first key are split too; there are as many ranges as shuffle
+partitions, and each range's total is added to the ranges after it. A share or a quantile needs no order of the table at all: the
+value at one rank is found by narrowing a bracket of approximate quantiles, each step a scan of one column.
 """
 
 from __future__ import annotations
@@ -9,25 +10,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
+from acquira.functions.numbers import share_count
+from acquira.sources.shared import written
 
+#: Distinct values among which the driver looks for the one at a rank.
+FEW = 20_000
+#: Accuracy of a bracket: it holds a share of about four of these parts.
+PARTS = 10_000
 
-def _range_of(df: DataFrame, key: str, ranges: int) -> Column:
-    cuts = df.agg(F.percentile_approx(F.col(key).cast("double"), [i / ranges for i in range(1, ranges)], 10_000)).first()[0]
-    if not cuts:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c <= F.col(key).cast("double")))
 
-
-def running_sum(df: DataFrame, value: Column, keys: list[str], name: str, *, descending: bool = False, ranges: int = RANGES) -> DataFrame:
+def running_sum(df: DataFrame, value: Column, keys: list[str], name: str, *, descending: bool = False) -> DataFrame:
     """Adds the sum of ``value`` up to each row in the order of keys (the first descending, if so); keys have to be total."""
-    df = df.withColumns({"_range": _range_of(df, keys[0], ranges), "_value": value})
-    far = Window.orderBy(F.desc("_range") if descending else F.asc("_range")).rowsBetween(Window.unboundedPreceding, -1)
-    before = df.groupBy("_range").agg(F.sum("_value").alias("_sum")).select("_range", F.coalesce(F.sum("_sum").over(far), F.lit(0)).alias("_before"))
-    order = [F.desc(keys[0]) if descending else F.asc(keys[0]), *keys[1:]]
+    order = [F.desc(keys[0]) if descending else F.asc(keys[0]), *map(F.asc, keys[1:])]
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # written, as the sampled ranges have to be the same in both uses
+    d = written(df.withColumn("_value", value).repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
+    far = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    before = d.groupBy("_range").agg(F.sum("_value").alias("_sum")).select("_range", F.coalesce(F.sum("_sum").over(far), F.lit(0)).alias("_before"))
     near = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = df.join(F.broadcast(before), "_range")  # one row a range
-    return out.withColumn(name, F.sum("_value").over(near) + F.col("_before")).drop("_range", "_value", "_before")
+    out = d.withColumn(name, F.sum("_value").over(near)).join(F.broadcast(before), "_range")
+    return out.withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_value", "_before")
 
 
 def row_numbers(df: DataFrame, keys: list[str], name: str = "rn", *, descending: bool = False) -> DataFrame:
@@ -47,22 +49,59 @@ def rank_normalised(df: DataFrame, key: str, name: str) -> DataFrame:
     return average_ranks(df, key, "_rank").crossJoin(F.broadcast(n)).withColumn(name, (F.col("_rank") - 1) / F.greatest(F.col("_n") - 1, F.lit(1))).drop("_rank", "_n")
 
 
-def top_share(df: DataFrame, key: str, tie: str, share: float, name: str, *, ranges: int = RANGES) -> DataFrame:
+def value_at(df: DataFrame, key: str, place: int, *, descending: bool = False, size: int | None = None):
+    """The value of the place-th row (from 1) in the order of key, and how many rows come before that value; NULLs take no part.
+
+    Rows outside the bracket are counted, not kept; each step's bracket is a small part of the one before, or one value.
+    """
+    d = df.select(F.col(key).alias("v")).where("v IS NOT NULL")
+    n, passed = d.count() if size is None else size, 0
+    if not 0 < place <= n:
+        raise ValueError(f"{n} rows have no place {place}")
+    while n > FEW:
+        at = (place - 0.5) / n
+        at = 1 - at if descending else at
+        lo, hi = d.agg(F.percentile_approx("v", [max(at - 2 / PARTS, 0.0), min(at + 2 / PARTS, 1.0)], PARTS)).first()[0]
+        v = F.col("v")
+        parts = [v < lo, v == lo, (v > lo) & (v < hi), v == hi, v > hi] if lo != hi else [v < lo, v == lo, v > lo]
+        sizes = list(d.agg(*[F.count(F.when(c, 1)).alias(f"n{i}") for i, c in enumerate(parts)]).first())
+        for i in reversed(range(len(parts))) if descending else range(len(parts)):
+            if place <= sizes[i]:
+                break
+            place, passed = place - sizes[i], passed + sizes[i]
+        if i in (1, 3) and not (len(parts) == 3 and i != 1):
+            return (lo if i == 1 else hi), passed
+        d, n = d.where(parts[i]), sizes[i]
+    for value, ties in sorted(map(tuple, d.groupBy("v").count().collect()), reverse=descending):
+        if place <= ties:
+            return value, passed
+        place, passed = place - ties, passed + ties
+    raise RuntimeError("the table changed between scans")
+
+
+def quantile(df: DataFrame, key: str, q: float) -> float | None:
+    """The exact quantile of key, between the two values at its place in proportion; None without values."""
+    n = df.where(F.col(key).isNotNull()).count()
+    if not n:
+        return None
+    place = (n - 1) * q
+    low = value_at(df, key, int(place) + 1, size=n)[0]
+    part = place - int(place)
+    return float(low) if not part else low + (value_at(df, key, int(place) + 2, size=n)[0] - low) * part
+
+
+def top_share(df: DataFrame, key: str, tie: str, share: float, name: str) -> DataFrame:
     """Adds whether a row is among the share with the greatest key, ties by the smaller ``tie``; a share of 1 takes all.
 
-    Ranges above the one in which the share ends are in, those below are out; only that one is put in order.
+    The last row that is in is found first; then the answer is one comparison, and no row moves.
     """
     if share >= 1:
         return df.withColumn(name, F.lit(True))
-    from acquira.functions.numbers import share_count
-
-    d = df.withColumn("_range", _range_of(df, key, ranges))
-    sizes = d.groupBy("_range").agg(F.count("*").alias("_size"))
-    every, above = Window.partitionBy(), Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("_range", (share_count(F.sum("_size").over(every), share) - F.coalesce(F.sum("_size").over(above), F.lit(0))).alias("_places"), "_size")
-    d = d.join(F.broadcast(sizes), "_range")  # one row a range
-    edge = (F.col("_places") > 0) & (F.col("_places") < F.col("_size"))
-    order = Window.partitionBy("_range").orderBy(F.desc(key), tie)
-    at_edge = d.where(edge).withColumn(name, F.row_number().over(order) <= F.col("_places"))
-    rest = d.where(~edge).withColumn(name, F.col("_places") >= F.col("_size"))
-    return rest.unionByName(at_edge).drop("_range", "_places", "_size")
+    n = df.where(F.col(key).isNotNull()).count()
+    if not n:
+        return df.withColumn(name, F.lit(False))
+    places = int(df.sparkSession.range(1).select(share_count(F.lit(n), share)).first()[0])
+    last, before = value_at(df, key, places, descending=True, size=n)
+    k = F.col(key)
+    end = value_at(df.where(k == last), tie, places - before)[0]
+    return df.withColumn(name, F.coalesce((k > last) | ((k == last) & (F.col(tie) <= end)), F.lit(False)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from acquira.functions import boxes, ranking
+from acquira.sources.shared import written
 
 
 def suppress(df: DataFrame, key: Column, *, threshold: float = 0.6, candidate: Column | None = None) -> DataFrame:
@@ -34,22 +35,21 @@ def gate_then_suppress(df: DataFrame, key: str, *, share: float, threshold: floa
     return suppress(admissible(df, key, share), F.col(key), threshold=threshold, candidate=F.col("in_gate"))
 
 
-def suppress_then_gate(df: DataFrame, key: str, *, share: float, threshold: float = 0.6) -> DataFrame:
-    """Survivors of suppression with the gate among them."""
-    return admissible(suppress(df, F.col(key), threshold=threshold).where("kept"), key, share)
+def suppress_then_gate(df: DataFrame, key: str, *, share: float, threshold: float = 0.6, suppress_key: str | None = None) -> DataFrame:
+    """Survivors of suppression (by its own key, if it has one) with the gate by ``key`` among them."""
+    return admissible(written(suppress(df, F.col(suppress_key or key), threshold=threshold).where("kept")), key, share)
 
 
 def above_median(df: DataFrame, gate: Column, value: str) -> DataFrame:
-    """Rows in the gate whose value is its median at least."""
-    cut = df.where(gate).agg(F.percentile(value, 0.5).alias("_cut"))
-    return df.where(gate).crossJoin(F.broadcast(cut)).where(F.col(value) >= F.col("_cut")).drop("_cut")
+    """Rows in the gate whose value is its median at least; none where the gate is empty."""
+    inside = df.where(gate)
+    return inside.where(F.col(value) >= F.lit(ranking.quantile(inside, value, 0.5)))
 
 
-def below_quantile(df: DataFrame, value: Column, quantile: float) -> DataFrame:
-    """Rows whose value is under the quantile of all."""
-    df = df.withColumn("_v", value)
-    cut = df.agg(F.percentile("_v", quantile).alias("_cut"))
-    return df.crossJoin(F.broadcast(cut)).where(F.col("_v") < F.col("_cut")).drop("_v", "_cut")
+def below_quantile(df: DataFrame, value: Column, quantile: float, *, candidate: Column | None = None) -> DataFrame:
+    """Candidates whose value is under the quantile of all candidates (without ``candidate``, of all rows)."""
+    inside = (df if candidate is None else df.where(candidate)).withColumn("_v", value)
+    return inside.where(F.col("_v") < F.lit(ranking.quantile(inside, "_v", quantile))).drop("_v")
 
 
 def one_per_object(df: DataFrame, order: str) -> DataFrame:

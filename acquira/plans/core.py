@@ -248,7 +248,7 @@ def discovery(spark, sf):
 def flagship(spark, sf):
     """Suppression, gate, ranking, ledger and discovery: what a budget of 600 buys and what it holds."""
     d = scored(spark, sf).withColumn("a", F.round("a", 9))
-    gated = gates.admissible(gates.suppress(d, F.col("objectness")).where("kept"), "a", 0.3).where("in_gate")
+    gated = gates.suppress_then_gate(d, "a", share=0.3, suppress_key="objectness").where("in_gate")
     o = t.oracle(t.proposals(spark, sf))
     counts = t.image_counts(o)
     bought = ledger.spend(gated, "a", t.image_cost(d, counts), budget=600)
