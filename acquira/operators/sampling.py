@@ -73,3 +73,17 @@ def quotas(sizes: DataFrame, *, budget: float) -> DataFrame:
     r = F.ln((1 + F.col("candidates")) / (1 + F.col("references")))
     d = sizes.withColumn("rarity", r).withColumn("_up", F.greatest(r, F.lit(0.0)))
     return d.withColumn("quota", F.lit(float(budget)) * F.col("_up") / F.nullif(F.sum("_up").over(Window.partitionBy()), F.lit(0.0))).drop("_up")
+
+
+def balanced(pool: DataFrame, *, cap: int, seed: object) -> DataFrame:
+    """Up to ``cap`` objects of each class in the order of a seeded hash, with balanced: whether the class had so many.
+
+    A smaller cap takes the first of the same order.
+    """
+    if cap < 1:
+        raise ValueError("a class gives one object at least")
+    keys = ["image_id", "class_name", "ordinal"]
+    have = pool.groupBy("class_name").agg((F.count("*") >= cap).alias("balanced"))
+    order = Window.partitionBy("class_name").orderBy(text.ordered_hash(seed, F.col("class_name"), F.col("image_id"), F.col("ordinal")), *keys)
+    d = pool.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= cap)
+    return d.join(F.broadcast(have), "class_name").select(*keys, "rn", "balanced")  # one row a class
