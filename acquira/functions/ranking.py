@@ -19,17 +19,21 @@ FEW = 20_000
 PARTS = 10_000
 
 
-def running_sum(df: DataFrame, value: Column, keys: list[str], name: str, *, descending: bool = False) -> DataFrame:
-    """Adds the sum of ``value`` up to each row in the order of keys (the first descending, if so); keys have to be total."""
+def running_sums(df: DataFrame, values: dict[str, Column], keys: list[str], *, descending: bool = False) -> DataFrame:
+    """Adds, by name, the sum of each value up to each row in the order of keys (the first descending, if so); keys have to be total."""
     order = [F.desc(keys[0]) if descending else F.asc(keys[0]), *map(F.asc, keys[1:])]
     ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # written, as the sampled ranges have to be the same in both uses
-    d = written(df.withColumn("_value", value).repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
+    d = written(df.withColumns({f"_value_{n}": v for n, v in values.items()}).repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
     far = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    before = d.groupBy("_range").agg(F.sum("_value").alias("_sum")).select("_range", F.coalesce(F.sum("_sum").over(far), F.lit(0)).alias("_before"))
+    before = d.groupBy("_range").agg(*[F.sum(f"_value_{n}").alias(f"_sum_{n}") for n in values]).select("_range", *[F.coalesce(F.sum(f"_sum_{n}").over(far), F.lit(0)).alias(f"_before_{n}") for n in values])
     near = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = d.withColumn(name, F.sum("_value").over(near)).join(F.broadcast(before), "_range")
-    return out.withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_value", "_before")
+    out = d.withColumns({n: F.sum(f"_value_{n}").over(near) for n in values}).join(F.broadcast(before), "_range")
+    return out.withColumns({n: F.col(n) + F.col(f"_before_{n}") for n in values}).drop("_range", *[f"{k}_{n}" for n in values for k in ("_value", "_before")])
+
+
+def running_sum(df: DataFrame, value: Column, keys: list[str], name: str, *, descending: bool = False) -> DataFrame:
+    return running_sums(df, {name: value}, keys, descending=descending)
 
 
 def row_numbers(df: DataFrame, keys: list[str], name: str = "rn", *, descending: bool = False) -> DataFrame:
@@ -69,7 +73,7 @@ def value_at(df: DataFrame, key: str, place: int, *, descending: bool = False, s
             if place <= sizes[i]:
                 break
             place, passed = place - sizes[i], passed + sizes[i]
-        if i in (1, 3) and not (len(parts) == 3 and i != 1):
+        if i in (1, 3):
             return (lo if i == 1 else hi), passed
         d, n = d.where(parts[i]), sizes[i]
     for value, ties in sorted(map(tuple, d.groupBy("v").count().collect()), reverse=descending):

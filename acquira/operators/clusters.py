@@ -9,10 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from acquira.functions import vec
-
-#: Rows whose neighbours are found in pairs; beyond, gate the pool first.
-MOST_PAIRED = 50_000
-
+from acquira.operators import neighbours
+from acquira.sources.shared import written
 
 def kmeans(df: DataFrame, *, k: int, vector: str = "embedding", seed: int = 0) -> DataFrame:
     """df with cluster."""
@@ -47,28 +45,19 @@ def spectrum(df: DataFrame, *, dims: int, vector: str = "embedding", share: floa
     return float(held[0]), reach[0] if reach else None
 
 
-def close_pairs(df: DataFrame, *, eps: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """a, b of rows within eps in cosine distance, both ways, each with itself."""
-    if df.count() > MOST_PAIRED:
-        raise ValueError(f"neighbours of {MOST_PAIRED} rows at most: gate the pool first")
-    u = df.select(F.col(key).alias("k"), vec.unit(F.col(vector)).alias("v"))
-    a, b = u.select(F.col("k").alias("a"), F.col("v").alias("va")), u.select(F.col("k").alias("b"), F.col("v").alias("vb"))
-    return a.crossJoin(b).where((1 - vec.dot(F.col("va"), F.col("vb")) <= eps + 1e-9) | (F.col("a") == F.col("b"))).select("a", "b")
-
-
 def dbscan(df: DataFrame, *, eps: float, minimum: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """key, status (core, border, noise), cluster: the smallest core key reached (border: of its nearest in key), -1 for noise.
 
     A core row has ``minimum`` neighbours, itself included.
     """
-    pairs = close_pairs(df, eps=eps, key=key, vector=vector).checkpoint()
+    pairs = written(neighbours.within(df, eps=eps, key=key, vector=vector))
     core = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= minimum).select("a")
-    links = pairs.join(core, "a", "left_semi").join(core.select(F.col("a").alias("b")), "b", "left_semi").checkpoint()
+    links = written(pairs.join(core, "a", "left_semi").join(core.select(F.col("a").alias("b")), "b", "left_semi"))
     label = core.select("a", F.col("a").alias("l"))
     while True:  # the smallest label of the neighbours, then its own label
         near = links.join(label.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("m"))
         jump = near.join(label.select(F.col("a").alias("m"), F.col("l").alias("j")), "m").select("a", F.least("m", "j").alias("l2"))
-        new = label.join(jump, "a").select("a", F.least("l", "l2").alias("l"), (F.col("l2") < F.col("l")).alias("moved")).checkpoint()
+        new = written(label.join(jump, "a").select("a", F.least("l", "l2").alias("l"), (F.col("l2") < F.col("l")).alias("moved")))
         label = new.select("a", "l")
         if new.where("moved").isEmpty():
             break

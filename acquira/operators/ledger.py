@@ -7,10 +7,7 @@ from pyspark.sql import functions as F
 
 from acquira.functions import ranking
 from acquira.functions.numbers import ratio
-
-
-#: Up to this budget the images that it can open at most are put in order in one task; beyond, running sums are distributed.
-WALK = 1_000_000
+from acquira.sources.shared import written
 
 
 def spend(df: DataFrame, key: str, cost: DataFrame, *, budget: int, excluded: DataFrame | None = None) -> DataFrame:
@@ -23,11 +20,11 @@ def spend(df: DataFrame, key: str, cost: DataFrame, *, budget: int, excluded: Da
     if excluded is not None:
         first = first.join(excluded.select("image_id"), "image_id", "left_anti")
     priced = first.join(cost, "image_id").select("image_id", F.col("a.k").alias("k"), F.col("a.pos").alias("anchor_pos"), "cost")
-    if budget <= WALK:
-        way = Window.orderBy("k", "anchor_pos").rowsBetween(Window.unboundedPreceding, 0)
-        walk = priced.orderBy("k", "anchor_pos").limit(budget + 1).withColumns({"cum_cost": F.sum("cost").over(way), "seq": F.row_number().over(Window.orderBy("k", "anchor_pos"))})
-    else:
-        walk = ranking.running_sum(ranking.row_numbers(priced, ["k", "anchor_pos"], "seq"), F.col("cost"), ["k", "anchor_pos"], "cum_cost")
+    priced = written(priced)
+    n = priced.count()
+    if n > budget >= 1:  # rows after the budget-th can't be paid; ties of its key stay
+        priced = priced.where(F.col("k") <= ranking.value_at(priced, "k", budget, size=n)[0])
+    walk = ranking.running_sums(priced, {"seq": F.lit(1).cast("long"), "cum_cost": F.col("cost")}, ["k", "anchor_pos"])
     return walk.where(F.col("cum_cost") <= budget).select("image_id", "anchor_pos", "seq", "cost", "cum_cost")
 
 

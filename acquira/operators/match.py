@@ -9,11 +9,13 @@ from acquira.functions import boxes
 from acquira.functions.numbers import ratio
 
 
-def greedy(detections: DataFrame, truths: DataFrame, keys: list[str], *, overlap: float = 0.5) -> DataFrame:
+def greedy(detections: DataFrame, truths: DataFrame, keys: list[str], *, overlap: float = 0.5, least_score: float | None = None) -> DataFrame:
     """Truths with recalled: each detection, by score descending (ties by position), takes the free truth that it overlaps most, if enough.
 
-    detections: keys, pos, score, box; truths: keys, pos, box. Groups are folded in the JVM; ties of overlap go to the smaller position.
+    detections: keys, pos, score, box (those under ``least_score`` take no part); truths: keys, pos, box. Groups are folded in the JVM; ties of overlap go to the smaller position.
     """
+    if least_score is not None:
+        detections = detections.where(F.col("score") >= least_score)
     d = detections.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("k"), "pos", "box"))).alias("_d"))
     t = truths.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "box"))).alias("_t"))
     both = t.join(d, keys, "left")

@@ -19,6 +19,96 @@ def _unit(col, dim: int | None = None) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
 
 
+def nearest_rows(df: DataFrame, reference: DataFrame, *, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """id and near: (similarity, id) of the k nearest reference rows, similarity rounded to nine places, ties to the smaller id."""
+    n = reference.count()
+    near = T.ArrayType(T.StructType([T.StructField("similarity", T.DoubleType()), T.StructField("id", T.LongType())]))
+    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), df.schema[vector_col], T.StructField("near", near)])
+    out = df.select(id_col, vector_col, F.array().cast(near).alias("near"))
+    blocks = -(-n // block_rows)
+    for b in range(blocks):
+        part = reference if blocks == 1 else reference.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == b)
+        block = part.select(F.col(id_col).cast("long").alias("id"), vector_col).toArrow()
+        shared = df.sparkSession.sparkContext.broadcast((block.column(0).to_numpy(), _unit(block.column(1))))
+
+        def run(batches, shared=shared):
+            ids, ref = shared.value
+            for batch in batches:
+                x, old, found = _unit(batch.column(1)), batch.column(2).to_pylist(), []
+                for lo in range(0, len(x), 1024):
+                    s = np.round(x[lo:lo + 1024] @ ref.T, 9)
+                    edge = -np.partition(-s, min(k, s.shape[1]) - 1, 1)[:, min(k, s.shape[1]) - 1] if s.shape[1] else np.zeros(len(s))
+                    for o, row, least in zip(old[lo:lo + 1024], s, edge, strict=True):
+                        at = np.flatnonzero(row >= least)
+                        have = [(r["similarity"], r["id"]) for r in o] + list(zip(row[at].tolist(), ids[at].tolist(), strict=True))
+                        found.append([{"similarity": v, "id": i} for v, i in sorted(have, key=lambda z: (-z[0], z[1]))[:k]])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.struct([("similarity", pa.float64()), ("id", pa.int64())])))], schema.names)
+
+        out = out.mapInArrow(run, schema)
+    return out.select(id_col, "near")
+
+
+#: Pivots of a range search, rows of a cell that one task compares, and rows that it compares them with.
+PIVOTS, CELL_ROWS = 256, 4096
+
+
+def within(df: DataFrame, *, eps: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """a, b of rows within eps in cosine distance, both ways, each with itself.
+
+    Rows live in the cell of their nearest pivot (of PIVOTS rows, by hash); a row visits the cells whose ball it can reach, by the
+    triangle inequality on unit vectors, so no row is compared with all and no pair is lost. Cells larger than CELL_ROWS are cut.
+    """
+    spark = df.sparkSession
+    reach = float(np.sqrt(2 * max(eps, 0.0))) + 1e-6
+    kind = df.schema[key].dataType
+    rows = df.select(F.col(key).alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    pivots = _unit(rows.orderBy(F.xxhash64("k"), "k").limit(PIVOTS).select("v").toArrow().column(0))
+    shared = spark.sparkContext.broadcast(pivots)
+    homed = T.StructType([T.StructField("k", kind), rows.schema["v"], T.StructField("cell", T.IntegerType()), T.StructField("far", T.DoubleType())])
+
+    def away(x: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(2 - 2 * (x @ shared.value.T), 0))
+
+    def house(batches):
+        for b in batches:
+            d = away(_unit(b.column(1)))
+            cell = d.argmin(1) if len(d) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])], homed.names)
+
+    from acquira.sources.shared import written
+
+    homes = written(rows.mapInArrow(house, homed))
+    balls = {r.cell: (r.far, -(-r.n // CELL_ROWS)) for r in homes.groupBy("cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect()}  # one row a pivot
+    radius = np.array([balls.get(i, (-np.inf, 0))[0] for i in range(len(pivots))])
+    visit = T.StructType([T.StructField("k", kind), rows.schema["v"], T.StructField("cell", T.IntegerType())])
+
+    def call(batches):
+        for b in batches:
+            who, cell = np.nonzero(away(_unit(b.column(1))) <= radius + reach)
+            take = pa.array(who)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(cell.astype(np.int32))], visit.names)
+
+    cuts = F.create_map(*[F.lit(x) for c, (_, m) in balls.items() for x in (c, m)]) if balls else F.create_map().cast("map<int,int>")
+    part = F.pmod(F.xxhash64("k"), F.element_at(cuts, F.col("cell"))).cast("int")
+    visitors = homes.select("k", "v").mapInArrow(call, visit).withColumn("part", F.explode(F.sequence(F.lit(0), F.element_at(cuts, F.col("cell")) - 1)))
+    visitors = visitors.withColumn("share", F.pmod(F.xxhash64("k", F.lit(1)), F.element_at(cuts, F.col("cell"))).cast("int"))
+    there = homes.select("k", "v", "cell", part.alias("part")).withColumn("share", F.explode(F.sequence(F.lit(0), F.element_at(cuts, F.col("cell")) - 1)))
+    pairs = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return pa.table([left["k"].slice(0, 0), left["k"].slice(0, 0)], pairs.names)
+        x, y, ka, kb, out = _unit(left["v"]), _unit(right["v"]), left["k"].combine_chunks(), right["k"].combine_chunks(), []
+        same = ka.to_numpy(zero_copy_only=False)
+        for lo in range(0, len(x), 512):
+            i, j = np.nonzero((1 - x[lo:lo + 512] @ y.T <= eps + 1e-9) | (same[lo:lo + 512, None] == kb.to_numpy(zero_copy_only=False)[None, :]))
+            out.append(pa.table([ka.take(pa.array(i + lo)), kb.take(pa.array(j))], pairs.names))
+        return pa.concat_tables(out)
+
+    by = ["cell", "part", "share"]
+    return visitors.groupBy(*by).cogroup(there.groupBy(*by)).applyInArrow(compare, pairs)
+
+
 def nearest(df: DataFrame, reference: DataFrame, *, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """id and near: the k greatest cosines to reference rows, descending (fewer, if the reference is smaller).
 

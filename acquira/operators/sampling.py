@@ -15,7 +15,12 @@ def objects(counts: DataFrame) -> DataFrame:
 
 
 def exact_quota(pool: DataFrame, demand: DataFrame, *, seed: object, held: DataFrame | None = None) -> DataFrame:
-    """For each class as many objects as demanded: those held first, the others by a seeded hash. demand: class_name, quota."""
+    """For each class as many objects as demanded: those held first, the others by a seeded hash. demand: class_name, quota.
+
+    A class that the pool can't supply raises.
+    """
+    if missing := shortfall(pool, demand).collect():  # one row a class
+        raise ValueError(f"objects are missing: {dict(map(tuple, missing))}")
     keys = ["image_id", "class_name", "ordinal"]
     d = pool if held is None else pool.join(held.select(*keys, F.lit(True).alias("held")), keys, "left")
     first = F.lit(0) if held is None else F.when(F.coalesce("held", F.lit(False)), 0).otherwise(1)

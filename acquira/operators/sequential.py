@@ -19,20 +19,10 @@ from pyspark.sql import functions as F
 
 from acquira.functions import ranking
 
-#: Rows that a choice on the driver alone takes at most.
-MOST_ROWS = 200_000
 #: Rows that a pass brings to the driver.
 AHEAD = 4096
 
 
-def bounded(df: DataFrame) -> pd.DataFrame:
-    """df on the driver, refused if it is larger than a sequential choice may be."""
-    rows = df.limit(MOST_ROWS + 1).toPandas()
-    if len(rows) > MOST_ROWS:
-        raise ValueError(f"a sequential choice takes {MOST_ROWS} rows at most: gate the pool first")
-    return rows
-
-
 def power_allocation(counts: Mapping[str, int], *, total: int, alpha: float = 0.0, minimum: int = 1) -> dict[str, int]:
     """Shares of a total by count ** alpha that no class's count is below: what a full class can't take is shared again.
 
@@ -139,7 +129,7 @@ def k_centre(pool: DataFrame, *, budget: int, reference: np.ndarray | None = Non
 
 def greedy_batch(pool: DataFrame, *, quota: int, mu: float, shortlist: int = 20, vector: str = "embedding") -> pd.DataFrame:
     """pos, score in pick order: base less mu times the rank-normalised similarity to the batch, among the quota * shortlist best."""
-    rows = bounded(pool.orderBy(F.desc("base"), "pos").limit(quota * shortlist))
+    rows = pool.orderBy(F.desc("base"), "pos").limit(quota * shortlist).toPandas()
     rows = rows.sort_values(["base", "pos"], ascending=[False, True]).reset_index(drop=True)
     x, near, out = np.stack([np.asarray(v, float) for v in rows[vector]]), np.zeros(len(rows)), []
     alive = np.ones(len(rows), bool)
@@ -210,11 +200,17 @@ def image_memory(counts: DataFrame, demand: Mapping[str, int], *, priority: list
                 missing[c] = max(0, missing[c] - n)
 
     if priority is not None:
-        for r in bounded(counts.orderBy("image_id", "class_name")).itertuples():
-            held.setdefault(r.image_id, {})[r.class_name] = r.n
-        for i in priority:
-            if any(missing.values()) and gain(i):
-                take(i)
+        spark, kind = counts.sparkSession, counts.select("image_id").schema
+        for lo in range(0, len(priority), ahead):
+            if not any(missing.values()):
+                break
+            some = priority[lo:lo + ahead]
+            held = {i: {} for i in some}
+            for r in counts.join(F.broadcast(spark.createDataFrame([(i,) for i in some], kind)), "image_id", "left_semi").collect():
+                held[r.image_id][r.class_name] = r.n
+            for i in some:
+                if any(missing.values()) and gain(i):
+                    take(i)
         return out
     images = counts.groupBy("image_id").agg(F.collect_list(F.struct("class_name", "n")).alias("held")).persist()
     while any(missing.values()):

@@ -103,11 +103,11 @@ def alias_ids(spark, sf):
     return o.select("o_orderkey", "alias", text.source_id(F.col("alias")).alias("source"))
 
 
-@query("SELECT class_name, round(pow(50.0, -(CAST(r AS DOUBLE)) / 14), 6) AS weight FROM (SELECT class_name, row_number() OVER (ORDER BY n DESC, class_name) - 1 AS r FROM class_groups) x")
+@query("SELECT class_name, round(pow(50.0, -(CAST(r AS DOUBLE)) / (c - 1)), 6) AS weight FROM (SELECT class_name, row_number() OVER (ORDER BY n DESC, class_name) - 1 AS r, count(*) OVER () AS c FROM class_groups) x")
 def schedule_weights(spark, sf):
     g = t.class_groups(t.image_counts(t.oracle(t.proposals(spark, sf))))
     g = g.withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), "class_name")) - 1).withColumn("c", F.count("*").over(Window.partitionBy()))
-    return g.select("class_name", r6(numbers.schedule_weight(F.col("r").cast("double"), F.lit(15), 50.0), "weight"))
+    return g.select("class_name", r6(numbers.schedule_weight(F.col("r").cast("double"), F.col("c"), 50.0), "weight"))
 
 
 @query("SELECT event_id, round(value / nullif(coalesce(nullif(CAST(user_id % 3 AS DOUBLE), 0), CAST(user_id % 5 AS DOUBLE)), 0), 6) AS rate, CASE WHEN user_id % 4 > 0 THEN round((value - user_id % 4) / (user_id % 4), 6) END AS gain, coalesce(value >= 0.5, false) AS met FROM events", base=False)

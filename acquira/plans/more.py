@@ -20,11 +20,14 @@ def population_gate_nms(spark, sf):
     return gates.gate_then_suppress(t.proposals(spark, sf), "objectness", share=0.3).where("kept").select("pos")
 
 
-@query((t.BASE + _TRUTH + _MATCH + "SELECT coalesce(tr.class_name, 'all') AS class_name, count(*) AS truths, count(w.pos) AS recalled, round(CAST(count(w.pos) AS DOUBLE)/count(*), 6) AS recall FROM tr LEFT JOIN won w ON w.pos = tr.pos GROUP BY GROUPING SETS ((tr.class_name), ())").replace("WITH ", "WITH RECURSIVE ", 1), base=False)
+_BY_CLASS = (_TRUTH + _MATCH).replace("tr AS (SELECT s.image_id,", "tr AS (SELECT s.image_id || '|' || o.class_name AS image_id,").replace("dt AS (SELECT image_id,", "dt AS (SELECT image_id || '|C' || class_id AS image_id,").replace("WHERE l_linestatus = 'O')", "WHERE l_linestatus = 'O' AND objectness >= 0.6)")
+
+
+@query((t.BASE + _BY_CLASS + "SELECT coalesce(tr.class_name, 'all') AS class_name, count(*) AS truths, count(w.pos) AS recalled, round(CAST(count(w.pos) AS DOUBLE)/count(*), 6) AS recall FROM tr LEFT JOIN won w ON w.pos = tr.pos GROUP BY GROUPING SETS ((tr.class_name), ())").replace("WITH ", "WITH RECURSIVE ", 1), base=False)
 def recall_by_class(spark, sf):
     truth, found = truths_and_detections(spark, sf)
-    m = match.greedy(found, truth.select("pos", "image_id", "box"), ["image_id"])
-    return match.recall(m.join(truth.select("pos", "class_name"), "pos"), "class_name")
+    found = found.withColumn("class_name", F.concat(F.lit("C"), F.col("class_id").cast("string")))
+    return match.recall(match.greedy(found, truth.select("pos", "image_id", "class_name", "box"), ["image_id", "class_name"], least_score=0.6), "class_name")
 
 
 @query("SELECT p.pos, p.image_id || '#' || p.pos AS key, e.label FROM proposals p JOIN embeddings e ON e.vec_id = p.vec_id")

@@ -24,7 +24,7 @@ _POOL = ", pool AS (SELECT image_id, class_name, CAST(unnest(range(n)) AS BIGINT
 @query(_POOL + "SELECT image_id, class_name, ordinal, rn FROM (SELECT *, row_number() OVER (PARTITION BY class_name ORDER BY sha256('3|' || class_name || '|' || image_id || '|' || ordinal), image_id, ordinal) AS rn FROM pool) z WHERE rn <= 40")
 def exemplar_quota(spark, sf):
     c = counts(spark, sf)
-    demand = c.select("class_name").distinct().withColumn("quota", F.lit(40))
+    demand = c.groupBy("class_name").agg(F.least(F.sum("n"), F.lit(40)).alias("quota"))
     return sampling.exact_quota(sampling.objects(c), demand, seed=3)
 
 
@@ -32,7 +32,7 @@ def exemplar_quota(spark, sf):
 def exemplar_incumbents(spark, sf):
     c = counts(spark, sf)
     pool = sampling.objects(c)
-    demand = c.select("class_name").distinct().withColumn("quota", F.lit(60))
+    demand = c.groupBy("class_name").agg(F.least(F.sum("n"), F.lit(60)).alias("quota"))
     return sampling.exact_quota(pool, demand, seed=3, held=pool.where("image_id % 9 = 0"))
 
 
@@ -137,10 +137,6 @@ _UNIT = "WITH u AS (SELECT vec_id, label, list_transform(embedding, lambda x: CA
 @query(_UNIT + ", p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a, u b WHERE 1 - list_dot_product(a.v, b.v) <= 0.5 + 1e-9 OR a.vec_id = b.vec_id), core AS (SELECT a FROM p GROUP BY a HAVING count(*) >= 5) SELECT vec_id, CASE WHEN vec_id IN (SELECT a FROM core) THEN 'core' WHEN vec_id IN (SELECT p.a FROM p JOIN core c ON c.a = p.b) THEN 'border' ELSE 'noise' END AS status FROM embeddings", base=False)
 def dbscan_status(spark, sf):
     e = t.read(spark, sf, "embeddings")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        from acquira.sources.shared import checkpoint_folder
-
-        spark.sparkContext.setCheckpointDir(checkpoint_folder(spark))
     return clusters.dbscan(e, eps=0.5, minimum=5).select("vec_id", "status")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import json
 import os
@@ -21,23 +22,38 @@ def write_csv(parts: Iterable[DataFrame], path: str) -> None:
     out.coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
+def _rows(df: DataFrame, limit: int) -> list:
+    """All rows; more than ``limit`` raise."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"a report table holds {limit} rows at most")
+    return rows
+
+
 def _cell(v: object, digits: int) -> str:
     return "—" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v)
 
 
 def to_markdown(df: DataFrame, *, digits: int = 2, limit: int = 1000) -> str:
-    """A report table (of at most ``limit`` rows) as Markdown; missing is a dash."""
-    rows = [[_cell(v, digits) for v in r] for r in df.limit(limit).collect()]
+    """A report table as Markdown; missing is a dash. More than ``limit`` rows raise."""
+    rows = [[_cell(v, digits) for v in r] for r in _rows(df, limit)]
     return "\n".join("| " + " | ".join(r) + " |" for r in [df.columns, ["---"] * len(df.columns), *rows]) + "\n"
 
 
 def to_latex(df: DataFrame, *, digits: int = 2, limit: int = 1000) -> str:
     safe = lambda s: "".join("\\" + c if c in "&%$#_{}" else c for c in s)
-    rows = [[safe(_cell(v, digits)) for v in r] for r in df.limit(limit).collect()]
+    rows = [[safe(_cell(v, digits)) for v in r] for r in _rows(df, limit)]
     body = [" & ".join(map(safe, df.columns)) + r" \\", r"\midrule", *(" & ".join(r) + r" \\" for r in rows)]
     return "\n".join([r"\begin{tabular}{" + "l" * len(df.columns) + "}", r"\toprule", *body, r"\bottomrule", r"\end{tabular}", ""])
 
 
+def to_text(df: DataFrame, *, digits: int = 2, limit: int = 1000) -> str:
+    """A report table as plain text: columns padded to their widest cell, two spaces between."""
+    rows = [df.columns, *[[_cell(v, digits) for v in r] for r in _rows(df, limit)]]
+    wide = [max(len(r[i]) for r in rows) for i in range(len(df.columns))]
+    return "\n".join("  ".join(c.ljust(w) for c, w in zip(r, wide, strict=True)).rstrip() for r in rows) + "\n"
+
+
 def canonical_json(value: object) -> bytes:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()
 
@@ -51,14 +67,45 @@ def write_json(value: Mapping, path: str) -> str:
     return hashlib.sha256(canonical_json(value)).hexdigest()
 
 
-def check_split_name(name: str) -> str:
-    """The one marker that a split's name holds; none or several raise."""
+def write_once(value: Mapping, path: str) -> str:
+    """write_json where nothing is; what is there already has to have the same canonical form, else this raises."""
+    digest = hashlib.sha256(canonical_json(value)).hexdigest()
+    if os.path.exists(path):
+        with open(path, encoding="utf-8") as f:
+            if hashlib.sha256(canonical_json(json.load(f))).hexdigest() != digest:
+                raise ValueError(f"{path} holds something else")
+        return digest
+    return write_json(value, path)
+
+
+def write_compressed(value: Mapping, path: str) -> str:
+    """Canonical JSON in gzip without a time or a name, so that equal values make equal files; returns the digest of the JSON."""
+    raw = canonical_json(value)
+    with open(f"{path}.new", "wb") as f:
+        f.write(gzip.compress(raw, mtime=0))
+    os.replace(f"{path}.new", path)
+    return hashlib.sha256(raw).hexdigest()
+
+
+def read_compressed(path: str, digest: str | None = None) -> object:
+    """What write_compressed wrote; another digest than the one named raises."""
+    with gzip.open(path, "rb") as f:
+        raw = f.read()
+    if digest is not None and hashlib.sha256(raw).hexdigest() != digest:
+        raise ValueError(f"{path} has another digest")
+    return json.loads(raw)
+
+
+def check_split_name(name: str, purpose: str = "test") -> str:
+    """The name, if the marker of its purpose is the only one that it holds; readers go by the markers, so all else raises."""
+    if purpose not in MARKERS:
+        raise ValueError(f"{purpose!r} isn't one of {MARKERS}")
     found = [m for m in MARKERS if m in name]
-    if len(found) != 1:
-        raise ValueError(f"{name!r} holds {len(found)} of {MARKERS}")
-    return found[0]
+    if found != [purpose]:
+        raise ValueError(f"{name!r} holds {found}, not only {purpose!r}")
+    return name
 
 
-def write_image_set(images: DataFrame, path: str, name: str) -> None:
-    check_split_name(name)
+def write_image_set(images: DataFrame, path: str, name: str, purpose: str = "test") -> None:
+    check_split_name(name, purpose)
     images.select(F.col("image_id").cast("string").alias("value")).distinct().orderBy("value").coalesce(1).write.mode("overwrite").text(path)

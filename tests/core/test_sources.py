@@ -68,9 +68,25 @@ def test_writers(spark, tmp_path):
     writers.write_csv([a, b], str(tmp_path / "out"))
     assert {tuple(r) for r in spark.read.csv(str(tmp_path / "out"), header=True).collect()} == {("1", "0.5", None), ("2", None, None)}
     assert writers.to_markdown(a) == "| x | y |\n| --- | --- |\n| 1 | 0.50 |\n" and "1 & 0.50" in writers.to_latex(a)
-    assert writers.check_split_name("voc_ft_3") == "ft"
+    assert writers.to_text(a) == "x  y\n1  0.50\n"
     with pytest.raises(ValueError):
-        writers.check_split_name("train_test")
+        writers.to_markdown(spark.range(3), limit=2)
+    assert writers.check_split_name("voc_ft_3", "ft") == "voc_ft_3" and writers.check_split_name("shared_test") == "shared_test"
+    for wrong in ("train_test", "shared_eval", "shared_val", "plain"):
+        with pytest.raises(ValueError):
+            writers.check_split_name(wrong)
+
+
+def test_json_once_and_compressed(tmp_path):
+    path = str(tmp_path / "a.json")
+    digest = writers.write_once({"b": 1, "a": [2]}, path)
+    assert writers.write_once({"a": [2], "b": 1}, path) == digest
+    with pytest.raises(ValueError):
+        writers.write_once({"a": 3}, path)
+    first = writers.write_compressed({"b": 1, "a": [2]}, str(tmp_path / "a.gz"))
+    assert first == digest and writers.read_compressed(str(tmp_path / "a.gz"), digest) == {"a": [2], "b": 1}
+    with pytest.raises(ValueError):
+        writers.read_compressed(str(tmp_path / "a.gz"), "0")
 
 
 def test_stream_of_answers(spark, tmp_path):
