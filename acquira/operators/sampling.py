@@ -92,3 +92,26 @@ def balanced(pool: DataFrame, *, cap: int, seed: object) -> DataFrame:
     order = Window.partitionBy("class_name").orderBy(text.ordered_hash(seed, F.col("class_name"), F.col("image_id"), F.col("ordinal")), *keys)
     d = pool.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= cap)
     return d.join(F.broadcast(have), "class_name").select(*keys, "rn", "balanced")  # one row a class
+
+
+def matched_total(groups: DataFrame, ratios: list[float]) -> DataFrame:
+    """rho, feasible, matched: the greatest total for each severity without an object twice, and the least of these."""
+    w = Window.orderBy(F.desc("n"), "class_name")
+    d = groups.withColumn("rank", F.row_number().over(w) - 1).withColumn("c", F.count("*").over(Window.partitionBy()))  # one row a class
+    d = d.withColumn("rho", F.explode(F.array(*map(F.lit, ratios)))).withColumn("w", F.pow(F.col("rho"), -F.col("rank").cast("double") / (F.col("c") - 1)))
+    f = d.groupBy("rho").agg(F.floor(F.min(F.col("n") / F.col("w")) * F.sum("w")).alias("feasible"))
+    return f.withColumn("matched", F.min("feasible").over(Window.partitionBy()))
+
+
+def achieved_ratio(targets: DataFrame, value: str = "target") -> DataFrame:
+    """rho: greatest over least target; a class without any raises when it is read."""
+    low = F.min(value)
+    return targets.agg(F.when(low > 0, F.max(value) / low).otherwise(F.raise_error(F.lit("every class needs an object")).cast("double")).alias("rho"))
+
+
+def class_states(classes: DataFrame, groups: DataFrame, *, known: int, declared: int) -> DataFrame:
+    """class_name, state (known, declared, unknown) by place in the order of classes, tail_band: unknown and in the tail."""
+    p = F.col("class_pos")
+    state = F.when(p < known, "known").when(p < known + declared, "declared").otherwise("unknown")
+    d = classes.select("class_name", state.alias("state")).join(F.broadcast(groups.select("class_name", "grp")), "class_name", "left")  # one row a class
+    return d.select("class_name", "state", F.coalesce((F.col("state") == "unknown") & (F.col("grp") == "tail"), F.lit(False)).alias("tail_band"))
