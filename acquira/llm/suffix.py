@@ -22,22 +22,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from acquira.llm.shared import BYTE_VALUES, _power_table, block_of, column_bytes, cut_keys, key_ranges, materialize, mix, pack_keys, shuffle_partitions, unpack_keys, write_blocks
+from acquira.llm.shared import BYTE_VALUES, Scratch, _power_table, block_of, column_bytes, cut_keys, key_ranges, mix, pack_keys, shuffle_partitions, unpack_keys
 
 _U = np.uint64
 GRAM = 16
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+#: Bytes of dictionary entries that are ranked at a time, and of a block's texts on the whole.
+SLICE_BYTES, BLOCK_BYTES = 2 << 20, 64 << 20
 
 
-def _doubled(b: np.ndarray, width: int) -> dict[int, np.ndarray]:
-    """Hashes of the strings of 1, 2, 4 ... up to width bytes from each place."""
-    out, w, base = {1: BYTE_VALUES[b]}, 1, _U(0xD6E8FEB86659FD93)
-    h = out[1]
-    while w < width:
+def _doubled(b: np.ndarray) -> dict[int, np.ndarray]:
+    """Hashes of the strings of 16 and of 32 bytes from each place, by doubling."""
+    out, w, base = {}, 1, _U(0xD6E8FEB86659FD93)
+    h = BYTE_VALUES[b]
+    while w < 32:
         h = h[:-w] * base + h[w:]
         base = base * base
         w *= 2
-        out[w] = h
+        if w >= GRAM:
+            out[w] = h
     return out
 
 
@@ -54,22 +57,18 @@ class Phrases:
     def of(cls, raw: np.ndarray, offsets: np.ndarray, length: int) -> Phrases:
         triggers = length // 2
         tail = length - triggers + 1  # bytes from the trigger on that each of its strings has
-        valid = np.zeros(len(raw) + 1, bool)
-        size = np.diff(offsets)
-        for_doc = np.zeros(len(raw) + 1, np.int32)
-        long_enough = size >= length
-        np.add.at(for_doc, offsets[:-1][long_enough], 1)
-        np.add.at(for_doc, offsets[1:][long_enough] - length + 1, -1)
-        valid = np.cumsum(for_doc[:-1]) > 0
         parts = []
         with np.errstate(over="ignore"):
             for lo in range(0, len(raw), CHUNK):
                 hi = min(len(raw), lo + CHUNK)
-                starts = np.flatnonzero(valid[lo:hi])
+                first_doc, last_doc = int(np.searchsorted(offsets, lo, "right")) - 1, int(np.searchsorted(offsets, hi, "left"))
+                cuts = np.clip(offsets[first_doc:last_doc + 1], lo, hi) - lo
+                end = np.repeat(offsets[first_doc + 1:last_doc + 1] - lo, np.diff(cuts))  # of the text that each place is in
+                starts = np.flatnonzero(np.arange(hi - lo) + length <= end)
                 if not len(starts):
                     continue
                 b = raw[lo:min(len(raw), hi + length)]
-                by_width = _doubled(b, 32)
+                by_width = _doubled(b)
                 low = (mix(by_width[GRAM]) & ~_U((1 << 24) - 1)) | np.arange(len(by_width[GRAM]), dtype=np.int64).astype(_U)
                 width = 1
                 while width * 2 <= triggers:
@@ -121,15 +120,25 @@ def suffix_ranks(text: np.ndarray, length: int) -> np.ndarray:
     return rank
 
 
-def _place_of(bounds: list[int], key: Column) -> Column:
-    """How many of the ascending bounds are at most the key, counted in two steps; a null key is above all."""
-    if not bounds:
-        return F.lit(0)
-    k = max(1, int(len(bounds) ** 0.5))
-    every, some = F.array(*[F.lit(b) for b in bounds]), F.array(*[F.lit(b) for b in bounds[::k]])
-    coarse = F.greatest(F.size(F.filter(some, lambda b: b <= key)) - 1, F.lit(0)) * k
-    fine = F.size(F.filter(F.slice(every, coarse + 1, F.lit(k)), lambda b: b <= key))
-    return F.when(key.isNull(), F.lit(len(bounds))).otherwise(coarse + fine).cast("int")
+def _place_of(bounds: list[int], key: Column, part: Column, spare: int) -> Column:
+    """The block of a key between ascending bounds, counted in two steps; null keys are above all.
+
+    A bound that occurs m times stands for a key with many rows: they go to m + 1 blocks by ``part`` (0 to 1, without 1). Null keys
+    go to ``spare`` blocks in the same way.
+    """
+    def below(k: Column, equal: bool) -> Column:
+        step = max(1, int(len(bounds) ** 0.5))
+        test = (lambda b: b <= k) if equal else (lambda b: b < k)
+        every, some = F.array(*[F.lit(b) for b in bounds]), F.array(*[F.lit(b) for b in bounds[::step]])
+        coarse = F.greatest(F.size(F.filter(some, test)) - 1, F.lit(0)) * step
+        return coarse + F.size(F.filter(F.slice(every, coarse + 1, F.lit(step)), test))
+
+    if bounds:
+        low, high = below(key, False), below(key, True)
+        place = low + F.floor(part * (high - low + 1))
+    else:
+        place = F.lit(0)
+    return F.when(key.isNull(), len(bounds) + 1 + F.floor(part * spare)).otherwise(place).cast("int")
 
 
 _ROWS = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("round", T.IntegerType()), T.StructField("data", T.BinaryType())])
@@ -139,22 +148,34 @@ def _rows(block: int, which: int, rows: list[tuple[int, bytes]]) -> pa.Table:
     return pa.table([pa.array([block] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int32()), pa.array([which] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], _ROWS.names)
 
 
-def remove_repeats(df: DataFrame, *, length: int = 100, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans and kept (binary) of every row, then the columns named in ``carry``.
+def remove_repeats(df: DataFrame, *, length: int = 100, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), scratch: Scratch | None = None) -> DataFrame:
+    """id, n_bytes, n_removed, n_spans, kept (binary) and kept_text of every row, then the columns named in ``carry``.
+
+    kept_text is kept without the bytes of characters that a removal cut in two, and null where the text was.
 
     A byte goes if a string of ``length`` bytes that covers it also starts earlier: in a row with a smaller id, or earlier in the
     same row. Strings never cross rows and are judged on the input. Null texts are empty; null ids come after all others; rows
-    with equal ids are in the order of their texts. ``length`` is 32 at least.
+    with equal ids are in the order of a hash of their texts, then of the texts. ``length`` under 32 raises.
+
+    With a ``scratch`` the result is read from its tables, which the caller drops when it is done; else it is written.
     """
+    if length < 32:
+        raise ValueError("strings have 32 bytes at least")
     spark = df.sparkSession
+    own, scratch = scratch is None, scratch or Scratch(df.sparkSession)
     n = min(shuffle_partitions(spark), 65536)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)))
-    n_blocks = shuffle_partitions(spark)
+    total = docs.agg(F.count("*").alias("rows"), F.count("id").alias("ids"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    n_blocks = max(shuffle_partitions(spark), -(-total.bytes // BLOCK_BYTES))
+    spare = -(-n_blocks * (total.rows - total.ids) // max(total.rows, 1))  # the share of rows without an id
     cuts = docs.agg(F.percentile_approx("id", [i / n_blocks for i in range(1, n_blocks)], 20 * n_blocks)).first()[0] if n_blocks > 1 else None
-    blocks = write_blocks(docs.withColumn("place", _place_of(sorted(set(cuts or [])), F.col("id"))), block_of(F.col("place"), n_blocks))
+    docs = docs.withColumn("tie", F.shiftrightunsigned(F.xxhash64("text"), 1))
+    place = _place_of(sorted(cuts or []), F.col("id"), F.col("tie") / float(2**63), max(spare, 1))
+    n_blocks = len(cuts or []) + 1 + max(spare, 1)
+    blocks = scratch.blocks(docs, block_of(F.least(place, F.lit(n_blocks - 1)), n_blocks), n_blocks)
 
     def load(t: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, Phrases]:
-        t = t.take(pa.compute.sort_indices(t, sort_keys=[("id", "ascending"), ("text", "ascending")], null_placement="at_end"))
+        t = t.take(pa.compute.sort_indices(t, sort_keys=[("id", "ascending"), ("tie", "ascending"), ("text", "ascending")], null_placement="at_end"))
         raw, offsets = column_bytes(t["text"])
         return t, raw, offsets, Phrases.of(raw, offsets, length)
 
@@ -227,30 +248,37 @@ def remove_repeats(df: DataFrame, *, length: int = 100, id_col: str = "doc_id",
             contexts.append(np.frombuffer(d, "<u4", m, 4 + 8 * m))
             counts.append(np.frombuffer(d, "<u2", m, 4 + 12 * m).astype(np.int64))
             texts.append(np.frombuffer(d, np.uint8, -1, 4 + 14 * m))
-        key, context, count = np.concatenate(keys), np.concatenate(contexts).astype(_U), np.concatenate(counts)
-        size = count + length - 1
+        key, context, count, text = np.concatenate(keys), np.concatenate(contexts), np.concatenate(counts), np.concatenate(texts)
+        block_no = np.repeat(np.arange(len(order)), [len(k) for k in keys])
+        size, start = count + length - 1, np.concatenate([[0], np.cumsum(count)])
         begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-        text = np.concatenate(texts)
-        by = np.lexsort((np.arange(len(key)), context, key))
-        new = np.concatenate([[True], (key[by][1:] != key[by][:-1]) | (context[by][1:] != context[by][:-1])])
-        entry = np.empty(len(key), np.int64)
-        entry[by] = np.cumsum(new) - 1
-        rep = by[new]  # dictionary entries
-        d_at = np.concatenate([[0], np.cumsum(size[rep])])
-        dictionary = text[np.repeat(begin[rep] - d_at[:-1], size[rep]) + np.arange(d_at[-1])]
-        rank = suffix_ranks(dictionary, length)
-        # each block's strings, in the order that it sent them
-        start = np.concatenate([[0], np.cumsum(count)[:-1]])
-        string = rank[np.repeat(d_at[entry] - start, count) + np.arange(count.sum())]
-        block_no = np.repeat(np.repeat(np.arange(len(order)), [len(k) for k in keys]), count)
-        number = np.unique(string, return_inverse=True)[1]
-        earliest = np.full(number.max(initial=-1) + 1, len(order))
-        np.minimum.at(earliest, number, block_no)
-        answer = np.where(earliest[number] < block_no, 0, number + 1).astype("<u4")
-        cut = np.searchsorted(block_no, np.arange(1, len(order)))
+        by = np.lexsort((block_no, context, key))
+        new_key = np.concatenate([[True], key[by][1:] != key[by][:-1]])
+        new = new_key | np.concatenate([[True], context[by][1:] != context[by][:-1]])
+        answer = np.zeros(start[-1], "<u4")
+        # strings under different triggers differ, so triggers are taken some at a time
+        step = np.cumsum(np.where(new, size[by], 0)) // SLICE_BYTES
+        heads = np.flatnonzero(new_key)
+        cuts = [*heads[np.unique(step[heads], return_index=True)[1]], len(by)]
+        numbers = 0
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            x, first = by[lo:hi], new[lo:hi]
+            rep, entry = x[first], np.cumsum(first) - 1  # dictionary entries, and each phrase's own
+            d_at = np.concatenate([[0], np.cumsum(size[rep])])
+            dictionary = text[np.repeat(begin[rep] - d_at[:-1], size[rep]) + np.arange(d_at[-1])]
+            rank = suffix_ranks(dictionary, length)
+            n_strings = count[x]
+            inner = np.arange(n_strings.sum()) - np.repeat(np.concatenate([[0], np.cumsum(n_strings)[:-1]]), n_strings)
+            number = np.unique(rank[np.repeat(d_at[entry], n_strings) + inner], return_inverse=True)[1]
+            block = np.repeat(block_no[x], n_strings)
+            earliest = np.full(number.max(initial=-1) + 1, len(order))
+            np.minimum.at(earliest, number, block)
+            answer[np.repeat(start[x], n_strings) + inner] = np.where(earliest[number] < block, 0, numbers + number + 1)
+            numbers += len(earliest)
+        cut = start[np.searchsorted(block_no, np.arange(1, len(order)))]
         return pa.table([t["block"].take(pa.array(order)), t["part"], t["round"], pa.array([x.tobytes() for x in np.split(answer, cut)], pa.binary())], _ROWS.names)
 
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType()), *(f for f in blocks.schema if f.name.startswith("carried_"))])
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType()), *(f for f in blocks.schema if f.name.startswith("carried_"))])
 
     def finish(t: pa.Table, got: pa.Table) -> pa.Table:
         if not len(t):
@@ -265,8 +293,8 @@ def remove_repeats(df: DataFrame, *, length: int = 100, id_col: str = "doc_id",
 
         first_here = np.zeros(len(p.key), bool)
         first_here[one] = True
-        own = code[place]
-        gone = (own == 1) | ((own == 0) & ~first_here)
+        verdict = code[place]
+        gone = (verdict == 1) | ((verdict == 0) & ~first_here)
         cover(p.first[gone], p.last[gone] + length)
         if len(unsure):
             rows = sorted((q, d) for q, r, d in zip(got["part"].to_pylist(), got["round"].to_pylist(), got["data"].to_pylist(), strict=True) if r == 2)
@@ -279,7 +307,7 @@ def remove_repeats(df: DataFrame, *, length: int = 100, id_col: str = "doc_id",
                 number[total[at[q]]:total[at[q + 1]]] = np.where(x > 0, x + (q << 32), 0)
             index = np.full(len(one), -1)
             index[unsure] = np.arange(len(unsure))
-            mine = np.flatnonzero(own == 2)
+            mine = np.flatnonzero(verdict == 2)
             c = count[index[place[mine]]]
             at_start = np.concatenate([[0], np.cumsum(c)])
             inner = np.arange(at_start[-1]) - np.repeat(at_start[:-1], c)
@@ -289,20 +317,26 @@ def remove_repeats(df: DataFrame, *, length: int = 100, id_col: str = "doc_id",
             again = np.concatenate([[False], what[o][1:] == what[o][:-1]])
             bad = where[o][again | (what[o] == 0)]
             cover(bad, bad + length)
-        out = np.cumsum(change[:-1]) > 0
+        out = np.cumsum(change[:-1], dtype=np.int32) > 0
         head = out.copy()
         head[1:] &= ~out[:-1]
         s = offsets[:-1][np.diff(offsets) > 0]
         head[s] = out[s]
-        sums, heads = np.concatenate([[0], np.cumsum(out)]), np.concatenate([[0], np.cumsum(head)])
+        sums, heads = np.zeros(len(out) + 1, np.int32), np.zeros(len(out) + 1, np.int32)
+        np.cumsum(out, out=sums[1:])
+        np.cumsum(head, out=heads[1:])
         removed, spans = sums[offsets[1:]] - sums[offsets[:-1]], heads[offsets[1:]] - heads[offsets[:-1]]
         kept = raw[~out]
         kept_at = np.concatenate([[0], np.cumsum(np.diff(offsets) - removed)]).astype(np.int32)
         column = pa.Array.from_buffers(pa.binary(), len(t), [None, pa.py_buffer(kept_at.tobytes()), pa.py_buffer(kept.tobytes())])
-        return pa.table([t["id"], pa.array(np.diff(offsets)), pa.array(removed.astype(np.int64)), pa.array(spans.astype(np.int64)), column, *(t[c] for c in schema.names[5:])], schema.names)
+        kept_at = kept_at.tolist()
+        cut_texts = {i: kept[kept_at[i]:kept_at[i + 1]].tobytes().decode("utf-8", "ignore") for i in np.flatnonzero(removed).tolist()}
+        texts = t["text"] if not cut_texts else pa.array([cut_texts.get(i, x) for i, x in enumerate(t["text"].to_pylist())], pa.string())
+        return pa.table([t["id"], pa.array(np.diff(offsets)), pa.array(removed.astype(np.int64)), pa.array(spans.astype(np.int64)), column, texts, *(t[c] for c in schema.names[6:])], schema.names)
 
     by_block = lambda d: d.groupBy("block")
-    one = materialize(by_block(blocks).applyInArrow(ask_phrases, _ROWS).groupBy("part").applyInArrow(judge_phrases, _ROWS))
-    two = materialize(by_block(blocks).cogroup(by_block(one)).applyInArrow(ask_strings, _ROWS).groupBy("part").applyInArrow(judge_strings, _ROWS))
+    one = scratch.write(by_block(blocks).applyInArrow(ask_phrases, _ROWS).groupBy("part").applyInArrow(judge_phrases, _ROWS))
+    two = scratch.write(by_block(blocks).cogroup(by_block(one)).applyInArrow(ask_strings, _ROWS).groupBy("part").applyInArrow(judge_strings, _ROWS))
     out = by_block(blocks).cogroup(by_block(one.unionByName(two))).applyInArrow(finish, schema)
-    return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept", *(F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)))
+    out = out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept", "kept_text", *(F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)))
+    return scratch.finish(out) if own else out

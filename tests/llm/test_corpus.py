@@ -133,6 +133,23 @@ def test_repeated_strings_null_ids_are_last(spark):
     assert got == {2: 0, 4: len(t), None: len(t)}
 
 
+def test_repeated_strings_of_rows_with_one_id(spark):
+    """Most rows share an id or have none: they go to several blocks, in the order of their texts' hashes."""
+    rng = random.Random(5)
+    passages = ["".join(rng.choice("abcdefgh ") for _ in range(130)) for _ in range(6)]
+    rows = [f"{i} " + rng.choice(passages) + f" {i * 7}" + rng.choice(passages) for i in range(60)] + [None, "�" + passages[0] + "é�"]
+    ids = [5] * 25 + [None] * 25 + list(range(12))
+    df = frame(spark, rows, [None if i is None else i for i in ids])
+    tie = {r.text: r.tie for r in df.select("text", F.shiftrightunsigned(F.xxhash64("text"), 1).alias("tie")).collect()}
+    order = sorted(range(len(rows)), key=lambda k: (ids[k] is None, ids[k] or 0, tie[rows[k]], rows[k] or ""))
+    want = sorted(((ids[k], rows[k], *r) for k, r in zip(order, repeats([rows[k] for k in order], 100))), key=str)
+    got = suffix.remove_repeats(df.withColumn("was", F.col("text")), length=100, carry=["was"]).collect()
+    assert sorted(((r.doc_id, r.was, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got), key=str) == want
+    assert all(r.kept_text == (None if r.was is None else bytes(r.kept).decode("utf-8", "ignore")) for r in got)
+    with pytest.raises(ValueError):
+        suffix.remove_repeats(df, length=31)
+
+
 def test_suffix_ranks():
     import numpy as np
 
