@@ -1,7 +1,8 @@
 """The corpus pipeline: from documents to token digests in five stages, each written and read again.
 
-Every stage works on all rows that the one before it kept. A null text counts as empty, except for language identification, which
-rejects it. Rows with a null id pass deduplication as they are.
+Every stage works on all rows that the one before it kept, takes the columns of documents (all of them have to be there, others are
+dropped) and, but for the last, returns them. A null text counts as empty, except for language identification, which rejects it. Rows
+with a null id pass deduplication as they are.
 """
 
 from __future__ import annotations
@@ -22,18 +23,19 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents that links join, the one with the smallest id stays; of rows that share an id, one."""
+    """Of the documents that links join, the one with the smallest id stays; of its rows, one of each text, the least by its columns."""
     found = ngram_join.jaccard_components(docs)
-    stay = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.select(*COLUMNS).join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
+    stay = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    named = docs.select(*COLUMNS).join(stay, "doc_id")
+    rest = ["lang", "source", "n_chars"]
+    several = named.where("rows > 1").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("r")).select("doc_id", "text", "r.*")
+    return named.where("rows = 1").select(*COLUMNS).unionByName(several).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
 
 
 def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated strings of 100 bytes leave the texts; a character that is cut in two goes with them."""
     out = suffix.remove_repeats(docs, length=100, carry=["text", "lang", "source", "n_chars"])
-    rest = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit(""))
-    out = out.withColumn("text", F.when(F.col("n_removed") > 0, rest).otherwise(F.col("text")))
+    out = out.withColumn("text", F.col("kept_text"))
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
