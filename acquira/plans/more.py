@@ -89,3 +89,40 @@ def distribution_aware_order(spark, sf):
 def distribution_aware_rounds(spark, sf):
     pool = gated_pool(spark, sf).withColumn("entropy", F.round("u", 9)).select("pos", "entropy", "image_id", "cost", "embedding").persist()
     return spark.createDataFrame(allocation.rounds(pool, reference(spark, sf), budget=120, n=2), "round int, image_id long, cost long")
+
+
+# ---- research campaigns and registered arms
+
+
+def arm_pool(spark, sf):
+    return gated_pool(spark, sf, share=1.0).select("pos", "image_id", "cost", "a", F.round("u", 9).alias("entropy"), "embedding")
+
+
+@query()
+def research_campaign(spark, sf):
+    from acquira.operators import arms, research
+
+    pool = arms.candidates("research_v2", arm_pool(spark, sf))
+    return research.campaign(pool, arms.ARMS["research_v2"].spec, budget=60, rounds=2, reference=reference(spark, sf)).withColumn("score", F.round("score", 6))
+
+
+def _arm(name: str):
+    def plan(spark, sf):
+        from acquira.operators import arms
+
+        pool = arm_pool(spark, sf)
+        return arms.select(name, pool if arms.ARMS[name].semantic else pool.drop("embedding"), budget=60, seed=3, reference=reference(spark, sf))
+
+    plan.__name__ = f"arm_{name}"
+    return plan
+
+
+_GATED = ", g AS (SELECT k.pos, image_id, round(a, 9) AS a, round(u, 9) AS u, row_number() OVER (ORDER BY round(a, 9) DESC, k.pos) AS rn, count(*) OVER () AS n FROM scored JOIN kept k USING (pos)), f AS ({first}), r AS (SELECT row_number() OVER (ORDER BY key, pos) AS seq, f.image_id, cost, sum(cost) OVER (ORDER BY key, pos) AS cum FROM f JOIN image_cost USING (image_id)) SELECT seq, image_id, cost FROM r WHERE cum <= 60"
+_ARM_SQL = {
+    "admissibility": "SELECT image_id, min(rn) AS key, min(rn) AS pos FROM g GROUP BY image_id",
+    "entropy": "SELECT image_id, min(o) AS key, min(o) AS pos FROM (SELECT image_id, row_number() OVER (ORDER BY u DESC, pos) AS o FROM g) z GROUP BY image_id",
+    "cost_aware": "SELECT image_id, -round(sum(a), 9) AS key, image_id AS pos FROM g WHERE rn <= greatest(CAST(round_even(n * CAST(0.3 AS DOUBLE), 0) AS BIGINT), 1) GROUP BY image_id",
+    "random": "SELECT image_id, CAST('0x' || substr(min(sha256('3|' || pos)), 1, 13) AS BIGINT) AS key, image_id AS pos FROM g GROUP BY image_id",
+}
+for _name in ("random", "admissibility", "proposed", "entropy", "coreset", "proposed_v2", "cost_aware", "distribution_aware_v1", "research_v2_plan", "research_v2_no_gate"):
+    query(nms_sql(_GATED.format(first=_ARM_SQL[_name])).replace("ORDER BY objectness DESC, pos) AS r FROM scored", "ORDER BY round(a, 9) DESC, pos) AS r FROM scored") if _name in _ARM_SQL else None, base=False)(_arm(_name))
