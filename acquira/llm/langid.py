@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import itertools
+import random
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,16 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from acquira.llm.shared import column_bytes, small_batches
+from acquira.llm.shared import column_bytes
 
 DIMENSIONS = 1 << 13
 #: Tasks that add up the counts, so rows that reach the driver: this many for each language.
 MERGERS = 4
 #: Two languages' losses closer than this share of the better one's make a prediction ambiguous.
 AMBIGUOUS = 0.05
-#: Up to this many languages every split of them into two has a classifier; beyond it, random codes are drawn.
-EXHAUSTIVE = 7
+#: Classifiers for each doubling of the number of languages.
+BITS = 20
 SLICE = 1 << 19
+#: Rows that are predicted at a time.
+ROWS = 1000
 
 _LETTER = np.full(256, 0x20, np.uint8)
 _LETTER[65:91] = np.arange(97, 123)
@@ -28,17 +30,22 @@ _LETTER[97:123] = np.arange(97, 123)
 _LETTER[128:] = np.arange(128, 256)
 
 
-def codewords(n: int, seed: int = 7) -> np.ndarray:
-    """n rows of +1 and -1, one column for each binary classifier; no two columns ask the same."""
+def codewords(n: int, seed: int = 7, draws: int = 200) -> np.ndarray:
+    """n rows of +1 and -1, one column for each binary classifier: splits of the languages into two, drawn without repeats.
+
+    BITS for each doubling of the languages are drawn, or all splits if there are fewer; of several draws, the one whose nearest
+    two codewords are furthest apart is taken.
+    """
     if n <= 1:
         return np.ones((n, 0))
-    if n <= EXHAUSTIVE:
-        columns = [c for c in itertools.product((1, -1), repeat=n) if c[0] == 1 and -1 in c]
-        return np.array(columns, float).T
-    rng, best, best_least = np.random.default_rng(seed), None, -1.0
-    for _ in range(200):
-        m = rng.choice([-1.0, 1.0], (n, 10 * int(np.ceil(np.log2(n)))))
-        m = m[:, np.abs(m.sum(0)) < n]
+    splits, bits = (1 << (n - 1)) - 1, BITS * max(1, (n - 1).bit_length())
+    rng, best, best_least = random.Random(seed), None, -1
+    for _ in range(draws if bits < splits else 1):
+        chosen = set(range(1, splits + 1)) if bits >= splits else set()
+        while len(chosen) < min(bits, splits):
+            chosen.add(rng.randint(1, splits))
+        columns = sorted(chosen)
+        m = np.array([[1.0] * len(columns), *([-1.0 if c >> i & 1 else 1.0 for c in columns] for i in range(n - 1))])
         apart = (m.shape[1] - m @ m.T) / 2 + np.diag(np.full(n, np.inf))
         if (least := apart.min()) > best_least:
             best, best_least = m, least
@@ -91,7 +98,7 @@ class Model:
         code = codewords(len(languages))
         half = lambda sign: np.stack([p[code[:, j] == sign].mean(0) for j in range(code.shape[1])], 1) if code.shape[1] else np.zeros((DIMENSIONS, 0))
         w = np.log(half(1) / half(-1))
-        scale = np.abs(p @ w).mean(0)
+        scale = np.abs(p @ w).mean(0) if languages else np.ones(0)
         right = np.stack([(p[i][:, None] * (np.sign(w) == code[i])).sum(0) for i in range(len(languages))]) if languages else np.zeros((0, 0))
         return cls(languages, code, np.vstack([w, np.zeros((1, w.shape[1]))]), np.where(scale > 0, scale, 1), right / np.maximum(right.sum(1, keepdims=True), 1e-12))
 
@@ -159,7 +166,6 @@ def identify(df: DataFrame, *, train: Column, id_col: str = "doc_id", text_col:
     Null texts and texts without a letter are ``und`` with score 0, as is everything if no row could be learned from. Predictions
     use the text alone. Columns of df that have one of the three names give way; repeated rows and null ids stay.
     """
-    small_batches(df.sparkSession)
     model = learn(df.where(train), text_col=text_col, lang_col=lang_col)
     df = df.drop("lang_pred", "score", "ambiguous")
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -168,7 +174,7 @@ def identify(df: DataFrame, *, train: Column, id_col: str = "doc_id", text_col:
 
     def run(batches):
         m = shared.value
-        for batch in batches:
+        for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, max(b.num_rows, 1), ROWS)):
             texts = batch.column(column)
             raw, offsets = column_bytes(texts)
             kinds = np.zeros(256, bool)

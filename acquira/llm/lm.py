@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from acquira.llm.shared import column_bytes, cut_keys, hashed_block, key_ranges, materialize, mix, pack_counts, pack_keys, shuffle_partitions, unpack_counts, unpack_keys, words, write_blocks
+from acquira.llm.shared import Scratch, column_bytes, cut_keys, hashed_block, key_ranges, mix, pack_counts, pack_keys, shuffle_partitions, unpack_counts, unpack_keys, words
 
 _U = np.uint64
 END, START = _U(0xE7D0E7D0E7D0E7D1), _U(0x57A7757A7757A775)
@@ -103,7 +104,8 @@ def score(df: DataFrame, *, train: Column, tune: Column, id_col: str = "doc_id",
     n = min(shuffle_partitions(spark), 65536)
     part = F.when(~F.coalesce(train, F.lit(False)), 2).when(F.coalesce(tune, F.lit(False)), 1).otherwise(0)
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), part.cast("int").alias("role"))
-    blocks = write_blocks(docs, hashed_block(spark, "id"))
+    scratch = Scratch(spark)
+    blocks = scratch.blocks(docs, hashed_block(spark, "id"))
     id_type = blocks.schema["id"].dataType
 
     def ask(t: pa.Table) -> pa.Table:
@@ -133,7 +135,7 @@ def score(df: DataFrame, *, train: Column, tune: Column, id_col: str = "doc_id",
         stats = [pa.array([x if not j else 0 for j in range(len(t))], pa.int64()) for x in totals]
         return pa.table([t["block"], t["part"], t["kind"], pa.array(out, pa.binary()), *stats], _ANSWER.names)
 
-    answers = materialize(blocks.groupBy("block").applyInArrow(ask, _ASK).groupBy("part", "kind").applyInArrow(add, _ANSWER))
+    answers = scratch.write(blocks.groupBy("block").applyInArrow(ask, _ASK).groupBy("part", "kind").applyInArrow(add, _ANSWER))
     va, na, v, total = (int(x or 0) for x in answers.where("kind = 1").agg(*[F.sum(f"n{i}") for i in range(4)]).first())
     answers = answers.select("block", "part", "kind", "data")
 
@@ -175,7 +177,7 @@ def score(df: DataFrame, *, train: Column, tune: Column, id_col: str = "doc_id",
 
     def finish(t: pa.Table, got: pa.Table) -> pa.Table:
         if not len(t):
-            return pa.table([pa.array([], x) for x in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], schema.names)
+            return pa.table([pa.array([], x) for x in (to_arrow_type(id_type), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], schema.names)
         s, uni, bi = read(t, got, 1)
         w, h, hw = uni[s.word_of], uni[s.context_of], bi[s.pair_of]
         lam = weights[bucket(h)]
@@ -186,7 +188,7 @@ def score(df: DataFrame, *, train: Column, tune: Column, id_col: str = "doc_id",
         return pa.table([t["id"], pa.array(t["role"].to_numpy() < 2), pa.array(each(np.ones(len(w), np.int64))), pa.array(each((w > 0).astype(np.int64))), pa.array(each(base)), pa.array(each(np.log10(p)))], schema.names)
 
     out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, schema)
-    return out.select(F.col("id").alias(id_col), "trained", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    return scratch.finish(out.select(F.col("id").alias(id_col), "trained", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"))
 
 
 def learn_weights(bucket: np.ndarray, two: np.ndarray, one: np.ndarray, n: np.ndarray, uniform: float) -> np.ndarray:

@@ -12,6 +12,7 @@ The corpus-wide operators follow one plan, the *hash exchange*:
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -23,6 +24,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
+
+def _return_memory() -> None:
+    """Lets arrays of 1 MB and more go back to the system when they are freed: workers live on, and what they keep adds up."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # from which size on memory is mapped
+        libc.mallopt(-1, 4 << 20)  # how much may stay free at the end of the heap
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+_return_memory()
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _rng = np.random.default_rng(20240517)
@@ -109,27 +123,10 @@ def batch_rows(spark: SparkSession, rows: int):
         spark.conf.set(key, before)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """From now on Arrow batches have so many rows at most: whole texts make batches of the usual 10,000 rows too large."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    spark.conf.set(key, str(min(rows, max(1, int(spark.conf.get(key, "10000"))))))
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def write_blocks(df: DataFrame, block: Column) -> DataFrame:
-    """df with its ``block``, as a table bucketed by it: what groups or cogroups by ``block`` afterwards reads it in place."""
-    spark = df.sparkSession
-    n = shuffle_partitions(spark)
-    name, path = f"llm_{uuid.uuid4().hex}", shared_folder(spark)
-    out = df.withColumn("block", block)
-    (out.repartition(n, "block").write.format("parquet").bucketBy(n, "block").option("path", path)
-        .option("compression", "zstd").saveAsTable(name))
-    return spark.table(name)
-
-
 def block_ids(n: int) -> list[int]:
     """n ascending block numbers of which each falls into a bucket of its own, of n (Spark deals buckets by Murmur3 of the number)."""
     rotate = lambda x, r: (x << np.uint32(r)) | (x >> np.uint32(32 - r))

@@ -175,6 +175,7 @@ def remove_repeats(df: DataFrame, *, length: int = 100, id_col: str = "doc_id",
     blocks = scratch.blocks(docs, block_of(F.least(place, F.lit(n_blocks - 1)), n_blocks), n_blocks)
 
     def load(t: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, Phrases]:
+        pa.default_memory_pool().release_unused()
         t = t.take(pa.compute.sort_indices(t, sort_keys=[("id", "ascending"), ("tie", "ascending"), ("text", "ascending")], null_placement="at_end"))
         raw, offsets = column_bytes(t["text"])
         return t, raw, offsets, Phrases.of(raw, offsets, length)

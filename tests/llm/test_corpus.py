@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from acquira.llm import langid, lm, mixing, ngram_join, quality, suffix
 from pyspark.sql import functions as F
@@ -173,6 +174,63 @@ def test_language_model(spark):
         assert got[i].score < 0 and got[i].trained == (i in train)
 
 
+def test_language_model_score_by_plain_loops(spark):
+    """Held-out counts, expectation-maximisation and mixture once more, a token at a time."""
+    rows = [t for t in corpus(12) if t is None or len(t) < 3000] * 2
+    fold = lambda i: zlib.crc32(str(i).encode()) % 10
+    f = langid.fold(F.col("doc_id"), 10)
+    got = {r.doc_id: r.score for r in lm.score(frame(spark, rows), train=f != 0, tune=f == 1).collect()}
+    docs = {i: [None, *words(t), "</s>"] for i, t in enumerate(rows)}
+
+    def counts(ids):
+        uni, bi = Counter(), Counter()
+        for i in ids:
+            uni.update(docs[i][1:])
+            bi.update(zip(docs[i], docs[i][1:]))
+        return uni, bi
+
+    early, early_bi = counts([i for i in docs if fold(i) > 1])
+    na, va = sum(early.values()), len(early)
+    of = lambda uni, h: uni["</s>"] if h is None else uni[h]  # noqa: E731  each document has one end, and one start
+    bucket = lambda c: min(1 + int(math.log2(c)), lm.BUCKETS - 1) if c else 0
+    near = lambda x, y: 2 ** (round(lm.STEPS * math.log2(x / y)) / lm.STEPS) if x else 0.0
+    cells = {}
+    for i in docs:
+        if fold(i) == 1:
+            for h, w in zip(docs[i], docs[i][1:]):
+                c = of(early, h)
+                cells.setdefault(bucket(c), []).append((near(early_bi[h, w], c) if c else 0.0, near(early[w], na), 1 / (va + 1)))
+    weights, last = {0: [0.0, 0.7, 0.3]}, None
+    for b in range(lm.BUCKETS):
+        start = weights[0] if b == 0 else [0.3, 0.5, 0.2] if b == 1 else weights[b - 1]
+        if b not in cells:
+            weights[b] = start
+            continue
+        lam = [0.5, 0.3, 0.2] if b else [0.0, 0.6, 0.4]
+        for _ in range(lm.ROUNDS):
+            share = [[p * x / sum(p * x for p, x in zip(row, lam)) for p, x in zip(row, lam)] for row in cells[b]]
+            new = [sum(r[k] for r in share) / len(share) for k in range(3)]
+            moved, lam = max(abs(x - y) for x, y in zip(new, lam)), new
+            if moved < 1e-9:
+                break
+        lam = [max(x, low) for x, low in zip(lam, [1e-6 if b else 0.0, 1e-6, 1e-6])]
+        weights[b] = [x / sum(lam) for x in lam]
+    uni, bi = counts([i for i in docs if fold(i)])
+    n, v = sum(uni.values()), len(uni)
+    for i, d in docs.items():
+        want = 0.0
+        for h, w in zip(d, d[1:]):
+            c = of(uni, h)
+            lam = weights[bucket(c)]
+            want += math.log10(lam[0] * bi[h, w] / max(c, 1) + lam[1] * uni[w] / n + lam[2] / (v + 1))
+        assert math.isclose(got[i], want, rel_tol=1e-6), (i, got[i], want)
+
+
+def test_language_model_of_ids_as_text(spark):
+    df = spark.createDataFrame([("x", "a b"), (None, None), ("z", "a a")], "doc_id string, text string")
+    assert {r.doc_id: r.n_tokens for r in lm.score(df, train=F.lit(True), tune=F.col("doc_id") == "z").collect()} == {"x": 3, None: 1, "z": 3}
+
+
 def test_learned_weights_sum_to_one_and_follow_the_counts():
     import numpy as np
 
@@ -235,9 +293,47 @@ def test_language_id(spark):
 
 
 def test_codewords_differ():
-    for n in (2, 3, 4, 7, 12):
+    for n in (2, 3, 4, 7, 8, 12, 70):
         m = langid.codewords(n)
-        assert len({tuple(r) for r in m}) == n and len({tuple(c) for c in m.T} | {tuple(-c) for c in m.T}) == 2 * m.shape[1] if n <= 7 else True
+        assert m.shape == (n, min((1 << (n - 1)) - 1, 20 * (n - 1).bit_length())) and len({tuple(r) for r in m}) == n
+        assert len({tuple(c) for c in m.T} | {tuple(-c) for c in m.T}) == 2 * m.shape[1] and (np.abs(m.sum(0)) < n).all()
+
+
+def test_language_id_by_plain_loops(spark):
+    """Counts, weights, margins and losses once more, a text at a time."""
+    rng = random.Random(3)
+    kinds = {"aa": "ab ba aab", "bb": "bc cb éc", "cc": "xa ya za"}
+    langs = sorted(kinds)
+    rows = [(i, " ".join(rng.choice(kinds[langs[i % 3]].split() + ["ab"]) for _ in range(rng.randint(1, 9))) + rng.choice(["", " É1", "!"]), langs[i % 3]) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.identify(df, train=F.col("doc_id") % 4 != 2).collect()}
+
+    def features(text):
+        b = bytes(c + 32 if 65 <= c < 91 else c if 97 <= c < 123 or c >= 128 else 32 for c in text.encode())
+        b = b" " + b.replace("É".encode(), "é".encode()) + b" "
+        hashed = lambda x, y, z: (((x * 2654435761) % 2**32 ^ (y * 2246822519) % 2**32 ^ (z * 3266489917) % 2**32) >> 9) % langid.DIMENSIONS
+        return [hashed(*b[j - 1:j + 2]) for j in range(1, len(b) - 1) if b[j] != 32]
+
+    counts = {x: Counter() for x in langs}
+    for i, t, x in rows:
+        if i % 4 != 2:
+            counts[x].update(features(t))
+    p = {x: (lambda c, n: lambda f: (c[f] + 0.5) / (n + 0.5 * langid.DIMENSIONS))(counts[x], sum(counts[x].values())) for x in langs}
+    code = langid.codewords(3)
+    side = lambda f, j, s: sum(p[x](f) for k, x in enumerate(langs) if code[k, j] == s) / sum(code[:, j] == s)
+    w = np.array([[math.log(side(f, j, 1) / side(f, j, -1)) for j in range(3)] for f in range(langid.DIMENSIONS)])
+    dense = np.array([[p[x](f) for f in range(langid.DIMENSIONS)] for x in langs])
+    scale = np.abs(dense @ w).mean(0)
+    trust = np.array([[sum(dense[k][np.sign(w[:, j]) == code[k, j]]) for j in range(3)] for k in range(3)])
+    trust /= trust.sum(1, keepdims=True)
+    for i, t, _ in rows:
+        f = features(t)
+        z = np.clip(w[f].mean(0) / scale, -8, 8)
+        loss = [sum(trust[k, j] * math.exp(-code[k, j] * z[j]) for j in range(3)) for k in range(3)]
+        assert got[i].lang_pred == langs[int(np.argmin(loss))]
+        assert math.isclose(got[i].score, 1 / sum(math.exp(-4 * (x - min(loss))) for x in loss), rel_tol=1e-9)
+        best, second = sorted(loss)[:2]
+        assert got[i].ambiguous == (second - best <= langid.AMBIGUOUS * best)
 
 
 def test_empty_tables(spark):
