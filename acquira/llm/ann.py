@@ -14,11 +14,11 @@ from pyspark.sql import types as T
 from acquira.llm.shared import materialize
 
 #: Rows of the sample that fits the tree (all, if there are fewer), its branching, and the sample rows at which a node stays a leaf.
-FIT_ROWS, BRANCH, LEAF_ROWS = 20_000, 8, 48
-#: Sample rows that calibrate the number of leaf visits, and the recall within the sample that they have to reach.
-CALIBRATION_ROWS, TARGET_RECALL = 400, 0.985
-#: Rows of a leaf that one group holds; larger leaves are dealt over several groups.
-CHUNK_ROWS = 4096
+FIT_ROWS, BRANCH, LEAF_ROWS = 20_000, 8, 32
+#: Rows that calibrate the number of leaf visits, held against all rows, and the recall that they have to reach.
+CALIBRATION_ROWS, TARGET_RECALL = 400, 0.97
+#: Rows and queries that one task compares: leaves are packed into bins of so many rows, larger leaves are cut.
+BIN_ROWS, BIN_QUERIES = 4096, 32_768
 
 
 @dataclass
@@ -102,18 +102,19 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
     return own
 
 
-def calibrate(tree: Tree, sample: np.ndarray, k: int, seed: int = 5) -> int:
-    """Leaf visits at which the k nearest of the sample, by brute force, are found at TARGET_RECALL for rows of it."""
-    rng = np.random.default_rng(seed)
-    own = tree.assign(sample)
+def visits_for(tree: Tree, queries: np.ndarray, neighbours: list[list[int]], recall: float) -> int:
+    """Leaf visits at which the leaves of the queries' neighbours are found in the share ``recall``."""
     ranks = []
-    for i in rng.choice(len(sample), min(CALIBRATION_ROWS, len(sample)), replace=False):
-        near = sample @ sample[i]
-        near[i] = -np.inf
-        best = np.argsort(-near, kind="stable")[: min(k, len(sample) - 1)]
-        order = {leaf: n + 1 for n, leaf in enumerate(tree.visits(sample[i], lambda f: False))}
-        ranks += [order[int(own[j])] for j in best]
-    return int(np.quantile(ranks, TARGET_RECALL, method="higher")) if ranks else 1
+    for q, leaves in zip(queries, neighbours, strict=True):
+        order = {leaf: n + 1 for n, leaf in enumerate(tree.visits(q, lambda f: False))}
+        ranks += [order[leaf] for leaf in leaves]
+    return int(np.quantile(ranks, recall, method="higher")) if ranks else 1
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k greatest scores and of what ties with the last of them within 1e-9."""
+    edge = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else -np.inf
+    return np.flatnonzero((scores >= edge - 1e-9) & (scores > -np.inf))
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -151,56 +152,101 @@ def search(df: DataFrame, *, queries: Column, k: int = 5, id_col: str = "vec_id"
     if not len(x):
         return spark.createDataFrame([], out_schema).selectExpr("query_id", "CAST(1 AS INT) AS rank", f"id AS {id_col}", "score")
     tree = Tree.fit(x)
-    n_visits = calibrate(tree, x, k)
     shared = spark.sparkContext.broadcast(tree)  # at most FIT_ROWS centres
+    leaf_field, bin_field = T.StructField("leaf", T.IntegerType()), T.StructField("bin", T.IntegerType())
 
     def assign(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shared.value.assign(_unit(_matrix(b.column(1)))), pa.int32())], ["id", "v", "leaf"])
 
-    index = materialize(rows.mapInArrow(assign, T.StructType([*rows.schema.fields, T.StructField("leaf", T.IntegerType())])))
-    sizes = {r.leaf: r["count"] for r in index.groupBy("leaf").count().collect()}
-    counts = spark.sparkContext.broadcast(sizes)
-    chunks_of = {leaf: -(-n // CHUNK_ROWS) for leaf, n in sizes.items()}
+    index = materialize(rows.mapInArrow(assign, T.StructType([*rows.schema.fields, leaf_field])))
+    sizes = {r.leaf: r["count"] for r in index.groupBy("leaf").count().collect()}  # at most FIT_ROWS leaves
+
+    # how many leaves are enough, by brute force of a bounded set of rows against all
+    probe = rows.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(CALIBRATION_ROWS).toArrow()
+    names, vectors = probe.column("id").to_numpy(), _unit(_matrix(probe.column("v")))
+    apart = np.unique(vectors, axis=0, return_index=True)[1]  # copies are found at once and would say that few visits are enough
+    probes = spark.sparkContext.broadcast((names[apart], vectors[apart]))
+    near_schema = T.StructType([T.StructField("q", T.IntegerType()), leaf_field, T.StructField("score", T.DoubleType())])
+
+    def compare(batches):
+        names, q = probes.value
+        score, leaf = np.full((len(q), k), -np.inf), np.zeros((len(q), k), np.int64)
+        for b in batches:
+            s = q @ _unit(_matrix(b.column(1))).T if b.num_rows else np.zeros((len(q), 0))
+            s[names[:, None] == b.column(0).to_numpy()[None, :]] = -np.inf
+            every, leaves = np.hstack([score, s]), np.hstack([leaf, np.broadcast_to(b.column(2).to_numpy(), s.shape)])
+            top = np.argpartition(-every, k - 1, 1)[:, :k]
+            score, leaf = np.take_along_axis(every, top, 1), np.take_along_axis(leaves, top, 1)
+        at = np.isfinite(score)
+        yield pa.RecordBatch.from_arrays([pa.array(np.nonzero(at)[0].astype(np.int32)), pa.array(leaf[at].astype(np.int32)), pa.array(score[at])], near_schema.names)
+
+    first = Window.partitionBy("q").orderBy(F.desc("score"))
+    held: list[list[int]] = [[] for _ in range(len(apart))]
+    for r in index.mapInArrow(compare, near_schema).withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= k).collect():
+        held[r.q].append(r.leaf)
+    n_visits = visits_for(tree, probes.value[1], held, TARGET_RECALL)
+
+    bins: dict[int, tuple[int, int]] = {}  # of each leaf: its first bin and how many it has
+    number, filled = 0, 0
+    for leaf, n in sorted(sizes.items()):
+        if filled and filled + n > BIN_ROWS:
+            number, filled = number + 1, 0
+        cuts = -(-n // BIN_ROWS)
+        bins[leaf] = number, cuts
+        number, filled = (number + cuts, 0) if cuts > 1 else (number, filled + n)
+    packed = spark.sparkContext.broadcast((bins, sizes))
+    asking = rows.where(queries)
+    shares = max(1, -(-asking.count() // BIN_QUERIES))
+    visit_schema = T.StructType([bin_field, *rows.schema.fields, T.StructField("leaves", T.ArrayType(T.IntegerType()))])
 
     def visit(batches):
-        tree, sizes = shared.value, counts.value
+        tree, (bins, sizes) = shared.value, packed.value
         enough = lambda found: len(found) >= n_visits and sum(sizes.get(f, 0) for f in found) >= 2 * k + 2
         for b in batches:
             m = _unit(_matrix(b.column(1)))
-            leaf, chunk, row = [], [], []
+            where, row, leaves = [], [], []
             for i in range(len(m)):
+                own: dict[int, list[int]] = {}
                 for f in tree.visits(m[i], enough):
-                    for c in range(chunks_of.get(f, 0)):
-                        leaf.append(f)
-                        chunk.append(c)
-                        row.append(i)
+                    if f in bins:
+                        for c in range(bins[f][1]):
+                            own.setdefault(bins[f][0] + c, []).append(f)
+                where += own
+                row += [i] * len(own)
+                leaves += own.values()
             at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(chunk, pa.int32()), b.column(0).take(at), b.column(1).take(at)], ["leaf", "chunk", "id", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), b.column(0).take(at), b.column(1).take(at), pa.array(leaves, pa.list_(pa.int32()))], visit_schema.names)
 
-    many = {leaf: c for leaf, c in chunks_of.items() if c > 1}
-    n_chunks = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in many.items() for x in kv]), F.col("leaf")), F.lit(1)) if many else F.lit(1)
-    bins = index.withColumn("chunk", F.pmod(F.xxhash64("id"), n_chunks).cast("int"))
-    asked = rows.where(queries).mapInArrow(visit, T.StructType([T.StructField("leaf", T.IntegerType()), T.StructField("chunk", T.IntegerType()), *rows.schema.fields]))
+    share = lambda n: F.pmod(F.xxhash64("id", F.lit(2)), F.lit(n)).cast("int").alias("share")
+    asked = asking.mapInArrow(visit, visit_schema).select("*", share(shares))
+    homes = spark.createDataFrame([(leaf, b, c) for leaf, (b, c) in bins.items()], "leaf int, first int, cuts int")
+    there = index.join(F.broadcast(homes), "leaf").select((F.col("first") + F.pmod(F.xxhash64("id"), F.col("cuts"))).cast("int").alias("bin"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), "id", "v", "leaf")
 
     def nearest(bin_rows: pa.Table, query_rows: pa.Table) -> pa.Table:
         if not len(bin_rows) or not len(query_rows):
             return pa.table({"query_id": pa.array([], bin_rows["id"].type if len(bin_rows) else query_rows["id"].type), "id": pa.array([], query_rows["id"].type), "score": pa.array([], pa.float64())})
-        c, q = _matrix(bin_rows["v"]), _matrix(query_rows["v"])
+        bin_rows = bin_rows.sort_by("leaf")
+        c, q, leaf = _matrix(bin_rows["v"]), _matrix(query_rows["v"]), bin_rows["leaf"].to_numpy()
         ids, names = bin_rows["id"].to_numpy(), query_rows["id"].to_numpy()
         c_norm, q_norm = np.sqrt((c * c).sum(1)), np.sqrt((q * q).sum(1))
-        out = []
+        lists, out = query_rows["leaves"].combine_chunks(), []
+        offsets, opened = lists.offsets.to_numpy(), lists.values.to_numpy()
         for lo in range(0, len(q), 256):
-            near = (q[lo:lo + 256] @ c.T) / q_norm[lo:lo + 256, None] / c_norm
+            hi = min(len(q), lo + 256)
+            near = np.full((hi - lo, len(c)), -np.inf)
+            who, what = np.repeat(np.arange(hi - lo), np.diff(offsets[lo:hi + 1])), opened[offsets[lo]:offsets[hi]]
+            for f in np.unique(what):  # only opened leaves are compared
+                rows_of, a, b = who[what == f], *np.searchsorted(leaf, [f, f + 1])
+                near[rows_of, a:b] = (q[lo + rows_of] @ c[a:b].T) / q_norm[lo + rows_of, None] / c_norm[a:b]
             for i, s in enumerate(near):
                 s[ids == names[lo + i]] = -np.inf
-                edge = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf
-                best = np.flatnonzero((s >= edge - 1e-9) & (s > -np.inf))
+                best = _best(s, ids, k)
                 exact = (c[best] * q[lo + i]).sum(1) / (c_norm[best] * q_norm[lo + i])
                 best, exact = best[o := np.lexsort((ids[best], -exact))][:k], exact[o][:k]
                 out.append((np.full(len(best), names[lo + i]), ids[best], exact))
         return pa.table({n: pa.array(np.concatenate([o[j] for o in out])) for j, n in enumerate(("query_id", "id", "score"))}).cast(pa.schema([("query_id", query_rows["id"].type), ("id", query_rows["id"].type), ("score", pa.float64())]))
 
-    found = bins.groupBy("leaf", "chunk").cogroup(asked.groupBy("leaf", "chunk")).applyInArrow(nearest, out_schema)
+    found = there.groupBy("bin", "share").cogroup(asked.groupBy("bin", "share")).applyInArrow(nearest, out_schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -278,6 +278,7 @@ def jaccard_components(df: DataFrame, *, size: int = 5, percent: int = 80, id_co
         return node[mine], new[doc[own]], s[own], count[mine]
 
     def ask(t: pa.Table, r: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
         if not len(t) or not len(r):
             return _none(_ROWS)
         _, _, s, _ = sets_of(t, r)
@@ -299,6 +300,7 @@ def jaccard_components(df: DataFrame, *, size: int = 5, percent: int = 80, id_co
 
     def post(t: pa.Table, r: pa.Table) -> pa.Table:
         """A block's entries of the matrix by ranges of shingles, columns of more than HUBS + 1 apart; and its nodes' whole sets."""
+        pa.default_memory_pool().release_unused()
         known = r.filter(pa.compute.is_valid(r["node"]))
         if not len(t) or not len(known):
             return _none(_POSTED)
@@ -472,3 +474,19 @@ def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
         b = a.join(parent.select(F.col("node").alias("v"), F.col("up").alias("pv")), "v", "left").select("u", F.coalesce("pv", "v").alias("v"))
         left = scratch.write(b.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     return labels
+
+
+def oracle(size: int = 5, percent: int = 80) -> str:
+    """The result in DuckDB's SQL: all pairs that share a shingle, and everything that their links reach."""
+    gram = " || ' ' || ".join(f"ws[i + {j}]" for j in range(size))
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+ s AS (SELECT DISTINCT doc_id, {gram} AS g FROM (SELECT doc_id, ws, CAST(unnest(range(1, len(ws) - {size} + 2)) AS INT) AS i FROM d WHERE len(ws) >= {size}) x
+  UNION SELECT doc_id, array_to_string(ws, ' ') FROM d WHERE len(ws) BETWEEN 1 AND {size - 1}),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+ l AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= {percent} * (x.n + y.n - c)),
+ e AS (SELECT u, v FROM l UNION SELECT v, u FROM l),
+ r(doc_id, reach) AS (SELECT u, u FROM e UNION SELECT e.v, r.reach FROM r JOIN e ON e.u = r.doc_id),
+ c AS (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id"""

@@ -35,7 +35,7 @@ def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.archive(table(spark, sf_dir, "pages"), min_bytes=0)
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "timestamp", "part", "place")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +75,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_jaccard_components": ngram_join.oracle(),
+    "op5_warc_index": warc.oracle(),
     "op4_line_quality": quality.oracle(),
     "op8_source_mix": mixing.oracle(),
 }

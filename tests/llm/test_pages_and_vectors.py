@@ -1,10 +1,13 @@
 """Archives, index merging and vector search."""
 
 import base64
+import gzip
 import hashlib
 import random
+import zlib
 
 import numpy as np
+import pytest
 from acquira.llm import ann, warc
 from pyspark.sql import functions as F
 
@@ -42,11 +45,29 @@ def test_small_payloads_and_null_ids(spark):
     assert warc.archive(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_members_are_found_by_offset_and_large_records_end_in_zero(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 3000)
+    df = pages(spark)
+    index = warc.archive(df, folder=f"file://{tmp_path}/w").collect()
+    html = {r.page_id: (r.html or "").encode() for r in df.collect()}
+    assert len({r.run for r in index}) > 3
+    for r in index:
+        data = open(r.run.removeprefix("file:"), "rb").read()[r.offset:r.offset + r.length]
+        head, block = warc.parse(gzip.decompress(data))
+        assert head["warc-type"] == r.record_type and (r.record_type == "revisit" or block.partition(b"\r\n\r\n")[2] == html[r.page_id])
+    large = warc.member(b"x" * (17 << 20))
+    assert large[-1] == 0 and [m[:2] for m in warc.members(large + warc.member(b"y"))][0] == (0, len(large)) and gzip.decompress(large) == b"x" * (17 << 20)
+    for cut in (large[:-30], large[:100]):
+        with pytest.raises((ValueError, zlib.error)):
+            list(warc.members(cut))
+
+
 def test_loser_tree_merges():
     rng = random.Random(4)
     for k in range(0, 12):
         lists = [sorted(rng.randrange(20) for _ in range(rng.randrange(9))) for _ in range(k)]
         assert list(warc.LoserTree(lists, lambda x: x)) == sorted(x for xs in lists for x in xs)
+        assert list(warc.merged(lists, lambda x: x, 3)) == sorted(x for xs in lists for x in xs)
 
 
 VECTORS = "vec_id long, embedding array<float>, label int, score double, v string"
@@ -77,3 +98,29 @@ def test_search_of_few_rows(spark):
     got = sorted((r.query_id, r.rank, r.vec_id) for r in ann.search(few, queries=F.col("id") % 50 == 0).collect())
     assert got == [(0, 1, 50), (0, 2, 3), (50, 1, 0), (50, 2, 3)]
     assert ann.search(spark.createDataFrame([], VECTORS), queries=F.lit(True)).count() == 0
+
+
+def test_search_opens_few_leaves_of_clustered_vectors(spark, monkeypatch):
+    """Where vectors have a structure, a small share of the leaves holds nearly all neighbours, queries in several shares."""
+    seen = []
+    plain = ann.visits_for
+
+    def watch(tree, *rest):
+        seen.append((plain(tree, *rest), tree.leaves))
+        return seen[-1][0]
+
+    monkeypatch.setattr(ann, "visits_for", watch)
+    monkeypatch.setattr(ann, "BIN_QUERIES", 9)
+    monkeypatch.setattr(ann, "BIN_ROWS", 60)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(60, 24))
+    x = centres[rng.integers(60, size=3000)] + rng.normal(size=(3000, 24)) * 0.15
+    got = {}
+    for r in ann.search(spark.createDataFrame([(i, v.tolist(), 1, 0.0, "v") for i, v in enumerate(x)], VECTORS), queries=F.col("id") % 50 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    y = x.astype(np.float32).astype(float)
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    s = y[::50] @ y.T
+    s[np.arange(60), np.arange(0, 3000, 50)] = -9
+    hit = sum(len(set(np.argsort(-s[i])[:5].tolist()) & got[50 * i]) for i in range(60))
+    assert hit / 300 >= 0.95 and seen[0][0] <= 0.2 * seen[0][1]
