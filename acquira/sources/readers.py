@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from acquira.functions import vec
+from acquira.functions import boxes, vec
 from acquira.functions.text import canonical_name
 
 #: Cells of a result file that hold nothing.
@@ -86,6 +86,24 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     return _objects(d)
 
 
+def parse_annotations(df: DataFrame) -> DataFrame:
+    """Objects of (image_id, content): XML annotations that are in a table already."""
+    return _objects(df.select("image_id", "content"))
+
+
+def relative_boxes(objects: DataFrame) -> DataFrame:
+    """objects with cx, cy, w, h as shares of the image."""
+    x1, y1, x2, y2 = (F.col(c) for c in ("xmin", "ymin", "xmax", "ymax"))
+    return objects.withColumns(dict(zip(("cx", "cy", "w", "h"), boxes.centred(x1, y1, x2, y2, F.col("width"), F.col("height")), strict=True)))
+
+
+def image_classes(objects: DataFrame, total: int | None = None) -> DataFrame:
+    """image_id, classes: the names on each image, in order; another number of objects than stated raises."""
+    if total is not None and (n := objects.count()) != total:
+        raise ValueError(f"{n} objects, {total} expected")
+    return objects.groupBy("image_id").agg(F.array_sort(F.collect_set("class_name")).alias("classes"))
+
+
 def read_annotation_archive(spark: SparkSession, path: str) -> DataFrame:
     """The same from tar archives of XML files; each archive is read by one task, member by member."""
 
@@ -173,3 +191,52 @@ def tagged_block(text: str, tag: str) -> dict:
     if len(parts) != 2:
         raise ValueError(f"{len(parts) - 1} blocks tagged {tag}")
     return json.loads(parts[1].split("```", 1)[0])
+
+
+def read_groups(spark: SparkSession, path: str) -> DataFrame:
+    """class_name, grp, n of a CSV of classes; a class that occurs twice and a group that isn't known raise."""
+    d = spark.read.csv(path, header=True, schema="class_name string, grp string, n long").withColumn("class_name", canonical_name(F.col("class_name")))
+    rows, names = d.agg(F.count("*"), F.count_distinct("class_name")).first()
+    if rows != names:
+        raise ValueError(f"{rows} rows for {names} classes")
+    return d.withColumn("grp", F.when(F.col("grp").isin("head", "medium", "tail"), F.col("grp")).otherwise(F.raise_error(F.concat(F.lit("no group "), F.coalesce("grp", F.lit("none"))))))
+
+
+def read_trajectory(spark: SparkSession, path: str, keys: list[str], *, status: str = "complete") -> DataFrame:
+    """Rows of a trajectory's CSV with the status (all, without such a column); a key that occurs twice raises."""
+    d = read_results(spark, path)
+    if "status" in d.columns:
+        d = d.where(F.col("status") == status)
+    twice = d.groupBy(*keys).count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"more than one row of {twice[0].asDict()}")
+    return d
+
+
+def reference_blocks(df: DataFrame, *, task: int, run: str, vector: str = "embedding") -> DataFrame:
+    """Vectors that earlier tasks of a run have left, the latest task first; empty ones are dropped."""
+    return df.where((F.col("task") < task) & (F.col("run") == run) & (F.size(vector) > 0))
+
+
+def read_runs(spark: SparkSession, root: str, class_order: list[str], *, include: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Results (run, columns of any file) and values (run, task, class_name, ap50) of all runs below root, a folder a run.
+
+    A run is a folder with a results_*.csv of one row or more; its tasks' metrics.json lie in folders named after the task, and may
+    be missing. Files are listed by their names alone; there are few runs.
+    """
+    at = lambda pattern: sorted(r.path for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path").collect())
+    rows, values = None, None
+    for path in at("results_*.csv"):
+        name = path.rsplit("/", 2)[-2]
+        if include is None or name in include:
+            d = read_results(spark, path).withColumn("run", F.lit(name))
+            rows = d if rows is None else rows.unionByName(d, allowMissingColumns=True)
+    if rows is None:
+        raise ValueError(f"no runs below {root}")
+    known = {r.run for r in rows.select("run").distinct().collect()}
+    for path in at("metrics.json"):
+        run, folder = path.rsplit("/", 3)[-3:-1]
+        if run in known:
+            d = read_metrics(spark, path, class_order).select(F.lit(run).alias("run"), F.lit(folder.partition("_")[0]).alias("task"), "class_name", "ap50")
+            values = d if values is None else values.unionByName(d)
+    return rows, values if values is not None else spark.createDataFrame([], "run string, task string, class_name string, ap50 double")

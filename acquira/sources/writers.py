@@ -109,3 +109,50 @@ def check_split_name(name: str, purpose: str = "test") -> str:
 def write_image_set(images: DataFrame, path: str, name: str, purpose: str = "test") -> None:
     check_split_name(name, purpose)
     images.select(F.col("image_id").cast("string").alias("value")).distinct().orderBy("value").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_counts(counts: DataFrame, path: str, *, files: int = 8) -> None:
+    """image_id, class_name, n as JSON {image: {class: n}}, the images dealt over files by hash."""
+    images = counts.groupBy("image_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("class_name", "n")))).alias("c"))
+    part = images.groupBy(F.pmod(F.xxhash64("image_id"), F.lit(files)).alias("part")).agg(F.map_from_entries(F.collect_list(F.struct("image_id", "c"))).alias("m"))
+    part.select(F.to_json("m").alias("value")).repartition(files).write.mode("overwrite").text(path)
+
+
+def write_detections(truths: DataFrame, found: DataFrame, path: str, schema_name: str, *, files: int = 8) -> None:
+    """Truths (image_id, class_name, box) and detections (also score) as artefacts, the images dealt over files by hash."""
+    corners = lambda d: d.withColumn("box", F.array(*[F.col("box")[c] for c in ("x1", "y1", "x2", "y2")]))
+    part = F.pmod(F.xxhash64("image_id"), F.lit(files)).alias("part")
+    a = corners(truths).groupBy(part).agg(F.collect_list(F.struct("image_id", "class_name", "box")).alias("ground_truth"))
+    b = corners(found).groupBy(part).agg(F.collect_list(F.struct("image_id", "class_name", "score", "box")).alias("detections"))
+    d = a.join(b, "part", "full").select(F.lit(schema_name).alias("schema"), F.lit("unknown").alias("unknown_class_name"), "ground_truth", "detections")
+    d.select(F.to_json(F.struct("*")).alias("value")).repartition(files).write.mode("overwrite").text(path)
+
+
+def annotation_xml(objects: DataFrame) -> DataFrame:
+    """image_id, content: an annotation's XML from (image_id, width, height, place, class_name, xmin, ymin, xmax, ymax).
+
+    Objects stand in the order of place; an image without any has an empty annotation if it has a row with a null class.
+    """
+    tag = lambda n, c: F.concat(F.lit(f"<{n}>"), c.cast("string"), F.lit(f"</{n}>"))
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    one = F.concat(F.lit("<object>"), tag("name", safe(F.col("class_name"))), F.lit("<difficult>0</difficult><bndbox>"), *[tag(c, F.col(c)) for c in ("xmin", "ymin", "xmax", "ymax")], F.lit("</bndbox></object>"))
+    listed = F.array_sort(F.collect_list(F.when(F.col("class_name").isNotNull(), F.struct("place", one.alias("x")))))
+    d = objects.groupBy("image_id", "width", "height").agg(F.array_join(F.transform(listed, lambda s: s["x"]), "").alias("o"))
+    size = F.concat(F.lit("<annotation><size>"), tag("width", F.col("width")), tag("height", F.col("height")), F.lit("<depth>3</depth></size>"))
+    return d.select("image_id", F.concat(size, F.col("o"), F.lit("</annotation>")).alias("content"))
+
+
+def filtered_annotations(objects: DataFrame, keep: DataFrame, *, alias: bool = False) -> DataFrame:
+    """XML of the objects whose (image_id, place) are kept; with ``alias`` under the images' alias ids. An image without any goes."""
+    from acquira.functions.text import alias_id
+
+    d = objects.join(keep.select("image_id", "place").distinct(), ["image_id", "place"], "left_semi")
+    return annotation_xml(d.withColumn("image_id", alias_id(F.col("image_id"))) if alias else d)
+
+
+def curve_series(df: DataFrame, arm: str, x: str, y: str) -> DataFrame:
+    """What a plot of curves draws: arm, place, x, y in the order of x; the arms' points aren't thinned."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy(arm).orderBy(x, y)) - 1
+    return df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(arm).alias("arm"), place.alias("place"), F.col(x).alias("x"), F.col(y).alias("y"))

@@ -97,3 +97,20 @@ def test_stream_of_answers(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT sum(answers) FROM answers").first()[0] == d.count()
+
+
+def test_run_scan_and_refusals(spark, tmp_path):
+    for run, rows in (("random__none", "task,ap\nt2,1.5\nt3,2\n"), ("random__uniform", "task,ap,n\nt2,1.25,3\n")):
+        (tmp_path / run / "t2_random").mkdir(parents=True)
+        (tmp_path / run / "results_x.csv").write_text(rows)
+    (tmp_path / "random__none" / "t2_random" / "metrics.json").write_text(json.dumps({"coco_eval_bbox": [0.0, 0.0] + [float(i) for i in range(80)] + [9.5]}))
+    rows, values = readers.read_runs(spark, str(tmp_path), ["a", "b"])
+    assert {(r.run, r.task, r.ap, r.n) for r in rows.collect()} == {("random__none", "t2", 1.5, None), ("random__none", "t3", 2.0, None), ("random__uniform", "t2", 1.25, 3)}
+    assert {(r.run, r.task, r.class_name, r.ap50) for r in values.collect()} == {("random__none", "t2", "a", 0.0), ("random__none", "t2", "b", 1.0), ("random__none", "t2", "unknown", 9.5)}
+    assert readers.read_runs(spark, str(tmp_path), ["a"], include=["random__uniform"])[0].count() == 1
+    (tmp_path / "t.csv").write_text("arm,task,status\na,1,complete\na,1,complete\n")
+    with pytest.raises(ValueError):
+        readers.read_trajectory(spark, str(tmp_path / "t.csv"), ["arm", "task"])
+    (tmp_path / "g.csv").write_text("class_name,grp,n\na,head,1\na,tail,2\n")
+    with pytest.raises(ValueError):
+        readers.read_groups(spark, str(tmp_path / "g.csv"))
