@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from acquira.functions import vec
 from acquira.operators import clusters, gates, sampling, sequential
-from acquira.plans.core import by_admissibility, r6, scored
+from acquira.plans.core import by_admissibility, nms_sql, r6, scored
 from acquira.plans.registry import query
 from acquira.sources import tables as t
 from acquira.sources.shared import written
@@ -80,7 +80,16 @@ def power_allocation(spark, sf):
     return spark.createDataFrame([(c, a, m) for a in (0.0, 0.5, 1.0) for c, m in sequential.power_allocation(n, total=2000, alpha=a).items()], "class_name string, alpha double, memory long")
 
 
-@query()
+_HERDING = """WITH RECURSIVE e AS (SELECT label, vec_id AS pos, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+ m AS (SELECT label, list(x ORDER BY i) AS m FROM (SELECT label, i, avg(v[i]) AS x FROM (SELECT label, v, unnest(range(1, 65)) AS i FROM e) z GROUP BY label, i) y GROUP BY label),
+ w AS (SELECT label, CAST(0 AS INT) AS step, list_transform(m, lambda x: CAST(0 AS DOUBLE)) AS s, CAST([] AS BIGINT[]) AS taken, CAST(-1 AS BIGINT) AS pos FROM m
+ UNION ALL SELECT label, step, s, taken, pos FROM (SELECT w.label, w.step + 1 AS step, list_transform(list_zip(w.s, e.v), lambda z: z[1] + z[2]) AS s, list_append(w.taken, e.pos) AS taken, e.pos,
+  row_number() OVER (PARTITION BY w.label ORDER BY list_sum(list_transform(list_zip(w.s, e.v, m.m), lambda z: pow((z[1] + z[2]) / (w.step + 1) - z[3], 2))), e.pos) AS rn
+  FROM w JOIN e ON e.label = w.label JOIN m ON m.label = w.label WHERE NOT list_contains(w.taken, e.pos)) q WHERE rn = 1)
+ SELECT label, pos, step FROM w WHERE step > 0"""
+
+
+@query(_HERDING, base=False)
 def herding(spark, sf):
     return sequential.herding(t.read(spark, sf, "embeddings").select("label", F.col("vec_id").alias("pos"), "embedding"), "label")
 
@@ -96,15 +105,32 @@ def gated_pool(spark, sf, share: float = 0.3):
     return top.join(e, "vec_id").withColumn("cluster", F.col("vec_id") % 20)
 
 
-@query()
+_GATED_POOL = """, e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * y)))) AS v FROM embeddings)
+, g AS (SELECT k.pos, image_id, vec_id, objectness, l_linestatus, round(u, 9) AS u, round(a, 9) AS a, row_number() OVER (ORDER BY round(a, 9) DESC, k.pos) AS rn, count(*) OVER () AS n FROM scored JOIN kept k USING (pos))
+, pool AS (SELECT g.*, cost, v FROM g JOIN e USING (vec_id) JOIN image_cost USING (image_id) WHERE rn <= greatest(CAST(round_even(n * CAST(0.3 AS DOUBLE), 0) AS BIGINT), 1)) """
+_BY_A = ("ORDER BY objectness DESC, pos) AS r FROM scored", "ORDER BY round(a, 9) DESC, pos) AS r FROM scored")
+_CENTRES = nms_sql(_GATED_POOL + """, b AS (SELECT 0 AS step, pos, image_id, cost, objectness AS tie, v, CAST('infinity' AS DOUBLE) AS far, true AS free, CAST(100 AS BIGINT) AS purse, CAST(NULL AS BIGINT) AS pi, CAST(NULL AS BIGINT) AS pp, CAST(NULL AS DOUBLE) AS pf, CAST(NULL AS BIGINT) AS pc FROM pool
+ UNION ALL SELECT step + 1, pos, image_id, cost, tie, v, least(far, round(1 - list_max(list_transform(vs, lambda c: list_dot_product(v, c))), 9) + 0.0), free AND image_id <> qi, purse - qc, qi, qp, qf, qc FROM
+  (SELECT *, list(v) FILTER (WHERE image_id = qi) OVER () AS vs FROM (SELECT *, first_value(image_id) OVER o AS qi, first_value(cost) OVER o AS qc, first_value(pos) OVER o AS qp, first_value(far) OVER o AS qf, bool_or(free) OVER () AS still FROM b WINDOW o AS (ORDER BY free DESC, far DESC, tie DESC, pos)) x) y WHERE qc <= purse AND still)
+ SELECT DISTINCT pi AS image_id, pp AS anchor_pos, CASE WHEN isfinite(pf) THEN round(pf, 6) END AS distance, pc AS cost FROM b WHERE step > 0""").replace(*_BY_A)
+
+
+@query(_CENTRES, base=False)
 def k_centre(spark, sf):
     picks = sequential.k_centre(gated_pool(spark, sf).withColumn("tie", F.col("objectness")), budget=100)
-    return spark.createDataFrame(picks, "image_id long, anchor_pos long, distance double, cost long")
+    return spark.createDataFrame(picks, "image_id long, anchor_pos long, distance double, cost long").withColumn("distance", F.when(~F.isnan("distance"), F.round("distance", 6)))
 
 
-@query()
+_BATCH = nms_sql(_GATED_POOL + """, c AS (SELECT pos, a AS base, v FROM pool ORDER BY a DESC, pos LIMIT 1000)
+, b AS (SELECT 0 AS step, pos, base, v, CAST(0 AS DOUBLE) AS near, true AS alive, CAST(NULL AS BIGINT) AS pick, CAST(NULL AS DOUBLE) AS score FROM c
+ UNION ALL SELECT step + 1, pos, base, v, greatest(near, list_dot_product(v, pv)), alive AND pos <> pp, pp, ps FROM (SELECT *, first_value(v) OVER o AS pv, first_value(pos) OVER o AS pp, first_value(s) OVER o AS ps FROM
+  (SELECT *, base - 0.3 * (rank() OVER (ORDER BY near) - 1 + (count(*) OVER (PARTITION BY near) - 1) / CAST(2 AS DOUBLE)) / greatest(count(*) OVER () - 1, 1) AS s FROM b WHERE step < 50) x WINDOW o AS (ORDER BY alive DESC, s DESC, base DESC, pos)) y)
+ SELECT DISTINCT pick AS pos, round(score, 6) AS score FROM b WHERE step > 0""").replace(*_BY_A)
+
+
+@query(_BATCH, base=False)
 def greedy_batch(spark, sf):
-    return spark.createDataFrame(sequential.greedy_batch(gated_pool(spark, sf).withColumn("base", F.col("a")), quota=50, mu=0.3), "pos long, score double")
+    return spark.createDataFrame(sequential.greedy_batch(gated_pool(spark, sf).withColumn("base", F.col("a")), quota=50, mu=0.3), "pos long, score double").withColumn("score", F.round("score", 6))
 
 
 @query()
