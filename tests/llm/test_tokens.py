@@ -2,6 +2,8 @@ import hashlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
+import pytest
 import tiktoken
 from acquira.llm import bpe, token_counts
 from hypothesis import given, settings
@@ -49,9 +51,27 @@ def test_empty_tables(spark, docs_schema):
 @given(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \n\tab'.=é")), max_size=60))
 def test_units_are_tiktokens(text):
     c = bpe.codec(PATH, P.PATTERN)
-    ids = next(c.encode_many([text]))
-    assert np.frombuffer(ids, "<u4").tolist() == reference().encode_ordinary(text)
-    assert c.decode(ids) == text.encode()
+    ids, at = next(c.encode_many(pa.array([text])))
+    assert ids.tolist() == reference().encode_ordinary(text) and at.tolist() == [0, len(ids)]
+    assert c.decode(ids)[0].tobytes() == text.encode()
+
+
+def test_slices_caches_and_unknown_ids(monkeypatch):
+    """Small slices and caches change nothing; long units aren't remembered."""
+    c = bpe.codec(PATH, P.PATTERN)
+    monkeypatch.setattr(bpe, "SLICE_BYTES", 40)
+    monkeypatch.setattr(bpe, "CACHE_UNITS", 5)
+    texts = [*TEXTS, "b" * 300 + " c" * 9, "x  y", " lead and trail ", "\u3000 wide", "a\x00 b"]
+    got = [ids[a:b].tolist() for ids, at in c.encode_many(pa.array(texts, pa.string())) for a, b in zip(at[:-1], at[1:])]
+    assert got == [reference().encode_ordinary(t or "") for t in texts]
+    assert all(len(u) <= bpe.CACHE_CHARACTERS for u in [*c.cache, *c.known])
+    with pytest.raises(KeyError):
+        c.decode(np.array([10**6]))
+
+
+def test_clashing_names_and_nulls(spark):
+    df = spark.createDataFrame([(1, "a b", "x"), (None, None, None)], "doc_id long, text string, ids_sha256 string")
+    assert {(r.doc_id, r.n_tokens) for r in bpe.round_trip(df, PATH, P.PATTERN).collect()} == {(1, 2), (None, 0)}
 
 
 def test_counts_are_the_librarys(spark, docs_schema):
