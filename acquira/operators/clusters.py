@@ -71,5 +71,5 @@ def medoids(assign: DataFrame, *, key: str = "vec_id", vector: str = "embedding"
     """cluster, medoid: the row most similar to its cluster's sum, ties to the smaller key."""
     u = assign.where("cluster >= 0").select("cluster", F.col(key).alias("k"), vec.unit(F.col(vector)).alias("v"))
     sums = u.select("cluster", F.posexplode("v").alias("d", "x")).groupBy("cluster", "d").agg(F.sum("x").alias("x")).groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("s"))
-    d = u.join(F.broadcast(sums), "cluster").withColumn("dot", F.round(vec.dot(F.col("v"), F.transform("s", lambda q: q["x"])), 9))
+    d = u.join(sums, "cluster").withColumn("dot", F.round(vec.dot(F.col("v"), F.transform("s", lambda q: q["x"])), 9))
     return d.withColumn("rn", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("dot"), "k"))).where("rn = 1").select("cluster", F.col("k").alias("medoid"))

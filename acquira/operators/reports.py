@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from acquira.functions import ranking
+from acquira.sources.shared import written
+
 
 def task_comparison(df: DataFrame, run: str, task: str, value: str, runs: list[str]) -> DataFrame:
     """A row a task, a column a run; missing is NULL."""
@@ -51,8 +54,11 @@ def jaccard(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 def gaps(df: DataFrame, value: str) -> DataFrame:
     """Differences between consecutive distinct values: how many, least, median, greatest."""
-    d = df.select(value).distinct().withColumn("_gap", F.lead(value).over(Window.orderBy(value)) - F.col(value)).where("_gap IS NOT NULL")
-    return d.agg(F.count("*").alias("gaps"), F.min("_gap").alias("least"), F.percentile("_gap", 0.5).alias("median"), F.max("_gap").alias("greatest"))
+    d = written(ranking.row_numbers(df.where(F.col(value).isNotNull()).select(value).distinct(), [value], "_rn"))
+    after = d.select((F.col("_rn") - 1).alias("_rn"), F.col(value).alias("_next"))
+    d = written(d.join(after, "_rn").select((F.col("_next") - F.col(value)).alias("_gap")))
+    median = ranking.quantile(d, "_gap", 0.5)
+    return d.agg(F.count("*").alias("gaps"), F.min("_gap").alias("least"), F.lit(median).cast("double").alias("median"), F.max("_gap").alias("greatest"))
 
 
 def discordant_pairs(df: DataFrame, a: str, b: str) -> DataFrame:

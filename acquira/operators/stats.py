@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from acquira.functions import ranking
 from acquira.functions.numbers import ratio
+from acquira.sources.shared import written
 
 
 def contamination(assign: DataFrame) -> DataFrame:
@@ -90,11 +91,15 @@ def batch_similarity(df: DataFrame, group: str, vector: str) -> DataFrame:
 
 
 def strata(df: DataFrame, memberships: dict[str, Column], value: str) -> DataFrame:
-    """Quartiles of value for each stratum; strata may overlap."""
-    names = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in memberships.items()]), lambda x: x.isNotNull())
-    d = df.withColumn("stratum", F.explode(names))
-    q = F.percentile(value, [0.25, 0.5, 0.75])
-    return d.groupBy("stratum").agg(F.count("*").alias("n"), q.alias("q")).select("stratum", "n", *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("q25", "q50", "q75"))])
+    """Quartiles of value for each stratum that has rows; strata may overlap. Values are found by rank, no stratum is held in one place."""
+    d = written(df.select(F.col(value).alias("_v"), *[F.coalesce(c, F.lit(False)).alias(f"_in{i}") for i, c in enumerate(memberships.values())]))
+    sizes, rows = d.agg(*[F.count(F.when(F.col(f"_in{i}"), 1)) for i in range(len(memberships))]).first(), []
+    for i, name in enumerate(memberships):
+        if sizes[i]:
+            q = [ranking.quantile(d.where(f"_in{i}"), "_v", x) for x in (0.25, 0.5, 0.75)]
+            rows.append((name, sizes[i], *[None if x is None else float(x) for x in q]))
+    out = df.sparkSession.createDataFrame(rows, "stratum string, n long, q25 double, q50 double, q75 double")
+    return out.select("stratum", "n", *[F.round(c, 6).alias(c) for c in ("q25", "q50", "q75")])
 
 
 def top_fractions(df: DataFrame, key: str, fractions: list[float]) -> DataFrame:
