@@ -8,7 +8,7 @@ from acquira.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 #: One of each kind; ACQUIRA_ALL_PLANS=1 runs all.
-SOME = ["entropy", "nms_fold", "admissible_gate", "ledger_spend", "discovery", "rank_normalise", "cost_to_reach", "recall_by_group", "exemplar_quota", "region_box_only", "cluster_quality", "verdict_gates"]
+SOME = ["entropy", "nms_fold", "admissible_gate", "ledger_spend", "discovery", "rank_normalise", "cost_to_reach", "recall_by_group", "exemplar_quota", "region_box_only", "cluster_quality", "verdict_gates", "recall_by_class", "schedule_weights", "infer_introduced", "research_scores", "gate_summary", "known_contamination", "partition_sweep", "pair_similarity", "ceiling_trajectory", "task_rows", "vulnerability", "purchase_row", "prefix_overlap", "detections_scan", "annotations_scan", "results_scan", "coherence_density", "trained_boxes", "epoch_batches", "greedy_batch"]
 
 
 def rounded(v):
