@@ -4,8 +4,8 @@ Documents with equal sets are one class, a *node*. A node's column entries are i
 number of classes that have them, any n - ceil(s * n) + 1 have one in common with those of every set that is similar at s. Common
 passages come last in that order, so documents that share nothing else never meet.
 
-1. *Groups.* In each column every node is compared, exactly, with the column's HUBS first nodes. Nodes that such links join are a
-   group; a node that none joins is grouped with its first hub.
+1. *Groups.* In each column every node is compared, exactly, with the column's HUBS first nodes. A large component of such links is
+   a group; the nodes of all others are grouped by the hubs that they met, whether these links held or not.
 2. *Matrix.* Columns that hold more than one component are looked at again: a node may visit a group of another component, the
    smaller component the larger one, and a hub's group itself. The union of each visited group's shingles, with the number of
    members that have each, is written once.
@@ -34,7 +34,9 @@ _STEP = _U(0x9E3779B97F4A7C15)
 #: Nodes of a column that all its others are compared with.
 HUBS = 2
 #: Members of a group that are opened together, their shingles, and documents that are compared with them. None changes a result.
-MEMBERS, CHUNK_SHINGLES, VISITORS = 128, 1 << 20, 128
+MEMBERS, CHUNK_SHINGLES, VISITORS = 512, 1 << 20, 128
+#: Nodes from which on a component is a group of its own; smaller ones that met the same hubs share one.
+LARGE = 64
 #: Bytes of text whose shingles are made at a time.
 SLICE_BYTES = 2 << 20
 
@@ -188,7 +190,8 @@ def meet_groups(entries: np.ndarray, percent: int) -> np.ndarray:
         n, cut = e["n"], _edges(e["grp"])
         low, high = np.minimum.reduceat(n, cut[:-1]), np.maximum.reduceat(n, cut[:-1])
         for g in range(len(cut) - 1):  # groups in ascending order of their components' sizes
-            own = e["grp"][cut[g]] & 1 and cut[g + 1] - cut[g] > 1
+            inside = e["label"][cut[g]:cut[g + 1]]
+            own = inside.min() != inside.max()  # a group of several components is visited by its members too
             v = e[: cut[g + 1] if own else cut[g]]
             v = v[(100 * high[g] >= percent * v["n"]) & (100 * v["n"] >= percent * low[g])]
             if len(v):
@@ -368,10 +371,13 @@ def jaccard_components(df: DataFrame, *, size: int = 5, percent: int = 80, id_co
 
     # 2: the other components' groups of each column
     sized = labels.join(labels.groupBy("label").agg(F.count("*").alias("size")), "label")
-    first = pairs.groupBy("node").agg(F.min("hub").alias("hub"))
+    met = pairs.unionByName(pairs.select(F.col("hub").alias("node"), F.col("node").alias("hub")))
+    least = met.groupBy("node").agg(F.least("node", F.min("hub")).alias("least"))
+    around = met.join(least.select(F.col("node").alias("hub"), F.col("least").alias("l")), "hub").groupBy("node").agg(F.min("l").alias("hub"))
+    large = F.coalesce("size", F.lit(0)) >= LARGE
     homes = scratch.write(
-        posted.where("part IS NULL").select("block", "node", "n").join(sized, "node", "left").join(first, "node", "left")
-        .select("block", "node", "n", F.coalesce("label", "node").alias("label"), F.coalesce(F.col("label") * 2, F.coalesce("hub", "node") * 2 + 1).alias("grp"), F.coalesce("size", F.lit(0)).alias("size"))
+        posted.where("part IS NULL").select("block", "node", "n").join(sized, "node", "left").join(around, "node", "left")
+        .select("block", "node", "n", F.coalesce("label", "node").alias("label"), F.when(large, F.col("label") * 2).otherwise(F.coalesce("hub", "node") * 2 + 1).alias("grp"), F.when(large, F.col("size")).otherwise(0).alias("size"))
     )
 
     def relabel(t: pa.Table, r: pa.Table) -> pa.Table:

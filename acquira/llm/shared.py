@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 
 
 def _return_memory() -> None:
-    """Lets arrays of 1 MB and more go back to the system when they are freed: workers live on, and what they keep adds up."""
+    """Lets arrays of 2 MB and more go back to the system when they are freed: workers live on, and what they keep adds up."""
     try:
         libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, 1 << 20)  # from which size on memory is mapped
+        libc.mallopt(-3, 2 << 20)  # from which size on memory is mapped
         libc.mallopt(-1, 4 << 20)  # how much may stay free at the end of the heap
     except (OSError, AttributeError):  # another C library
         return

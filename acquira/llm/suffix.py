@@ -26,7 +26,7 @@ from acquira.llm.shared import BYTE_VALUES, Scratch, _power_table, block_of, col
 
 _U = np.uint64
 GRAM = 16
-CHUNK = 1 << 18
+CHUNK = 1 << 17
 #: Bytes of dictionary entries that are ranked at a time, and of a block's texts on the whole.
 SLICE_BYTES, BLOCK_BYTES = 2 << 20, 64 << 20
 
