@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from acquira.llm.shared import materialize
+from acquira.llm.shared import Scratch, scratched
 
 #: Rows of the sample that fits the tree (all, if there are fewer), its branching, and the sample rows at which a node stays a leaf.
 FIT_ROWS, BRANCH, LEAF_ROWS = 20_000, 8, 32
@@ -136,14 +136,15 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return df.where(F.size("v") == (length[0].n if length else 0))
 
 
-def search(df: DataFrame, *, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+@scratched
+def search(df: DataFrame, *, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scratch: Scratch) -> DataFrame:
     """query_id, rank, id, score: for each row for which ``queries`` holds, its k nearest of all other rows by cosine, as found.
 
     ``queries`` is a condition on the column ``id``. Ties go to the smaller id. Rows with a query's id aren't its candidates;
-    repeated rows under other ids each are. An empty table gives no rows. The tree is fitted on FIT_ROWS rows that a hash picks,
+    repeated rows under other ids each are, and enough leaves are opened to find k of those. An empty table gives no rows. The tree is fitted on FIT_ROWS rows that a hash picks,
     every row is indexed.
     """
-    rows = materialize(usable(df, id_col, vector_col))
+    rows = scratch.write(usable(df, id_col, vector_col))
     id_type = rows.schema["id"].dataType
     out_schema = T.StructType([T.StructField("query_id", id_type), T.StructField("id", id_type), T.StructField("score", T.DoubleType())])
     sample = rows.select("v").orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).toArrow()
@@ -159,7 +160,7 @@ def search(df: DataFrame, *, queries: Column, k: int = 5, id_col: str = "vec_id"
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shared.value.assign(_unit(_matrix(b.column(1)))), pa.int32())], ["id", "v", "leaf"])
 
-    index = materialize(rows.mapInArrow(assign, T.StructType([*rows.schema.fields, leaf_field])))
+    index = scratch.write(rows.mapInArrow(assign, T.StructType([*rows.schema.fields, leaf_field])))
     sizes = {r.leaf: r["count"] for r in index.groupBy("leaf").count().collect()}  # at most FIT_ROWS leaves
 
     # how many leaves are enough, by brute force of a bounded set of rows against all
@@ -197,12 +198,13 @@ def search(df: DataFrame, *, queries: Column, k: int = 5, id_col: str = "vec_id"
         number, filled = (number + cuts, 0) if cuts > 1 else (number, filled + n)
     packed = spark.sparkContext.broadcast((bins, sizes))
     asking = rows.where(queries)
-    shares = max(1, -(-asking.count() // BIN_QUERIES))
+    asked_ids = asking.groupBy("id").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.max("n"), F.lit(0)).alias("copies")).first()
+    shares, copies = max(1, -(-asked_ids.rows // BIN_QUERIES)), asked_ids.copies
     visit_schema = T.StructType([bin_field, *rows.schema.fields, T.StructField("leaves", T.ArrayType(T.IntegerType()))])
 
     def visit(batches):
         tree, (bins, sizes) = shared.value, packed.value
-        enough = lambda found: len(found) >= n_visits and sum(sizes.get(f, 0) for f in found) >= 2 * k + 2
+        enough = lambda found: len(found) >= n_visits and sum(sizes.get(f, 0) for f in found) >= max(2 * k + 2, k + copies)
         for b in batches:
             m = _unit(_matrix(b.column(1)))
             where, row, leaves = [], [], []

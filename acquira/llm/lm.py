@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from acquira.llm.shared import Scratch, column_bytes, cut_keys, hashed_block, key_ranges, mix, pack_counts, pack_keys, shuffle_partitions, unpack_counts, unpack_keys, words
+from acquira.llm.shared import Scratch, column_bytes, cut_keys, hashed_block, key_ranges, mix, pack_counts, pack_keys, scratched, shuffle_partitions, unpack_counts, unpack_keys, words
 
 _U = np.uint64
 END, START = _U(0xE7D0E7D0E7D0E7D1), _U(0x57A7757A7757A775)
@@ -91,7 +91,8 @@ _ASK = "block int, part int, kind int, data binary"
 _ANSWER = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("data", T.BinaryType()), *[T.StructField(f"n{i}", T.LongType()) for i in range(4)]])
 
 
-def score(df: DataFrame, *, train: Column, tune: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+@scratched
+def score(df: DataFrame, *, train: Column, tune: Column, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch) -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score, score of every row (and the flag ``trained``).
 
     Tokens are the words, A-Z lower-cased, and one end. Rows for which ``train`` holds are learned from; those of them for which
@@ -104,7 +105,6 @@ def score(df: DataFrame, *, train: Column, tune: Column, id_col: str = "doc_id",
     n = min(shuffle_partitions(spark), 65536)
     part = F.when(~F.coalesce(train, F.lit(False)), 2).when(F.coalesce(tune, F.lit(False)), 1).otherwise(0)
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), part.cast("int").alias("role"))
-    scratch = Scratch(spark)
     blocks = scratch.blocks(docs, hashed_block(spark, "id"))
     id_type = blocks.schema["id"].dataType
 
@@ -188,7 +188,7 @@ def score(df: DataFrame, *, train: Column, tune: Column, id_col: str = "doc_id",
         return pa.table([t["id"], pa.array(t["role"].to_numpy() < 2), pa.array(each(np.ones(len(w), np.int64))), pa.array(each((w > 0).astype(np.int64))), pa.array(each(base)), pa.array(each(np.log10(p)))], schema.names)
 
     out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, schema)
-    return scratch.finish(out.select(F.col("id").alias(id_col), "trained", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"))
+    return out.select(F.col("id").alias(id_col), "trained", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def learn_weights(bucket: np.ndarray, two: np.ndarray, one: np.ndarray, n: np.ndarray, uniform: float) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from acquira.llm.shared import materialize
+from acquira.llm.shared import Scratch, scratched
 
 #: Slices of a source's documents by hash; a slice's words are summed before any document is ordered.
 SLICES = 4096
@@ -41,7 +41,8 @@ def targets(sizes: DataFrame, *, weights: Sequence[int], share: float, cap: floa
     return s.select("source", "source_size", F.least("limit", F.col("level") * F.col("weight")).alias("target"))
 
 
-def mix(df: DataFrame, *, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: Sequence[str] = ()) -> DataFrame:
+@scratched
+def mix(df: DataFrame, *, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: Sequence[str] = (), scratch: Scratch) -> DataFrame:
     """id, source, size, source_size, target, taken of every row, then the columns named in ``carry``.
 
     Every document is taken target / source_size times: the whole part for all, the rest for those first by a seeded hash until
@@ -51,7 +52,7 @@ def mix(df: DataFrame, *, weights: Sequence[int] = (3, 1, 2), share: float = 1.5
     """
     h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
     d = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)))
-    d = materialize(d.withColumn("h", h).withColumn("slice", (F.col("h") % SLICES).cast("int")))
+    d = scratch.write(d.withColumn("h", h).withColumn("slice", (F.col("h") % SLICES).cast("int")))
     sums = d.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     goal = targets(sums.groupBy("source").agg(F.sum("slice_size").alias("source_size")), weights=weights, share=share, cap=cap)
     goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
@@ -61,8 +62,8 @@ def mix(df: DataFrame, *, weights: Sequence[int] = (3, 1, 2), share: float = 1.5
     goal = goal.withColumns({"whole": F.col("whole") + full.cast("long"), "rest": F.when(full, F.lit(0)).otherwise(F.col("rest"))})
     run = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     edge = sums.withColumn("before", F.coalesce(F.sum("slice_size").over(run), F.lit(0)))
-    edge = materialize(_by_source(edge, goal).where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("slice_size"))))
-    goal = materialize(_by_source(goal, edge.select("source", F.col("slice").alias("edge")), "left"))
+    edge = scratch.write(_by_source(edge, goal).where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("slice_size"))))
+    goal = scratch.write(_by_source(goal, edge.select("source", F.col("slice").alias("edge")), "left"))
     names = ["id", "source", "size", "source_size", "target", "whole", *(f"carried_{i}" for i in range(len(carry)))]
     rows = _by_source(d, goal, "left").where(~F.coalesce(F.col("slice") == F.col("edge"), F.lit(False)))
     plain = rows.select(*names, F.when(F.col("slice") < F.col("edge"), F.col("size")).otherwise(F.lit(0)).alias("extra"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from acquira.llm.shared import Scratch, batch_rows, column_bytes, cut_keys, hashed_block, key_ranges, mix, pack_counts, pack_keys, shuffle_partitions, unpack_counts, unpack_keys, words
+from acquira.llm.shared import Scratch, batch_rows, column_bytes, cut_keys, hashed_block, key_ranges, mix, pack_counts, pack_keys, scratched, shuffle_partitions, unpack_counts, unpack_keys, words
 
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
@@ -243,7 +243,8 @@ def open_group(homes: list[tuple[int, np.ndarray]], visitors: list[tuple[int, np
     return [(x, find(x)) for x in list(root) if find(x) != x]
 
 
-def jaccard_components(df: DataFrame, *, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+@scratched
+def jaccard_components(df: DataFrame, *, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch) -> DataFrame:
     """id, n_shingles and component_id (smallest id reachable by links, its own included) of every row.
 
     Two sets are linked if 100 * intersection >= percent * union. Texts that are null or have no words are empty and linked with
@@ -251,7 +252,6 @@ def jaccard_components(df: DataFrame, *, size: int = 5, percent: int = 80, id_co
     texts links it; an empty one's component is its own id. Columns other than the two named are not read.
     """
     spark = df.sparkSession
-    scratch = Scratch(spark)
     n_parts = min(shuffle_partitions(spark), 65536)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     blocks = scratch.blocks(docs, hashed_block(spark, "id"))
@@ -367,7 +367,7 @@ def jaccard_components(df: DataFrame, *, size: int = 5, percent: int = 80, id_co
         hubs.select(F.col("hub").alias("grp"), one, several("share", "shares"), F.col("hub").alias("node")),
         pairs.join(hubs, "hub").select(F.col("hub").alias("grp"), one, hash_of("node", "shares").alias("share"), "node"),
     )
-    labels = components(links, scratch)
+    labels = components(links, scratch=scratch)
 
     # 2: the other components' groups of each column
     sized = labels.join(labels.groupBy("label").agg(F.count("*").alias("size")), "label")
@@ -449,21 +449,21 @@ def jaccard_components(df: DataFrame, *, size: int = 5, percent: int = 80, id_co
         every = more[0]
         for x in more[1:]:
             every = every.unionByName(x)
-        labels = components(every, scratch)
+        labels = components(every, scratch=scratch)
     least = classes.join(labels, "node").groupBy("label").agg(F.min("id").alias("component_id"))
     named = classes.join(labels.join(least, "label"), "node", "left").select(*of_set, F.coalesce("component_id", "id").alias("component_id"))
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     out = signed.join(named, of_set, "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), own).alias("component_id"))
-    return scratch.finish(out)
+    return out
 
 
-def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+@scratched
+def components(links: DataFrame, *, scratch: Scratch) -> DataFrame:
     """node, label: the smallest node that links (u, v) lead to, for every node of a link.
 
     In each round every node takes its smallest neighbour if that is smaller, chains of such choices are followed to their ends,
     and the links between the ends are what is left; nodes fall to half at least. All is joins of written tables.
     """
-    scratch = scratch or Scratch(links.sparkSession)
     links = links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
     left = scratch.write(links)
     labels = scratch.write(left.select(F.col("u").alias("node")).union(left.select(F.col("v").alias("node"))).distinct().withColumn("label", F.col("node")))

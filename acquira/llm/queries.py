@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acquira.llm import ann, bpe, langid, lm, mixing, ngram_join, quality, suffix, token_counts, warc
+from acquira.llm import ann, bpe, exact_dedup, fim, langid, lm, mixing, ngram_join, quality, suffix, token_counts, warc, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
+def op11_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.content_groups(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.rearrange(table(spark, sf_dir, "documents"), unit="line", rate=100, spm=50, seed=7)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.by_component(whitening.whiten(table(spark, sf_dir, "embeddings"), components=4, scale=256))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_jaccard_components": op2_jaccard_components,
@@ -72,6 +85,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
+    "op11_content_sort": op11_content_sort,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE: dict[str, str] = {
@@ -79,4 +95,6 @@ ORACLE: dict[str, str] = {
     "op5_warc_index": warc.oracle(),
     "op4_line_quality": quality.oracle(),
     "op8_source_mix": mixing.oracle(),
+    "op11_content_sort": exact_dedup.oracle(),
+    "op12_fill_in_middle": fim.oracle(),
 }

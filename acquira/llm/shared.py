@@ -17,7 +17,7 @@ import shutil
 import tempfile
 import uuid
 from contextlib import contextmanager
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -77,11 +77,17 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 class Scratch:
-    """The tables that one call writes for itself; ``finish`` writes its result and deletes them."""
+    """The tables that one call writes for itself, as a context: they go at its end, failed or not."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.folder, self.tables, self.number = spark, shared_folder(spark), [], 0
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *failure) -> None:
+        self.drop()
+
     def _path(self) -> str:
         self.number += 1
         return f"{self.folder}/{self.number}"
@@ -105,10 +111,19 @@ class Scratch:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
         path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
-    def finish(self, df: DataFrame) -> DataFrame:
-        out = materialize(df)
-        self.drop()
-        return out
+
+def scratched(f):
+    """f, whose tables go at its end, failed or not, when its result is written; the caller's ``scratch`` stays for the caller to drop."""
+
+    @wraps(f)
+    def run(df: DataFrame, *args, scratch: Scratch | None = None, **options):
+        if scratch is not None:
+            return f(df, *args, scratch=scratch, **options)
+        with Scratch(df.sparkSession) as own:
+            out = f(df, *args, scratch=own, **options)
+            return out if out is None else materialize(out)
+
+    return run
 
 
 @contextmanager
@@ -234,52 +249,9 @@ def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.
     return np.concatenate(hashes), np.concatenate(owners), np.concatenate(starts)
 
 
-# ---------------------------------------------------------------- packed answers and questions
-
-
-def ranges_of(sorted_hashes: np.ndarray, n: int) -> np.ndarray:
-    """Where each of n equal ranges of the hash space starts in an ascending array; n + 1 places."""
-    edges = np.array([(i << 64) // n for i in range(1, n)], _U)
-    return np.concatenate([[0], np.searchsorted(sorted_hashes, edges), [len(sorted_hashes)]]).astype(np.int64)
-
-
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of one length as bytes, to be read by unpack with the same types."""
-    return b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
-
-
-def unpack(blob: bytes, *types: str) -> list[np.ndarray]:
-    kinds = [np.dtype(t) for t in types]
-    n = len(blob) // sum(k.itemsize for k in kinds)
-    out, at = [], 0
-    for k in kinds:
-        out.append(np.frombuffer(blob, k, n, at))
-        at += n * k.itemsize
-    return out
-
-
-QUESTIONS = "block int, part int, data binary"
-ANSWERS = "block int, part int, data binary"
-
-
-def question_table(block: int, parts: list[int], blobs: list[bytes]) -> pa.Table:
-    return pa.table({"block": pa.array([block] * len(parts), pa.int32()), "part": pa.array(parts, pa.int32()), "data": pa.array(blobs, pa.binary())})
-
-
-def send(block: int, hashes: np.ndarray, n: int, *more: np.ndarray) -> pa.Table:
-    """Questions of a block: ascending distinct hashes and what belongs to each, cut at the ranges' edges."""
-    at = ranges_of(hashes, n)
-    parts = [i for i in range(n) if at[i + 1] > at[i]]
-    return question_table(block, parts, [pack(*(a[at[i]:at[i + 1]] for a in (hashes, *more))) for i in parts])
-
-
 # ---------------------------------------------------------------- keys of 48 bits in 32
 
 
-def short_keys(hashes: np.ndarray) -> np.ndarray:
-    return hashes >> _U(16)
-
-
 def key_ranges(n: int) -> np.ndarray:
     """First of the 65,536 buckets (top 16 of 48 bits) of each of n ranges; n + 1 places."""
     return (np.arange(n + 1, dtype=np.int64) * 65536 + n - 1) // n

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from acquira.llm.shared import BYTE_VALUES, Scratch, _power_table, block_of, column_bytes, cut_keys, key_ranges, mix, pack_keys, shuffle_partitions, unpack_keys
+from acquira.llm.shared import BYTE_VALUES, Scratch, _power_table, block_of, column_bytes, cut_keys, key_ranges, mix, pack_keys, scratched, shuffle_partitions, unpack_keys
 
 _U = np.uint64
 GRAM = 16
@@ -148,7 +148,8 @@ def _rows(block: int, which: int, rows: list[tuple[int, bytes]]) -> pa.Table:
     return pa.table([pa.array([block] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int32()), pa.array([which] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], _ROWS.names)
 
 
-def remove_repeats(df: DataFrame, *, length: int = 100, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), scratch: Scratch | None = None) -> DataFrame:
+@scratched
+def remove_repeats(df: DataFrame, *, length: int = 100, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), scratch: Scratch) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept (binary) and kept_text of every row, then the columns named in ``carry``.
 
     kept_text is kept without the bytes of characters that a removal cut in two, and null where the text was.
@@ -162,7 +163,6 @@ def remove_repeats(df: DataFrame, *, length: int = 100, id_col: str = "doc_id",
     if length < 32:
         raise ValueError("strings have 32 bytes at least")
     spark = df.sparkSession
-    own, scratch = scratch is None, scratch or Scratch(df.sparkSession)
     n = min(shuffle_partitions(spark), 65536)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)))
     total = docs.agg(F.count("*").alias("rows"), F.count("id").alias("ids"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
@@ -340,4 +340,4 @@ def remove_repeats(df: DataFrame, *, length: int = 100, id_col: str = "doc_id",
     two = scratch.write(by_block(blocks).cogroup(by_block(one)).applyInArrow(ask_strings, _ROWS).groupBy("part").applyInArrow(judge_strings, _ROWS))
     out = by_block(blocks).cogroup(by_block(one.unionByName(two))).applyInArrow(finish, schema)
     out = out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept", "kept_text", *(F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)))
-    return scratch.finish(out) if own else out
+    return out

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from acquira.llm.shared import Scratch, batch_rows, shared_folder, shuffle_partitions
+from acquira.llm.shared import Scratch, batch_rows, scratched, shared_folder, shuffle_partitions
 
 #: Bytes of records, before compression, after which a task begins another archive.
 ARCHIVE_BYTES = 64 << 20
@@ -61,7 +61,8 @@ def member(data: bytes) -> bytes:
     return out if not out[-1] else out + _EMPTY
 
 
-def write(df: DataFrame, folder: str, *, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
+@scratched
+def write(df: DataFrame, folder: str, *, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", scratch: Scratch) -> None:
     """One record for each row, a gzip member a record, in archives of about ARCHIVE_BYTES bytes.
 
     Of rows with equal payloads of at least ``min_bytes`` bytes the one with the smallest id is a response and the others revisit
@@ -70,8 +71,7 @@ def write(df: DataFrame, folder: str, *, min_bytes: int = 0, id_col: str = "page
     """
     p = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
     p = p.withColumns({"size": F.octet_length("payload").cast("long"), "sha": F.unhex(F.sha1("payload"))})
-    every = Scratch(df.sparkSession)
-    seen = every.write(p.where(F.col("size") >= min_bytes).select("page_id", "size", "sha"))
+    seen = scratch.write(p.where(F.col("size") >= min_bytes).select("page_id", "size", "sha"))
     again = seen.groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").drop("n")
     rest = seen.join(again, ["sha", "size"]).where("page_id IS NULL OR page_id <> first").select(F.coalesce(F.col("page_id"), F.lit(-1)).alias("_id"), F.col("page_id").isNull().alias("_no"), "sha", "size", "first").distinct()
     p = p.withColumns({"_id": F.coalesce(F.col("page_id"), F.lit(-1)), "_no": F.col("page_id").isNull()}).join(rest, ["_id", "_no", "sha", "size"], "left")
@@ -92,7 +92,6 @@ def write(df: DataFrame, folder: str, *, min_bytes: int = 0, id_col: str = "page
     with batch_rows(df.sparkSession, 1000):
         out = p.select("page_id", "url", "payload", "sha", "first").mapInArrow(pack, "archive int, value binary")
         out.select("archive", F.col("value").cast("string")).write.partitionBy("archive").option("lineSep", "\0").text(folder)
-    every.drop()
 
 
 def members(data: bytes | memoryview, step: int = 1 << 13) -> Iterator[tuple[int, int, bytes]]:
@@ -263,15 +262,15 @@ def merge(entries: DataFrame) -> DataFrame:
     return ranged.mapInArrow(run, schema)
 
 
-def archive(df: DataFrame, *, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", folder: str | None = None) -> DataFrame:
+@scratched
+def archive(df: DataFrame, *, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", folder: str | None = None, scratch: Scratch) -> DataFrame:
     """Writes the pages' archives, reads them back and returns the merged index, one row for each page.
 
     The archives are the result's files: they stay in ``folder``, or in a new one of the shared folder.
     """
     folder = folder or shared_folder(df.sparkSession)
     write(df, folder, min_bytes=min_bytes, id_col=id_col, url_col=url_col, payload_col=payload_col)
-    scratch = Scratch(df.sparkSession)
-    return scratch.finish(merge(scratch.write(runs(df.sparkSession, folder))))
+    return merge(scratch.write(runs(df.sparkSession, folder)))
 
 
 def oracle() -> str:
