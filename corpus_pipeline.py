@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from acquira.llm import bpe, langid, mixing, ngram_join, suffix
-from acquira.llm.shared import materialize
+from acquira.llm.shared import Scratch, materialize
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +41,7 @@ def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each repetition that the mix takes of a document."""
-    out = mixing.draw(mixing.mix(docs, carry=["text", "lang", "n_chars"]))
+    out = mixing.draw(mixing.mix(docs, carry=["text", "lang", "n_chars"], scratch=Scratch(spark)))
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
