@@ -1,20 +1,23 @@
 """N-gram Jaccard join by a token-group matrix, and the components of its links.
 
-Documents with equal sets are one class, a *node*. A node's column entries are its rarest shingles: of n shingles in ascending
-number of classes that have them, any n - ceil(s * n) + 1 have one in common with those of every set that is similar at s. Common
-passages come last in that order, so documents that share nothing else never meet.
-
-1. *Groups.* In each column every node is compared, exactly, with the column's HUBS first nodes. A large component of such links is
-   a group; the nodes of all others are grouped by the hubs that they met, whether these links held or not.
-2. *Matrix.* Columns that hold more than one component are looked at again: a node may visit a group of another component, the
-   smaller component the larger one, and a hub's group itself. The union of each visited group's shingles, with the number of
-   members that have each, is written once.
-3. *Bound.* A visitor's shingles that other members have, counted in the stored union, bound its overlap with every member.
-4. *Opening.* Groups that pass the bound for a visitor are opened: their members are compared with it, exactly.
-
-A large cluster of near copies is one component after step 1, so its members make no rows for each other afterwards. No link
-that joins two components is lost: each pair of similar nodes meets in a column, there one is a hub, or they share a component,
-or one visits the other's group.
+Documents with equal sets are one class, a *node*. A node's column entries are its rarest shingles, its *prefix*: of n shingles in
+ascending number of classes that have them, any n - ceil(s * n) + 1 have one in common with those of every set that is similar at s.
+Common passages come last in that order, so documents that share nothing else never meet.
+
+*Groups.* Nodes are partitioned by two minima of their hashed shingles, which similar sets share and others don't; groups of more than
+MEMBERS are cut. Of each group that is visited, the union of its members' shingles is stored, with the number of members that have
+each, and the same of their prefixes.
+
+1. *Large columns.* The nodes of a column of more than CROWD visit the groups of its first HUBS nodes. What links join are components,
+   so that the members of a large cluster make no rows for each other afterwards; groups are parted by components.
+2. *Matrix.* In every column with more than one component the nodes of smaller components meet the groups of larger ones. Summed over
+   the columns, a node's entries that a group has too bound the overlap: prefixes of similar sets have much more than one shingle in
+   common, unless their sizes differ much. What meets often enough visits.
+
+All visits, those of step 1 too, take the same way (``matched``). *Bounds:* the visitor's prefix against the stored union of prefixes;
+what that leaves, its whole set against the stored union. *Opening:* the groups that some visitor's bound leaves open are opened, and
+their members compared with these visitors, exactly. No link that joins two components is lost: each pair of similar nodes meets in a
+column, and there they share a component or one visits the other's group.
 """
 
 from __future__ import annotations
@@ -31,12 +34,12 @@ from acquira.llm.shared import Scratch, batch_rows, column_bytes, cut_keys, hash
 
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
-#: Nodes of a column that all its others are compared with.
-HUBS = 2
-#: Members of a group that are opened together, their shingles, and documents that are compared with them. None changes a result.
-MEMBERS, CHUNK_SHINGLES, VISITORS = 512, 1 << 20, 128
-#: Nodes from which on a component is a group of its own; smaller ones that met the same hubs share one.
-LARGE = 64
+#: Columns with more nodes are large; nodes of a large column whose groups all its others visit first.
+CROWD, HUBS = 16, 2
+#: Members of a group, their shingles, and visitors that it is compared with at a time. None changes a result.
+MEMBERS, CHUNK_SHINGLES, VISITORS = 64, 1 << 20, 128
+#: Meetings that are counted at a time.
+MEETINGS = 1 << 21
 #: Bytes of text whose shingles are made at a time.
 SLICE_BYTES = 2 << 20
 
@@ -104,15 +107,15 @@ def _schema(**kinds) -> T.StructType:
 _INT, _LONG, _BYTES, _BOOL = T.IntegerType, T.LongType, T.BinaryType, T.BooleanType
 _ROWS = _schema(block=_INT, part=_INT, data=_BYTES)
 _SIGNED = _schema(id=_LONG, n=_LONG, s1=_LONG, s2=_LONG)
-_POSTED = _schema(block=_INT, part=_INT, again=_BOOL, data=_BYTES, node=_LONG, n=_LONG)
+_POSTED = _schema(block=_INT, part=_INT, large=_BOOL, data=_BYTES, node=_LONG, n=_LONG, alike=_LONG, prefix=_BYTES)
 _PAIR = _schema(node=_LONG, hub=_LONG)
-_VISIT = _schema(node=_LONG, grp=_LONG)
+_MET = _schema(node=_LONG, grp=_LONG, times=_LONG, needed=_LONG)
 _EDGE = _schema(u=_LONG, v=_LONG)
-_UNION = _schema(grp=_LONG, chunk=_INT, tokens=_BYTES, having=_BYTES, low=_LONG, high=_LONG)
-_PASSED = _schema(node=_LONG, grp=_LONG, chunk=_INT)
-#: What a column's entry holds: shingle, node, size of its set; in the second round also its component, group and that one's rank.
-_ENTRY = np.dtype([("key", "<u8"), ("node", "<i8"), ("n", "<i8")])
-_LABELLED = np.dtype([("key", "<u8"), ("node", "<i8"), ("n", "<i8"), ("label", "<i8"), ("grp", "<i8"), ("size", "<i8")])
+_UNION = _schema(grp=_LONG, prefix=_BYTES, prefix_having=_BYTES, tokens=_BYTES, having=_BYTES, low=_LONG, high=_LONG)
+_PASSED = _schema(node=_LONG, grp=_LONG, own=_BOOL)
+#: What a column's entry holds: shingle, node, size of its set; in the second round also its component, its group and that one's rank.
+_ENTRY = np.dtype([("key", "<u8"), ("node", "<i8"), ("n", "<u4")])
+_LABELLED = np.dtype([("key", "<u8"), ("node", "<i8"), ("n", "<u4"), ("size", "<u4"), ("label", "<i8"), ("grp", "<i8")])
 
 
 def _table(schema: T.StructType, *cols) -> pa.Table:
@@ -173,30 +176,65 @@ def meet_hubs(entries: np.ndarray, percent: int) -> np.ndarray:
     return np.unique(np.concatenate(out), axis=0)
 
 
-def meet_groups(entries: np.ndarray, percent: int) -> np.ndarray:
-    """Visits (node, group) of the columns with more than one component."""
-    entries = entries[np.lexsort((entries["node"], entries["grp"], entries["size"], entries["key"]))]
-    out = [np.zeros((0, 2), np.int64)]
+def beyond_prefix(n: np.ndarray, percent: int) -> np.ndarray:
+    """Shingles of a set of n that its prefix leaves out."""
+    return (percent * n + 99) // 100 - 1
+
+
+def needed_in_prefixes(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Shingles that the prefixes of similar sets of a and b shingles have in common at least.
+
+    Of the two, let u be the one whose prefix ends first. What they share up to there is in both prefixes, what they share after it is
+    beyond u's prefix.
+    """
+    overlap = -(-percent * (a + b) // (100 + percent))
+    return overlap - np.maximum(beyond_prefix(a, percent), beyond_prefix(b, percent))
+
+
+def meet_groups(entries: np.ndarray, percent: int) -> list[np.ndarray]:
+    """Node, group, how many of the node's entries lie in columns that the group has too, and how many a link needs at least.
+
+    In each column the nodes meet the groups of larger components (of equal ones, those with the larger label).
+    """
+    entries = entries[np.lexsort((entries["node"], entries["grp"], entries["label"], entries["size"], entries["key"]))]
+    total = [np.zeros(0, np.int64)] * 4
     if not len(entries):
-        return out[0]
+        return total
     at = _edges(entries["key"])
     label = entries["label"]
-    mixed = np.minimum.reduceat(label, at[:-1]) != np.maximum.reduceat(label, at[:-1])
-    # columns of the same nodes say the same
-    same = np.stack([np.add.reduceat(mix(entries["node"].view(_U)), at[:-1]), np.add.reduceat(mix(entries["node"].view(_U) ^ _STEP), at[:-1])], 1)
-    first = np.unique(same[mixed], axis=0, return_index=True)[1]
-    for c in np.flatnonzero(mixed)[first]:
-        e = entries[at[c]:at[c + 1]]
-        n, cut = e["n"], _edges(e["grp"])
-        low, high = np.minimum.reduceat(n, cut[:-1]), np.maximum.reduceat(n, cut[:-1])
-        for g in range(len(cut) - 1):  # groups in ascending order of their components' sizes
-            inside = e["label"][cut[g]:cut[g + 1]]
-            own = inside.min() != inside.max()  # a group of several components is visited by its members too
-            v = e[: cut[g + 1] if own else cut[g]]
-            v = v[(100 * high[g] >= percent * v["n"]) & (100 * v["n"] >= percent * low[g])]
-            if len(v):
-                out.append(np.stack([v["node"], np.full(len(v), e["grp"][cut[g]])], 1))
-    return np.unique(np.concatenate(out), axis=0)
+    mixed = np.flatnonzero(np.minimum.reduceat(label, at[:-1]) != np.maximum.reduceat(label, at[:-1]))
+    # columns of the same nodes say the same, so one of them counts for all
+    node = entries["node"].view(_U)
+    same = np.stack([np.add.reduceat(mix(node), at[:-1]), np.add.reduceat(mix(node ^ _STEP), at[:-1])], 1)
+    _, first, times = np.unique(same[mixed], axis=0, return_index=True, return_counts=True)
+    column = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    new_label = np.concatenate([[True], (column[1:] != column[:-1]) | (label[1:] != label[:-1])])
+    label_at = np.maximum.accumulate(np.where(new_label, np.arange(len(column)), 0))  # where an entry's component starts in its column
+    groups = np.flatnonzero(new_label | np.concatenate([[True], entries["grp"][1:] != entries["grp"][:-1]]))
+    n = entries["n"].astype(np.int64)
+    low, high = np.minimum.reduceat(n, groups), np.maximum.reduceat(n, groups)
+    weight = np.zeros(len(at) - 1, np.int64)
+    weight[mixed[first]] = times
+    visitors = np.where(weight[column[groups]] > 0, label_at[groups] - at[:-1][column[groups]], 0)
+    lo = 0
+    upto = np.cumsum(visitors)
+    while lo < len(groups):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + MEETINGS, "right")))
+        g = np.repeat(np.arange(lo, hi), visitors[lo:hi])
+        i = at[:-1][column[groups[g]]] + np.arange(len(g)) - np.repeat(np.cumsum(visitors[lo:hi]) - visitors[lo:hi], visitors[lo:hi])
+        # members of sizes that a link allows
+        least, most = np.maximum(low[g], -(-percent * n[i] // 100)), np.minimum(high[g], 100 * n[i] // percent)
+        ok = least <= most
+        g, i, least, most = g[ok], i[ok], least[ok], most[ok]
+        needed = np.minimum(needed_in_prefixes(n[i], least, percent), needed_in_prefixes(n[i], most, percent))
+        met = [entries["node"][i], entries["grp"][groups[g]], weight[column[groups[g]]], needed]
+        met = [np.concatenate(x) for x in zip(total, met, strict=True)]
+        order = np.lexsort(met[:2])
+        met = [x[order] for x in met]
+        runs = _edges(met[0] ^ (met[1] * np.int64(-7046029254386353131))) if len(order) else np.zeros(1, np.int64)
+        total = [met[0][runs[:-1]], met[1][runs[:-1]], np.add.reduceat(met[2], runs[:-1]), np.minimum.reduceat(met[3], runs[:-1])] if len(order) else met
+        lo = hi
+    return total
 
 
 def unite(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -208,6 +246,17 @@ def _place(sorted_tokens: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.minimum(np.searchsorted(sorted_tokens, q), max(len(sorted_tokens) - 1, 0))
 
 
+def within_prefixes(union: np.ndarray, having: np.ndarray, low: int, high: int, q: np.ndarray, n: int, own: bool, percent: int) -> bool:
+    """Whether a set of n with the prefix q may be similar to a member other than itself: the prefixes have too little in common, or not."""
+    if 100 * high < percent * n or 100 * n < percent * low:
+        return False
+    common = 0
+    if len(union):
+        at = _place(union, q)
+        common = int(((union[at] == q) & (having[at] > own)).sum())
+    return (100 + percent) * (common + int(beyond_prefix(np.array(max(n, high)), percent))) >= percent * (n + low)
+
+
 def within_bound(union: np.ndarray, having: np.ndarray, low: int, high: int, q: np.ndarray, own: bool, percent: int) -> bool:
     """Whether a set may reach the similarity with a member other than itself: its tokens that others have bound the overlap."""
     if 100 * high < percent * len(q) or 100 * len(q) < percent * low:
@@ -302,7 +351,7 @@ def jaccard_components(df: DataFrame, *, size: int = 5, percent: int = 80, id_co
     answers = scratch.write(by(blocks).cogroup(by(reps)).applyInArrow(ask, _ROWS).groupBy("part").applyInArrow(add, _ROWS))
 
     def post(t: pa.Table, r: pa.Table) -> pa.Table:
-        """A block's entries of the matrix by ranges of shingles, columns of more than HUBS + 1 apart; and its nodes' whole sets."""
+        """A block's entries of the matrix by ranges of shingles, large columns apart; and its nodes' sets, with what they are grouped by."""
         pa.default_memory_pool().release_unused()
         known = r.filter(pa.compute.is_valid(r["node"]))
         if not len(t) or not len(known):
@@ -323,62 +372,109 @@ def jaccard_components(df: DataFrame, *, size: int = 5, percent: int = 80, id_co
         prefix = count - (percent * count + 99) // 100 + 1
         keep = order[(np.arange(len(order)) - begin[doc[order]] < prefix[doc[order]]) & (f[order] >= 2)]
         rows: list[tuple] = []
-        for again in (False, True):
-            own = keep[(f[keep] > HUBS + 1) == again]
+        for large in (False, True):
+            own = keep[(f[keep] > CROWD) == large]
             e = np.zeros(len(own), _ENTRY)
             e["key"], e["node"], e["n"] = key[own], node[doc[own]], count[doc[own]]
             e = e[np.argsort(e["key"], kind="stable")]
             at = cut_keys(e["key"], n_parts)[1]
-            rows += [(i, again, e[at[i]:at[i + 1]].tobytes(), None, None) for i in range(n_parts) if at[i + 1] > at[i]]
-        rows += [(None, None, s[begin[d]:begin[d + 1]].tobytes(), int(node[d]), int(count[d])) for d in np.unique(doc[keep])]
+            rows += [(i, large, e[at[i]:at[i + 1]].tobytes(), None, None, None, None) for i in range(n_parts) if at[i + 1] > at[i]]
+        h = mix(s)
+        alike = mix(np.minimum.reduceat(h, begin[:-1]) + _STEP * np.minimum.reduceat(mix(h ^ _STEP), begin[:-1])).view(np.int64)
+        short = key[keep].astype("<u4")  # 32 bits tell enough: what meets by chance makes a bound looser
+        prefixes = np.split(short[np.lexsort((short, doc[keep]))], np.cumsum(np.bincount(doc[keep], minlength=len(node)))[:-1])
+        rows += [(None, None, s[begin[d]:begin[d + 1]].tobytes(), int(node[d]), int(count[d]), int(alike[d]), prefixes[d].tobytes()) for d in np.unique(doc[keep]).tolist()]
         block = t["block"][0].as_py()
         return _table(_POSTED, [block] * len(rows), *(list(c) for c in zip(*rows, strict=True))) if rows else _none(_POSTED)
 
     nothing = lambda kind, name: F.lit(None).cast(kind).alias(name)
     known = reps.select("block", "node", "id", "n", "s1", "s2", nothing("int", "part"), nothing("binary", "data")).unionByName(answers, allowMissingColumns=True)
     posted = scratch.write(by(blocks).cogroup(by(known)).applyInArrow(post, _POSTED))
-    sets = posted.where("part IS NULL").select("node", "n", "data")
-    packets = posted.where("part IS NOT NULL")
+    sets = posted.where("part IS NULL").select("node", "data")
+    packets = posted.where("part IS NOT NULL").select("block", "part", "large", "data")
 
-    spread = lambda d, *keys: d.repartition(n_parts, *keys).sortWithinPartitions(*keys)
-    hash_of = lambda c, k: F.pmod(F.xxhash64(F.col(c)), F.col(k)).cast("int")
+    spread = lambda d, *keys: d.repartition(n_parts, *keys[:2]).sortWithinPartitions(*keys)
+    hash_of = lambda c, k: F.pmod(F.xxhash64(c), k).cast("int")
     several = lambda c, k: F.explode(F.sequence(F.lit(0), F.col(k) - 1)).alias(c)
+    array = lambda d, kind="<u8": np.frombuffer(d, kind)
+
+    def unions(batches):
+        for t in grouped(batches, "grp"):
+            u, having = unite([array(d) for d in t["data"].to_pylist()])
+            p, p_having = unite([array(d, "<u4") for d in t["prefix"].to_pylist()])
+            n = t["n"].to_numpy()
+            yield from _table(_UNION, [t["grp"][0].as_py()], [p.tobytes()], [p_having.astype("<u4").tobytes()], [u.tobytes()], [having.astype("<u4").tobytes()], [int(n.min())], [int(n.max())]).to_batches()
+
+    def bound(test, kind):
+        def run(batches):
+            for t in grouped(batches, "grp", "share"):  # the group's row comes first, having no node
+                kept, u = [], None
+                for r in t.select(["node", "own", "n", "tokens", "having", "low", "high"]).to_pylist():
+                    if r["node"] is None:
+                        u = (array(r["tokens"], kind), array(r["having"], "<u4"), r["low"], r["high"])
+                    elif u is not None and test(u, array(r["tokens"], kind), r["n"], r["own"]):
+                        kept.append((r["node"], t["grp"][0].as_py(), r["own"]))
+                yield from _table(_PASSED, *(zip(*kept, strict=True) if kept else ([], [], []))).to_batches()
+
+        return run
 
     def verify(batches):
-        for t in grouped(batches, "grp", "chunk", "share"):
+        for t in grouped(batches, "grp", "share"):
             member = t["member"].to_numpy(zero_copy_only=False)
-            rows = [(i, np.frombuffer(d, "<u8")) for i, d in zip(t["node"].to_pylist(), t["data"].to_pylist(), strict=True)]
+            rows = [(i, array(d)) for i, d in zip(t["node"].to_pylist(), t["data"].to_pylist(), strict=True)]
             homes, visitors = [x for x, m in zip(rows, member, strict=True) if m], [x for x, m in zip(rows, member, strict=True) if not m]
             if homes and visitors:
                 pairs = open_group(homes, visitors, percent)
                 yield from _table(_EDGE, *(zip(*pairs, strict=True) if pairs else ([], []))).to_batches()
 
-    def opened(members: DataFrame, visitors: DataFrame) -> DataFrame:
-        """Links of (grp, chunk, share, node) visitors with (grp, chunk, share, node) members."""
-        places = members.withColumn("member", F.lit(True)).unionByName(visitors.withColumn("member", F.lit(False)))
+    def matched(visits: DataFrame, homes: DataFrame, step: str) -> DataFrame:
+        """Links (u, v) between visitors (node, grp) and the members (node, grp, n, prefix) of the groups they visit."""
+        shares = lambda v: v.groupBy("grp").agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("shares"))
+        asked = scratch.write(shares(visits))
+        members = homes.join(asked.select("grp"), "grp")
+        with batch_rows(spark, 1000):
+            union = scratch.write(spread(members.join(sets, "node"), "grp").mapInArrow(unions, _UNION))
+
+        def passing(callers: DataFrame, groups: DataFrame, tokens: str, having: str, kind: str, test) -> DataFrame:
+            rows = callers.join(groups, "grp").withColumn("share", hash_of("node", "shares")).drop("shares")
+            shown = union.join(groups, "grp").select("grp", several("share", "shares"), F.col(tokens).alias("tokens"), F.col(having).alias("having"), "low", "high")
+            ordered = rows.unionByName(shown, allowMissingColumns=True).repartition(n_parts, "grp", "share").sortWithinPartitions("grp", "share", F.col("node").asc_nulls_first())
+            with batch_rows(spark, 1000):
+                return scratch.write(ordered.mapInArrow(bound(test, kind), _PASSED))
+
+        own = homes.select("node", F.col("grp").alias("home"), "n", F.col("prefix").alias("tokens"))
+        callers = visits.join(own, "node").select("node", "grp", (F.col("home") == F.col("grp")).alias("own"), "n", "tokens")
+        near = passing(callers, asked, "prefix", "prefix_having", "<u4", lambda u, q, n, own: within_prefixes(*u, q, n, own, percent))
+        left = scratch.write(shares(near))
+        callers = near.join(sets, "node").select("node", "grp", "own", F.lit(0).cast("long").alias("n"), F.col("data").alias("tokens"))
+        passed = passing(callers, left, "tokens", "having", "<u8", lambda u, q, n, own: within_bound(*u, q, own, percent))
+        opened = scratch.write(shares(passed))
+        places = homes.join(opened, "grp").select("grp", several("share", "shares"), "node", F.lit(True).alias("member"))
+        places = places.unionByName(passed.join(opened, "grp").select("grp", hash_of("node", "shares").alias("share"), "node", F.lit(False).alias("member")))
         with batch_rows(spark, 1000):
-            return scratch.write(spread(places.join(sets, "node"), "grp", "chunk", "share").mapInArrow(verify, _EDGE).distinct())
-
-    # 1: nodes against their columns' hubs
-    pairs = scratch.write(packets.groupBy("part").applyInArrow(lambda t: _table(_PAIR, *meet_hubs(_entries(t, _ENTRY), percent).T), _PAIR).distinct())
-    hubs = pairs.groupBy("hub").agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("shares"))
-    one = F.lit(0).alias("chunk")
-    links = opened(
-        hubs.select(F.col("hub").alias("grp"), one, several("share", "shares"), F.col("hub").alias("node")),
-        pairs.join(hubs, "hub").select(F.col("hub").alias("grp"), one, hash_of("node", "shares").alias("share"), "node"),
-    )
-    labels = components(links, scratch=scratch)
-
-    # 2: the other components' groups of each column
-    sized = labels.join(labels.groupBy("label").agg(F.count("*").alias("size")), "label")
-    met = pairs.unionByName(pairs.select(F.col("hub").alias("node"), F.col("node").alias("hub")))
-    least = met.groupBy("node").agg(F.least("node", F.min("hub")).alias("least"))
-    around = met.join(least.select(F.col("node").alias("hub"), F.col("least").alias("l")), "hub").groupBy("node").agg(F.min("l").alias("hub"))
-    large = F.coalesce("size", F.lit(0)) >= LARGE
-    homes = scratch.write(
-        posted.where("part IS NULL").select("block", "node", "n").join(sized, "node", "left").join(around, "node", "left")
-        .select("block", "node", "n", F.coalesce("label", "node").alias("label"), F.when(large, F.col("label") * 2).otherwise(F.coalesce("hub", "node") * 2 + 1).alias("grp"), F.when(large, F.col("size")).otherwise(0).alias("size"))
-    )
+            links = scratch.write(spread(places.join(sets, "node"), "grp", "share").mapInArrow(verify, _EDGE).distinct())
+        scratch.named |= {f"{step} {k}": d for k, d in (("visits", visits), ("visited", asked), ("near", near), ("passed", passed), ("opened", opened), ("links", links))}
+        return links
+
+    # groups of similar nodes
+    nodes = scratch.write(posted.where("part IS NULL").select("block", "node", "n", "alike", "prefix"))
+    large = nodes.groupBy("alike").agg(F.ceil(F.greatest(F.sum("n") / CHUNK_SHINGLES, F.count("*") / MEMBERS)).cast("int").alias("cuts")).where("cuts > 1")
+    homes = scratch.write(nodes.join(large, "alike", "left").select("block", "node", "n", "prefix", F.xxhash64("alike", hash_of("node", F.coalesce("cuts", F.lit(1)))).alias("grp")))
+
+    # 1: the nodes of large columns visit the groups of their first
+    pairs = packets.where("large").groupBy("part").applyInArrow(lambda t: _table(_PAIR, *meet_hubs(_entries(t, _ENTRY), percent).T), _PAIR).distinct()
+    visits = scratch.write(pairs.join(homes.select(F.col("node").alias("hub"), "grp"), "hub").select("node", "grp").distinct())
+    more = [] if visits.isEmpty() else [matched(visits, homes, "first")]
+
+    # 2: what is in smaller components meets the groups of larger ones
+    if more:
+        labels = components(more[0], scratch=scratch)
+        sized = labels.join(labels.groupBy("label").agg(F.count("*").alias("size")), "label")
+        parted = homes.join(sized, "node", "left").withColumns({"label": F.coalesce("label", "node"), "size": F.coalesce("size", F.lit(1))})
+        homes = scratch.write(parted.withColumn("grp", F.xxhash64("grp", "label")))
+    else:
+        labels = None
+        homes = scratch.write(homes.withColumns({"label": F.col("node"), "size": F.lit(1).cast("long"), "grp": F.xxhash64("grp", "node")}))
 
     def relabel(t: pa.Table, r: pa.Table) -> pa.Table:
         if not len(t) or not len(r):
@@ -393,61 +489,26 @@ def jaccard_components(df: DataFrame, *, size: int = 5, percent: int = 80, id_co
             for c in _ENTRY.names:
                 x[c] = e[c]
             for c, v in fields.items():
-                x[c] = v[at]
+                x[c] = np.minimum(v[at], 2**32 - 1) if c == "size" else v[at]
             out.append(x.tobytes())
         return _table(_ROWS, t["block"].to_pylist(), t["part"].to_pylist(), out)
 
-    labelled = by(packets.where("again").select("block", "part", "data")).cogroup(by(homes)).applyInArrow(relabel, _ROWS)
-    visits = scratch.write(labelled.groupBy("part").applyInArrow(lambda t: _table(_VISIT, *meet_groups(_entries(t, _LABELLED), percent).T), _VISIT).distinct())
-    more = [links]
+    labelled = by(packets.select("block", "part", "data")).cogroup(by(homes.select("block", "node", "label", "grp", "size"))).applyInArrow(relabel, _ROWS)
+    met = labelled.groupBy("part").applyInArrow(lambda t: _table(_MET, *meet_groups(_entries(t, _LABELLED), percent)), _MET)
+    visits = scratch.write(met.groupBy("node", "grp").agg(F.sum("times").alias("times"), F.min("needed").alias("needed")).where("times >= needed").select("node", "grp"))
     if not visits.isEmpty():
-        asked = visits.groupBy("grp").agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("shares"))
-        plan = scratch.write(homes.groupBy("grp").agg(F.ceil(F.greatest(F.sum("n") / CHUNK_SHINGLES, F.count("*") / MEMBERS)).cast("int").alias("chunks")).join(asked, "grp"))
-        placed = scratch.write(homes.join(plan, "grp").select("grp", hash_of("node", "chunks").alias("chunk"), "node", "shares"))
-
-        def unions(batches):
-            for t in grouped(batches, "grp", "chunk"):
-                u, having = unite([np.frombuffer(d, "<u8") for d in t["data"].to_pylist()])
-                n = t["n"].to_numpy()
-                yield from _table(_UNION, [t["grp"][0].as_py()], [t["chunk"][0].as_py()], [u.tobytes()], [having.astype("<u4").tobytes()], [int(n.min())], [int(n.max())]).to_batches()
-
-        with batch_rows(spark, 1000):
-            union = scratch.write(spread(placed.join(sets, "node"), "grp", "chunk").mapInArrow(unions, _UNION))
-
-        def bound(batches):
-            for t in grouped(batches, "grp", "chunk", "share"):
-                kept, u = [], None
-                for r in t.select(["node", "own", "tokens", "having", "low", "high"]).to_pylist():
-                    if r["node"] is None:
-                        u = (np.frombuffer(r["tokens"], "<u8"), np.frombuffer(r["having"], "<u4"), r["low"], r["high"])
-                    elif u is not None and within_bound(*u, np.frombuffer(r["tokens"], "<u8"), r["own"], percent):
-                        kept.append(r["node"])
-                yield from _table(_PASSED, kept, [t["grp"][0].as_py()] * len(kept), [t["chunk"][0].as_py()] * len(kept)).to_batches()
-
-        # 3: visitors against the stored unions
-        trips = visits.join(plan, "grp").select("node", "grp", several("chunk", "chunks"), hash_of("node", "shares").alias("share"))
-        trips = trips.join(placed.select("node", "grp", "chunk", F.lit(True).alias("own")), ["node", "grp", "chunk"], "left").join(sets.withColumnRenamed("data", "tokens"), "node")
-        shown = union.join(plan, "grp").select("grp", "chunk", several("share", "shares"), "tokens", "having", "low", "high")
-        rows = trips.select("grp", "chunk", "share", "node", F.coalesce("own", F.lit(False)).alias("own"), "tokens").unionByName(shown, allowMissingColumns=True)
-        with batch_rows(spark, 1000):
-            ordered = rows.repartition(n_parts, "grp", "chunk", "share").sortWithinPartitions("grp", "chunk", "share", F.col("node").asc_nulls_first())
-            passed = scratch.write(ordered.mapInArrow(bound, _PASSED))
-
-        # 4: the groups that some visitor's bound leaves open
-        shares = passed.groupBy("grp", "chunk").agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("shares"))
-        more.append(opened(
-            placed.drop("shares").join(shares, ["grp", "chunk"]).select("grp", "chunk", several("share", "shares"), "node"),
-            passed.join(shares, ["grp", "chunk"]).select("grp", "chunk", hash_of("node", "shares").alias("share"), "node"),
-        ))
+        more.append(matched(visits, homes, "second"))
+        labels = None
     of_set = ["n", "s1", "s2"]
     twice = with_words.groupBy("id").agg(F.min(F.struct(*of_set)).alias("a"), F.max(F.struct(*of_set)).alias("b")).where("a <> b").select("id")
     twice = scratch.write(with_words.join(twice, "id", "left_semi").distinct())
     if not twice.isEmpty():
         named = twice.join(classes.drop("id"), of_set)
         more.append(named.join(named.groupBy("id").agg(F.min("node").alias("v")), "id").select(F.col("node").alias("u"), "v"))
-    if len(more) > 1:
-        every = more[0]
-        for x in more[1:]:
+        labels = None
+    if labels is None or len(more) > 1:
+        every = spark.createDataFrame([], _EDGE)
+        for x in more:
             every = every.unionByName(x)
         labels = components(every, scratch=scratch)
     least = classes.join(labels, "node").groupBy("label").agg(F.min("id").alias("component_id"))

@@ -81,6 +81,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.folder, self.tables, self.number = spark, shared_folder(spark), [], 0
+        self.named: dict[str, DataFrame] = {}  # tables of the way that a caller may look at
 
     def __enter__(self) -> Scratch:
         return self

@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from acquira.llm import langid, lm, mixing, ngram_join, quality, suffix
+from acquira.llm.shared import Scratch
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, block int, id long, size long, kept string"
@@ -85,7 +86,8 @@ def test_jaccard_clusters_of_near_copies(spark, monkeypatch, hubs, chunk, visito
     monkeypatch.setattr(ngram_join, "HUBS", hubs)
     monkeypatch.setattr(ngram_join, "CHUNK_SHINGLES", chunk)
     monkeypatch.setattr(ngram_join, "MEMBERS", visitors)
-    monkeypatch.setattr(ngram_join, "LARGE", 6)
+    monkeypatch.setattr(ngram_join, "CROWD", 3)
+    monkeypatch.setattr(ngram_join, "MEETINGS", 50)
     monkeypatch.setattr(ngram_join, "VISITORS", visitors)
     rng, rows = random.Random(11), []
     for c in range(3):
@@ -101,6 +103,49 @@ def test_jaccard_clusters_of_near_copies(spark, monkeypatch, hubs, chunk, visito
     assert got == want and 4 < len({c for _, c in want.values()}) < 100
 
 
+def told(spark, df):
+    """Rows of each table of the way, and the number of components."""
+    with Scratch(spark) as scratch:
+        out = ngram_join.jaccard_components(df, scratch=scratch)
+        return out.select("component_id").distinct().count(), {k: d.count() for k, d in scratch.named.items()}, {k: {r.grp for r in d.select("grp").distinct().collect()} for k, d in scratch.named.items() if "links" not in k}
+
+
+def test_links_come_through_stored_groups(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    _, rows, groups = told(spark, docs)
+    visits, opened = (sum(n for k, n in rows.items() if k.endswith(x)) for x in ("visits", "opened"))
+    assert visits >= opened > 0 and sum(n for k, n in rows.items() if k.endswith("links")) > 0
+    for step in {k.split()[0] for k in rows}:  # only groups that a bound left open are opened
+        assert groups[f"{step} opened"] == groups[f"{step} passed"] <= groups[f"{step} near"] <= groups[f"{step} visited"]
+
+
+@pytest.mark.parametrize("crowd", [16, 3])
+def test_templated_texts_meet_and_hardly_visit(spark, monkeypatch, crowd):
+    """Texts of the same paragraphs, none similar to another: whole sets of none are sent, however many there are."""
+    monkeypatch.setattr(ngram_join, "CROWD", crowd)
+    rng = random.Random(1)
+    paragraphs = [" ".join(f"w{rng.randrange(5000)}" for _ in range(14)) for _ in range(60)]
+    n = 1200
+    df = spark.createDataFrame([(i, " ".join(rng.sample(paragraphs, 20))) for i in range(n)], "doc_id long, text string")
+    found, rows, _ = told(spark, df)
+    count = lambda name: sum(v for k, v in rows.items() if k.endswith(name))
+    assert found == n and count("opened") == 0 and count("near") <= count("visits") // 50
+    if crowd == 3:  # the nodes of large columns visit, and their prefixes' bounds keep nearly all groups closed
+        assert n < rows["first visits"] < 80 * n
+
+
+@pytest.mark.parametrize("percent", [80, 57, 95])
+def test_prefixes_of_similar_sets_share_what_is_needed(percent):
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        base = rng.permutation(400)[: rng.integers(5, 300)]
+        a, b = (np.sort(rng.permutation(base)[: max(1, int(len(base) * rng.uniform(0.7, 1)))]) for _ in range(2))
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= percent * (len(a) + len(b) - both):
+            p, q = (x[: len(x) - int(ngram_join.beyond_prefix(np.array(len(x)), percent))] for x in (a, b))
+            assert len(np.intersect1d(p, q)) >= ngram_join.needed_in_prefixes(np.array(len(a)), np.array(len(b)), percent)
+
+
 def test_components_follow_long_chains(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 150)]
     got = dict(map(tuple, ngram_join.components(spark.createDataFrame(chain, "u long, v long")).collect()))
