@@ -9,7 +9,7 @@ MEMBERS are cut. Of each group that is visited, the union of its members' shingl
 each, and the same of their prefixes.
 
 1. *Large columns.* The nodes of a column of more than CROWD visit the groups of its first HUBS nodes. What links join are components,
-   so that the members of a large cluster make no rows for each other afterwards; groups are parted by components.
+   which are the groups from then on (cut, if large), so the members of a large cluster make no rows for each other afterwards.
 2. *Matrix.* In every column with more than one component the nodes of smaller components meet the groups of larger ones. Summed over
    the columns, a node's entries that a group has too bound the overlap: prefixes of similar sets have much more than one shingle in
    common, unless their sizes differ much. What meets often enough visits.
@@ -36,8 +36,9 @@ _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
 #: Columns with more nodes are large; nodes of a large column whose groups all its others visit first.
 CROWD, HUBS = 16, 2
-#: Members of a group, their shingles, and visitors that it is compared with at a time. None changes a result.
-MEMBERS, CHUNK_SHINGLES, VISITORS = 64, 1 << 20, 128
+#: Members of a group, those of a group within a component, a group's shingles, and visitors that it is compared with at a time. None
+#: changes a result.
+MEMBERS, LARGE, CHUNK_SHINGLES, VISITORS = 64, 4096, 1 << 20, 128
 #: Meetings that are counted at a time.
 MEETINGS = 1 << 21
 #: Bytes of text whose shingles are made at a time.
@@ -469,12 +470,13 @@ def jaccard_components(df: DataFrame, *, size: int = 5, percent: int = 80, id_co
     # 2: what is in smaller components meets the groups of larger ones
     if more:
         labels = components(more[0], scratch=scratch)
-        sized = labels.join(labels.groupBy("label").agg(F.count("*").alias("size")), "label")
-        parted = homes.join(sized, "node", "left").withColumns({"label": F.coalesce("label", "node"), "size": F.coalesce("size", F.lit(1))})
-        homes = scratch.write(parted.withColumn("grp", F.xxhash64("grp", "label")))
+        cuts = F.ceil(F.greatest(F.sum("n") / CHUNK_SHINGLES, F.count("*") / LARGE)).cast("int").alias("cuts")
+        sized = labels.join(homes.select("node", "n"), "node").groupBy("label").agg(F.count("*").alias("size"), cuts)
+        parted = homes.drop("grp").join(labels, "node", "left").join(sized, "label", "left").withColumns({"label": F.coalesce("label", "node"), "size": F.coalesce("size", F.lit(1)), "cuts": F.coalesce("cuts", F.lit(1))})
+        homes = scratch.write(parted.withColumn("grp", F.xxhash64("label", hash_of("node", F.col("cuts")))).drop("cuts"))
     else:
         labels = None
-        homes = scratch.write(homes.withColumns({"label": F.col("node"), "size": F.lit(1).cast("long"), "grp": F.xxhash64("grp", "node")}))
+        homes = scratch.write(homes.withColumns({"label": F.col("node"), "size": F.lit(1).cast("long"), "grp": F.xxhash64("node", F.lit(0))}))
 
     def relabel(t: pa.Table, r: pa.Table) -> pa.Table:
         if not len(t) or not len(r):

@@ -87,6 +87,7 @@ def test_jaccard_clusters_of_near_copies(spark, monkeypatch, hubs, chunk, visito
     monkeypatch.setattr(ngram_join, "CHUNK_SHINGLES", chunk)
     monkeypatch.setattr(ngram_join, "MEMBERS", visitors)
     monkeypatch.setattr(ngram_join, "CROWD", 3)
+    monkeypatch.setattr(ngram_join, "LARGE", 7)
     monkeypatch.setattr(ngram_join, "MEETINGS", 50)
     monkeypatch.setattr(ngram_join, "VISITORS", visitors)
     rng, rows = random.Random(11), []
@@ -129,7 +130,7 @@ def test_templated_texts_meet_and_hardly_visit(spark, monkeypatch, crowd):
     df = spark.createDataFrame([(i, " ".join(rng.sample(paragraphs, 20))) for i in range(n)], "doc_id long, text string")
     found, rows, _ = told(spark, df)
     count = lambda name: sum(v for k, v in rows.items() if k.endswith(name))
-    assert found == n and count("opened") == 0 and count("near") <= count("visits") // 50
+    assert found == n and count("near") <= count("visits") // 50 and count("opened") <= count("visits") // 1000
     if crowd == 3:  # the nodes of large columns visit, and their prefixes' bounds keep nearly all groups closed
         assert n < rows["first visits"] < 80 * n
 
