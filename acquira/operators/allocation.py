@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acquira.functions import vec
-from acquira.operators import clusters, sampling, sequential
+from acquira.operators import clusters, density, sampling, sequential
+from acquira.sources.shared import written
 
 
 def least_cluster(rows: int, budget: float, mean_cost: float) -> int:
@@ -27,17 +28,15 @@ def nearest_medoid(reference: DataFrame, medoids: DataFrame, *, vector: str = "e
     return medoids.select("cluster").join(hits, "cluster", "left").select("cluster", F.coalesce("references", F.lit(0)).alias("references"))
 
 
-def order(pool: DataFrame, reference: DataFrame, *, budget: float, k: int = 20, seed: int = 0) -> DataFrame:
+def order(pool: DataFrame, reference: DataFrame, *, budget: float) -> DataFrame:
     """seq, pos, paid: cluster the gated pool, set quotas by what the reference lacks, emit by turns.
 
-    pool: pos, entropy, image_id, cost, embedding. Clusters are of k-means; the smallest size that the budget can serve makes
-    the smaller ones noise, which only spills.
+    pool: pos, entropy, image_id, cost, embedding. Clusters are dense regions of the smallest size that the budget can serve and more;
+    the rest is noise, which only spills.
     """
-    d = clusters.kmeans(pool.drop("cluster"), k=k, seed=seed)
     n, mean = pool.agg(F.count("*"), F.avg("cost")).first()
-    least = least_cluster(n, budget, mean or 1.0)
-    large = d.groupBy("cluster").agg(F.count("*").alias("_size"))
-    d = d.join(F.broadcast(large), "cluster").withColumn("cluster", F.when(F.col("_size") >= least, F.col("cluster")).otherwise(-1)).drop("_size")  # one row a cluster
+    found = density.hdbscan(pool, size=least_cluster(n, budget, mean or 1.0), key="pos")
+    d = written(pool.drop("cluster").join(found, "pos"))
     centres = clusters.medoids(d, key="pos").join(pool.select(F.col("pos").alias("medoid"), "embedding"), "medoid").select("cluster", "embedding")
     refs = nearest_medoid(reference, centres)
     sizes = d.where("cluster >= 0").groupBy("cluster").agg(F.count("*").alias("candidates")).join(refs, "cluster")
@@ -45,7 +44,7 @@ def order(pool: DataFrame, reference: DataFrame, *, budget: float, k: int = 20,
     return sequential.emitted(d.select("pos", "cluster", "entropy", "image_id", "cost"), quota)
 
 
-def rounds(pool: DataFrame, reference: DataFrame, *, budget: int, n: int, k: int = 20) -> pd.DataFrame:
+def rounds(pool: DataFrame, reference: DataFrame, *, budget: int, n: int) -> pd.DataFrame:
     """round, image_id, cost: the order is drawn anew each round against a reference that has what was opened before.
 
     Before round r + 1 ends, budget * (r + 1) // n may be spent; a round stops at the first image that it can't pay.
@@ -57,7 +56,7 @@ def rounds(pool: DataFrame, reference: DataFrame, *, budget: int, n: int, k: int
         if left.isEmpty():
             break
         allowed = budget * (r + 1) // n - spent
-        walk = order(left, ref, budget=max(allowed, 1), k=k)
+        walk = order(left, ref, budget=max(allowed, 1))
         # an image costs 1 or more, so the walk ends among the first allowed + 1 of them
         first = walk.join(left.select("pos", "image_id", "cost"), "pos").groupBy("image_id").agg(F.min(F.struct("seq", "cost")).alias("first"))
         for x in first.orderBy("first.seq").limit(allowed + 1).collect():

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from acquira.functions import vec
-from acquira.operators import neighbours
+from acquira.operators.cells import SLACK, Cells, directions, numbers
+from acquira.operators.graph import components, forest
 from acquira.sources.shared import written
 
 def kmeans(df: DataFrame, *, k: int, vector: str = "embedding", seed: int = 0) -> DataFrame:
@@ -48,23 +52,83 @@ def spectrum(df: DataFrame, *, dims: int, vector: str = "embedding", share: floa
 def dbscan(df: DataFrame, *, eps: float, minimum: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """key, status (core, border, noise), cluster: the smallest core key reached (border: of its nearest in key), -1 for noise.
 
-    A core row has ``minimum`` neighbours, itself included.
+    A core row has ``minimum`` neighbours, itself included. No pair is written: cells that lie within a row's reach are counted, and
+    linked by their smallest core, as a whole; what other cells are looked at for are a count for each row and a forest of the links of
+    a slot. Keys differ and are read as long; null vectors are noise.
     """
-    pairs = written(neighbours.within(df, eps=eps, key=key, vector=vector))
-    core = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= minimum).select("a")
-    links = written(pairs.join(core, "a", "left_semi").join(core.select(F.col("a").alias("b")), "b", "left_semi"))
-    label = core.select("a", F.col("a").alias("l"))
-    while True:  # the smallest label of the neighbours, then its own label
-        near = links.join(label.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("m"))
-        jump = near.join(label.select(F.col("a").alias("m"), F.col("l").alias("j")), "m").select("a", F.least("m", "j").alias("l2"))
-        new = written(label.join(jump, "a").select("a", F.least("l", "l2").alias("l"), (F.col("l2") < F.col("l")).alias("moved")))
-        label = new.select("a", "l")
-        if new.where("moved").isEmpty():
+    reach = float(np.sqrt(2 * max(eps, 0.0)))
+    rows = written(df.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL").withColumn("q", F.col("k")))
+    cells = Cells(rows)
+    if not cells.n:
+        return df.select(key, F.lit("noise").alias("status"), F.lit(-1).cast("long").alias("cluster"))
+    touched = lambda d, ball: (d - ball[0][None, :] <= reach + SLACK) & (ball[1] > 0)[None, :]
+    whole = lambda d, ball: (d + ball[0][None, :] <= reach - SLACK) & (ball[1] > 0)[None, :]
+    near = lambda a, b: (1 - directions(a["v"], True) @ directions(b["v"], False).T <= eps + 1e-9) | (numbers(a["q"])[:, None] == numbers(b["k"])[None, :])
+    askers = rows.select("q", "v")
+
+    # which rows are cores: whole cells first, a look at others only for rows that these leave short
+    pivots, every = cells.shared, (cells.radius, cells.count)
+
+    def counted(batches):
+        for b in batches:
+            if b.num_rows:
+                d = np.sqrt(np.maximum(2 - 2 * (directions(b.column(1), True) @ pivots.value.T), 0))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array((whole(d, every) * every[1]).sum(1))], ["q", "v", "sure"])
+
+    sure = written(askers.mapInArrow(counted, T.StructType([*askers.schema.fields, T.StructField("sure", T.LongType())])))
+    number = T.StructType([T.StructField("q", T.LongType()), T.StructField("n", T.LongType())])
+    looked = cells.meet(written(sure.where(F.col("sure") < minimum)), lambda d, b: touched(d, every) & ~whole(d, every), lambda a, b: [a["q"], near(a, b).sum(1)], number)
+    total = written(sure.select("q", "sure").join(looked.groupBy("q").agg(F.sum("n").alias("n")), "q", "left").select(F.col("q").alias("k"), (F.col("sure") + F.coalesce("n", F.lit(0)) >= minimum).alias("core")))
+    cores = cells.only(total.where("core").select("k"))
+    if not cores.n:
+        return df.select(key, F.lit("noise").alias("status"), F.lit(-1).cast("long").alias("cluster"))
+
+    held = (cores.radius, cores.count)
+    # cells all of whose cores are in reach of each other are one
+    least = np.full(len(cells.pivots), np.iinfo(np.int64).max)
+    for r in cores.homes.groupBy("cell").agg(F.min("k").alias("k")).collect():  # a row a pivot
+        least[r.cell] = r.k
+    apart = np.sqrt(np.maximum(2 - 2 * (cells.pivots @ cells.pivots.T), 0))
+    close = (apart + cores.radius[:, None] + cores.radius[None, :] <= reach - SLACK) & np.isfinite(cores.radius)[:, None] & np.isfinite(cores.radius)[None, :]
+    one = np.arange(len(least))
+    while True:
+        new = np.minimum(one, np.where(close, one[None, :], len(one)).min(1, initial=len(one)))
+        if (new == one).all():
             break
-    rest = pairs.join(core, "a", "left_anti").join(label.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.min_by("l", "b").alias("l"))
-    both = label.withColumn("status", F.lit("core")).unionByName(rest.withColumn("status", F.lit("border")))
-    out = df.select(F.col(key).alias("a")).join(both, "a", "left")
-    return out.select(F.col("a").alias(key), F.coalesce("status", F.lit("noise")).alias("status"), F.coalesce("l", F.lit(-1)).alias("cluster"))
+        one = new
+
+    def by_cell(batches):  # a row is linked to the smallest core of one whole cell of each kind; a row that is no core takes the smallest
+        for b in batches:
+            if not b.num_rows:
+                continue
+            d = np.sqrt(np.maximum(2 - 2 * (directions(b.column(1), True) @ pivots.value.T), 0))
+            who, cell = np.nonzero(whole(d, held))
+            core = b.column(2).to_numpy(zero_copy_only=False)[who]
+            key = b.column(0).to_numpy()
+            first = np.unique(np.stack([who, np.where(core, one[cell], -1), np.where(core, cell, least[cell])], 1), axis=0)
+            start = np.concatenate([[True], (first[1:, :2] != first[:-1, :2]).any(1)]) if len(first) else np.zeros(0, bool)
+            w, kind, c = first[start].T if len(first) else np.zeros((3, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key[w]), pa.array(np.where(kind >= 0, least[np.where(kind >= 0, c, 0)], c)), pa.array(kind >= 0)], ["u", "v", "core"])
+
+    edge = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType()), T.StructField("core", T.BooleanType())])
+    told = written(askers.join(total.select(F.col("k").alias("q"), "core"), "q").select("q", "v", "core"))
+
+    def look(a, b):
+        core, linked, k = numbers(a["core"]), near(a, b), numbers(b["k"])
+        u, v = forest(linked[core], numbers(a["q"])[core], k)
+        rest = linked[~core]
+        some = rest.any(1)
+        return [np.concatenate([u, numbers(a["q"])[~core][some]]), np.concatenate([v, np.where(rest, k[None, :], np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max)[some]]), np.concatenate([np.ones(len(u), bool), np.zeros(int(some.sum()), bool)])]
+
+    looked = cores.meet(told, lambda d, b: touched(d, held) & ~whole(d, held), look, edge)
+    within = [least[one[i]] for i in np.flatnonzero(cores.count)]
+    links = written(told.mapInArrow(by_cell, edge).unionByName(looked))
+    joined = [(int(least[i]), int(w), True) for i, w in zip(np.flatnonzero(cores.count), within, strict=True)]  # a row a pivot
+    label = components(links.where("core").select("u", "v").unionByName(df.sparkSession.createDataFrame(joined, edge).select("u", "v")).unionByName(cores.homes.select(F.col("k").alias("u"), F.col("k").alias("v"))))
+    rest = links.where("NOT core").groupBy("u").agg(F.min("v").alias("node")).join(label, "node").select(F.col("u").alias("k"), "label")
+    both = label.select(F.col("node").alias("k"), "label").withColumn("status", F.lit("core")).unionByName(rest.withColumn("status", F.lit("border")))
+    out = df.select(F.col(key).alias("a")).join(both, F.col("a") == F.col("k"), "left")
+    return out.select(F.col("a").alias(key), F.coalesce("status", F.lit("noise")).alias("status"), F.coalesce("label", F.lit(-1)).alias("cluster"))
 
 
 def medoids(assign: DataFrame, *, key: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Nearest rows by cosine against a reference, block by block."""
+"""Nearest rows by cosine against a reference, and rows within a radius."""
 
 from __future__ import annotations
 
@@ -8,44 +8,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Reference rows that are broadcast at once; larger references take a pass for each block.
-BLOCK_ROWS = 65_536
+from acquira.operators.cells import knn
+from acquira.operators.cells import unit as _unit
 
 
-def _unit(col, dim: int | None = None) -> np.ndarray:
-    flat = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-    x = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    x = x.reshape(len(flat), -1) if len(flat) else np.zeros((0, dim or 1))
-    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
+def nearest_rows(df: DataFrame, reference: DataFrame, *, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """id and near: (similarity, id) of the k nearest reference rows, similarity rounded to nine places, ties to the smaller id."""
+    found, _ = knn(df, reference, k=k, id_col=id_col, vector_col=vector_col)
+    return found.select(id_col, F.transform("near", lambda r: F.struct((-r["far"]).alias("similarity"), r["id"].alias("id"))).alias("near"))
 
 
-def nearest_rows(df: DataFrame, reference: DataFrame, *, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """id and near: (similarity, id) of the k nearest reference rows, similarity rounded to nine places, ties to the smaller id."""
-    n = reference.count()
-    near = T.ArrayType(T.StructType([T.StructField("similarity", T.DoubleType()), T.StructField("id", T.LongType())]))
-    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), df.schema[vector_col], T.StructField("near", near)])
-    out = df.select(id_col, vector_col, F.array().cast(near).alias("near"))
-    blocks = -(-n // block_rows)
-    for b in range(blocks):
-        part = reference if blocks == 1 else reference.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == b)
-        block = part.select(F.col(id_col).cast("long").alias("id"), vector_col).toArrow()
-        shared = df.sparkSession.sparkContext.broadcast((block.column(0).to_numpy(), _unit(block.column(1))))
-
-        def run(batches, shared=shared):
-            ids, ref = shared.value
-            for batch in batches:
-                x, old, found = _unit(batch.column(1)), batch.column(2).to_pylist(), []
-                for lo in range(0, len(x), 1024):
-                    s = np.round(x[lo:lo + 1024] @ ref.T, 9)
-                    edge = -np.partition(-s, min(k, s.shape[1]) - 1, 1)[:, min(k, s.shape[1]) - 1] if s.shape[1] else np.zeros(len(s))
-                    for o, row, least in zip(old[lo:lo + 1024], s, edge, strict=True):
-                        at = np.flatnonzero(row >= least)
-                        have = [(r["similarity"], r["id"]) for r in o] + list(zip(row[at].tolist(), ids[at].tolist(), strict=True))
-                        found.append([{"similarity": v, "id": i} for v, i in sorted(have, key=lambda z: (-z[0], z[1]))[:k]])
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.struct([("similarity", pa.float64()), ("id", pa.int64())])))], schema.names)
-
-        out = out.mapInArrow(run, schema)
-    return out.select(id_col, "near")
+def nearest(df: DataFrame, reference: DataFrame, *, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """id and near: the k greatest cosines to reference rows, descending (fewer, if the reference is smaller).
+
+    A row that is in the reference too meets itself.
+    """
+    found, _ = knn(df, reference, k=k, id_col=id_col, vector_col=vector_col)
+    return found.select(id_col, F.transform("near", lambda r: r["cosine"]).alias("near"))
 
 
 #: Pivots of a range search, rows of a cell that one task compares, and rows that it compares them with.
@@ -107,31 +86,3 @@ def within(df: DataFrame, *, eps: float, key: str = "vec_id", vector: str = "emb
 
     by = ["cell", "part", "share"]
     return visitors.groupBy(*by).cogroup(there.groupBy(*by)).applyInArrow(compare, pairs)
-
-
-def nearest(df: DataFrame, reference: DataFrame, *, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """id and near: the k greatest cosines to reference rows, descending (fewer, if the reference is smaller).
-
-    A row that is in the reference too meets itself. df isn't shuffled; a block of the reference is bounded, and broadcast.
-    """
-    n = reference.count()
-    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), df.schema[vector_col], T.StructField("near", T.ArrayType(T.DoubleType()))])
-    out = df.select(id_col, vector_col, F.array().cast("array<double>").alias("near"))
-    blocks = -(-n // block_rows)
-    for b in range(blocks):
-        part = reference if blocks == 1 else reference.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == b)
-        shared = df.sparkSession.sparkContext.broadcast(_unit(part.select(vector_col).toArrow().column(0)))
-
-        def run(batches, shared=shared):
-            ref = shared.value
-            for batch in batches:
-                x, old = _unit(batch.column(1)), batch.column(2).to_pylist()
-                near = []
-                for lo in range(0, len(x), 1024):
-                    s = x[lo:lo + 1024] @ ref.T
-                    top = -np.sort(-(np.partition(s, s.shape[1] - k, 1)[:, -k:] if s.shape[1] > k else s), 1)
-                    near += [sorted([*o, *row], reverse=True)[:k] for o, row in zip(old[lo:lo + 1024], top.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.list_(pa.float64()))], schema.names)
-
-        out = out.mapInArrow(run, schema)
-    return out.select(id_col, "near")

@@ -17,7 +17,7 @@ BASE = f"""WITH proposals AS (
  SELECT l_orderkey * {POSITIONS} + row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(_ORDER)}) - 1 AS pos, l_orderkey AS image_id,
   CAST(l_partkey % 97 AS DOUBLE) / 97 AS cx, CAST(l_suppkey % 89 AS DOUBLE) / 89 AS cy, CAST(0.05 AS DOUBLE) + l_quantity / 100 AS w, CAST(0.05 AS DOUBLE) + l_tax * 5 AS h,
   CAST(0.5 AS DOUBLE) + l_discount * 5 AS objectness, CAST((l_partkey % 13) + 1 AS DOUBLE) AS q0, CAST((l_partkey * 2 % 13) + 1 AS DOUBLE) AS q1,
-  CAST((l_partkey * 3 % 13) + 1 AS DOUBLE) AS q2, CAST((l_partkey * 5 % 13) + 1 AS DOUBLE) AS q3, l_partkey % 500 AS vec_id, (l_partkey % 6) * (l_suppkey % 6) AS class_id,
+  CAST((l_partkey * 3 % 13) + 1 AS DOUBLE) AS q2, CAST((l_partkey * 5 % 13) + 1 AS DOUBLE) AS q3, l_partkey % (SELECT count(*) FROM embeddings) AS vec_id, (l_partkey % 6) * (l_suppkey % 6) AS class_id,
   l_returnflag, l_linestatus, l_shipdate FROM lineitem),
  scored AS (SELECT *, objectness * sqrt(greatest(w * h, 0)) AS a, -(q0/(q0+q1+q2+q3)*ln(q0/(q0+q1+q2+q3)) + q1/(q0+q1+q2+q3)*ln(q1/(q0+q1+q2+q3)) + q2/(q0+q1+q2+q3)*ln(q2/(q0+q1+q2+q3)) + q3/(q0+q1+q2+q3)*ln(q3/(q0+q1+q2+q3))) / ln(4) AS u,
   cx - w/2 AS x1, cy - h/2 AS y1, cx + w/2 AS x2, cy + h/2 AS y2 FROM proposals),
@@ -39,13 +39,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pos, image_id, box (cx, cy, w, h), objectness, q (posterior weights), vec_id, class_id, returnflag, linestatus."""
     p = read(spark, sf_dir, "lineitem")
+    vectors = max(read(spark, sf_dir, "embeddings").count(), 1)
     number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_ORDER))
     mod = lambda c, k: (F.col("l_partkey") * c % k + 1).cast("double")
     return p.select(
         (F.col("l_orderkey") * POSITIONS + number - 1).alias("pos"), F.col("l_orderkey").alias("image_id"),
         ((F.col("l_partkey") % 97).cast("double") / 97).alias("cx"), ((F.col("l_suppkey") % 89).cast("double") / 89).alias("cy"),
         (F.lit(0.05) + F.col("l_quantity") / 100).alias("w"), (F.lit(0.05) + F.col("l_tax") * 5).alias("h"), (F.lit(0.5) + F.col("l_discount") * 5).alias("objectness"),
-        F.array(mod(1, 13), mod(2, 13), mod(3, 13), mod(5, 13)).alias("q"), (F.col("l_partkey") % 500).alias("vec_id"),
+        F.array(mod(1, 13), mod(2, 13), mod(3, 13), mod(5, 13)).alias("q"), (F.col("l_partkey") % vectors).alias("vec_id"),
         ((F.col("l_partkey") % 6) * (F.col("l_suppkey") % 6)).alias("class_id"), "l_returnflag", "l_linestatus", "l_shipdate",
     )
 
