@@ -10,6 +10,10 @@ from acquira.functions.numbers import ratio
 from acquira.sources.shared import written
 
 
+#: Budgets whose walk is summed in one task.
+FEW = 100_000
+
+
 def spend(df: DataFrame, key: str, cost: DataFrame, *, budget: int, excluded: DataFrame | None = None) -> DataFrame:
     """image_id, anchor_pos, seq, cost, cum_cost of the images that a walk down ``key`` (ties by position) opens.
 
@@ -20,6 +24,10 @@ def spend(df: DataFrame, key: str, cost: DataFrame, *, budget: int, excluded: Da
     if excluded is not None:
         first = first.join(excluded.select("image_id"), "image_id", "left_anti")
     priced = first.join(cost, "image_id").select("image_id", F.col("a.k").alias("k"), F.col("a.pos").alias("anchor_pos"), "cost")
+    if budget <= FEW:  # rows after the budget-th can't be paid, and so few are summed in one task
+        in_order = Window.orderBy("k", "anchor_pos").rowsBetween(Window.unboundedPreceding, 0)
+        walk = priced.orderBy("k", "anchor_pos").limit(max(budget, 0)).withColumns({"seq": F.count("*").over(in_order), "cum_cost": F.sum("cost").over(in_order)})
+        return written(walk.where(F.col("cum_cost") <= budget).select("image_id", "anchor_pos", "seq", "cost", "cum_cost"))
     priced = written(priced)
     n = priced.count()
     if n > budget >= 1:  # rows after the budget-th can't be paid; ties of its key stay

@@ -9,11 +9,12 @@ from acquira.functions import boxes, numbers, text, vec
 from acquira.operators import gates, ledger
 from acquira.plans.registry import query
 from acquira.sources import tables as t
+from acquira.sources.shared import written
 
 
-def scored(spark, sf) -> DataFrame:
-    """Proposals with a (admissibility) and u (entropy)."""
-    p = t.proposals(spark, sf)
+def scored(spark, sf, p: DataFrame | None = None) -> DataFrame:
+    """Proposals (those given, if so) with a (admissibility) and u (entropy)."""
+    p = p if p is not None else t.proposals(spark, sf)
     return p.withColumns({"a": boxes.admissibility(F.col("objectness"), F.col("w"), F.col("h")), "u": vec.entropy(vec.rows_to_one(F.col("q")))})
 
 
@@ -213,9 +214,11 @@ def by_admissibility(spark, sf) -> DataFrame:
     return scored(spark, sf).withColumn("a", F.round("a", 9))
 
 
-def opened(spark, sf) -> DataFrame:
-    p = t.proposals(spark, sf)
-    return ledger.spend(by_admissibility(spark, sf), "a", t.image_cost(p, t.image_counts(t.oracle(p))), budget=600)
+def opened(spark, sf, p: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """Images that a budget of 600 opens down the ranking by admissibility; of proposals and counts that are written already, if given."""
+    p = p if p is not None else written(t.proposals(spark, sf))
+    counts = counts if counts is not None else t.image_counts(t.oracle(p))
+    return ledger.spend(scored(spark, sf, p).select("pos", "image_id", F.round("a", 9).alias("a")), "a", t.image_cost(p, counts), budget=600)
 
 
 @query(LEDGER + "SELECT image_id, anchor_pos, seq, cost, cum_cost FROM opened")
@@ -247,10 +250,11 @@ def discovery(spark, sf):
 @query(nms_sql(f", g AS (SELECT pos, image_id, a, row_number() OVER (ORDER BY round(a, 9) DESC, pos) AS rn, count(*) OVER () AS n FROM scored JOIN kept USING (pos)), gated AS (SELECT * FROM g WHERE rn <= greatest(CAST(round_even(n * CAST(0.3 AS DOUBLE), 0) AS BIGINT), 1)), f AS (SELECT image_id, min(rn) AS rn, arg_min(pos, rn) AS pos FROM gated GROUP BY image_id), r AS (SELECT f.*, sum(cost) OVER (ORDER BY rn) AS cum FROM f JOIN image_cost USING (image_id)), picks AS (SELECT gated.pos FROM gated JOIN r ON gated.image_id = r.image_id WHERE cum <= 600) SELECT {DISCOVERY} FROM oracle o JOIN picks USING (pos) LEFT JOIN class_groups g2 ON g2.class_name = o.class_name"), base=False)
 def flagship(spark, sf):
     """Suppression, gate, ranking, ledger and discovery: what a budget of 600 buys and what it holds."""
-    d = scored(spark, sf).withColumn("a", F.round("a", 9))
-    gated = gates.suppress_then_gate(d, "a", share=0.3, suppress_key="objectness").where("in_gate")
-    o = t.oracle(t.proposals(spark, sf))
-    counts = t.image_counts(o)
+    p = written(t.proposals(spark, sf))
+    d = scored(spark, sf, p).select("pos", "image_id", "cx", "cy", "w", "h", "objectness", F.round("a", 9).alias("a"))
+    gated = gates.suppress_then_gate(d, "a", share=0.3, suppress_key="objectness").where("in_gate").select("pos", "image_id", "a")
+    o = t.oracle(p)
+    counts = written(t.image_counts(o))
     bought = ledger.spend(gated, "a", t.image_cost(d, counts), budget=600)
     picks = gated.join(bought.select("image_id"), "image_id", "left_semi").select("pos")
     return ledger.discovery(o.join(picks, "pos", "left_semi"), t.class_groups(counts)).withColumn("proposals_per_object", F.round("proposals_per_object", 6))
@@ -260,9 +264,10 @@ def flagship(spark, sf):
 , per AS (SELECT image_id, max(CASE WHEN told THEN 1 ELSE 0 END) AS usable, coalesce(sum(n), 0) AS labelled, coalesce(sum(CASE WHEN told THEN n END), 0) AS supervised, coalesce(sum(CASE WHEN told AND grp = 'head' THEN n END), 0) AS head, coalesce(sum(CASE WHEN told AND grp = 'medium' THEN n END), 0) AS medium, coalesce(sum(CASE WHEN told AND grp = 'tail' THEN n END), 0) AS tail FROM d GROUP BY image_id)
  SELECT count(*) AS images, count(CASE WHEN usable = 0 THEN 1 END) AS images_barren, CAST(sum(labelled) AS BIGINT) AS boxes_labelled, CAST(sum(supervised) AS BIGINT) AS boxes_supervised, CAST(sum(head) AS BIGINT) AS boxes_head, CAST(sum(medium) AS BIGINT) AS boxes_medium, CAST(sum(tail) AS BIGINT) AS boxes_tail, CAST(sum(labelled) - sum(supervised) AS BIGINT) AS boxes_banked, round(CAST(sum(supervised) AS DOUBLE) / nullif(sum(labelled), 0), 6) AS supervised_share FROM per""")
 def supervision_ledger(spark, sf):
-    c = t.image_counts(t.oracle(t.proposals(spark, sf)))
+    p = written(t.proposals(spark, sf))
+    c = written(t.image_counts(t.oracle(p)))
     told = spark.createDataFrame([(f"C{i}",) for i in range(4)], "class_name string")
-    return ledger.supervision(c, opened(spark, sf), told, t.class_groups(c)).withColumn("supervised_share", F.round("supervised_share", 6))
+    return ledger.supervision(c, opened(spark, sf, p, c), told, t.class_groups(c)).withColumn("supervised_share", F.round("supervised_share", 6))
 
 
 @query(LEDGER + """, tasks AS (SELECT class_name, CASE WHEN class_pos < 8 THEN 0 ELSE class_pos - 7 END AS task FROM classes WHERE class_pos < 13)
