@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import io
 import json
-import tarfile
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from acquira.functions import boxes, vec
 from acquira.functions.text import canonical_name
+from acquira.sources import archives
 
 #: Cells of a result file that hold nothing.
 MISSING = ["", "—", "None", "nan", "NaN"]
@@ -20,19 +17,12 @@ _XML = "size struct<width:int,height:int,depth:int>, object array<struct<name:st
 
 
 def pool_to_parquet(spark: SparkSession, archive: str, out: str, version: str | None = None) -> None:
-    """A pool of named arrays (.npz, on the driver) as a table: one row a candidate, vectors as arrays, ``query`` the row's place.
+    """Pools of named arrays (.npz) as a table: one row a candidate, vectors as arrays, ``query`` the row's place.
 
-    Half floats become floats; an archive of another version is refused.
+    Half floats become floats; archives of another version are refused. Tasks read ranges of rows.
     """
-    with np.load(archive, allow_pickle=False) as z:
-        if version is not None and str(z["version"]) != version:
-            raise ValueError(f"{archive} has version {z['version']}, not {version}")
-        n = max(len(z[k]) for k in z.files if z[k].ndim)
-        cols = {k: z[k].astype(np.float32) if z[k].dtype == np.float16 else z[k] for k in z.files if z[k].ndim and len(z[k]) == n}
-    frame = pd.DataFrame({k: v.tolist() if v.ndim > 1 else v for k, v in cols.items()})
-    if "query" not in frame:
-        frame["query"] = np.arange(n)
-    spark.createDataFrame(frame).write.parquet(out)
+    d = archives.read_vectors(spark, archive, version=version)
+    (d.drop("row") if "query" in d.columns else d.withColumnRenamed("row", "query")).write.parquet(out)
 
 
 def read_pool(spark: SparkSession, path: str, *, split: str | None = None) -> DataFrame:
@@ -105,17 +95,9 @@ def image_classes(objects: DataFrame, total: int | None = None) -> DataFrame:
 
 
 def read_annotation_archive(spark: SparkSession, path: str) -> DataFrame:
-    """The same from tar archives of XML files; each archive is read by one task, member by member."""
-
-    def run(batches):
-        for rows in batches:
-            for content in rows["content"]:
-                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-                    for m in tar:
-                        if m.isfile() and m.name.endswith(".xml"):
-                            yield pd.DataFrame({"image_id": [m.name.rsplit("/", 1)[-1][:-4]], "content": [tar.extractfile(m).read().decode()]})
-
-    return _objects(spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "image_id string, content string"))
+    """The same from tar archives of XML files; an archive's headers are read first, then ranges of its members by tasks of their own."""
+    members = archives.tar_members(archives.tar_index(spark, path, ".xml"))
+    return _objects(members.select(F.regexp_extract("name", "([^/]*)\\.xml$", 1).alias("image_id"), F.decode("content", "UTF-8").alias("content")))
 
 
 def annotation_counts(objects: DataFrame, keep: list[str] | None = None) -> DataFrame:
