@@ -88,6 +88,13 @@ def _far(x: np.ndarray, centres: np.ndarray | None) -> np.ndarray:
     return np.full(len(x), np.inf) if centres is None or not len(x) else np.round(1 - (x @ centres.T).max(1), 9) + 0.0
 
 
+def without(df: DataFrame, images: list) -> DataFrame:
+    """df without the rows of images: those opened so far, one for each unit of a budget at most."""
+    if not images:
+        return df
+    return df.join(F.broadcast(df.sparkSession.createDataFrame([(i,) for i in images], df.select("image_id").schema)), "image_id", "left_anti")
+
+
 def k_centre(pool: DataFrame, *, budget: int, reference: np.ndarray | None = None, vector: str = "embedding", ahead: int = AHEAD) -> pd.DataFrame:
     """image_id, anchor, distance, cost in the order of opening: always the row farthest from what is covered.
 
@@ -98,7 +105,7 @@ def k_centre(pool: DataFrame, *, budget: int, reference: np.ndarray | None = Non
     centres = None if reference is None or not len(reference) else np.asarray(reference, float)
     left, out, more = budget, [], True
     while more:
-        shut = pool.where(~F.col("image_id").isin([x[0] for x in out]))
+        shut = without(pool, [x[0] for x in out])
         top = _distances(shut, centres, vector).orderBy(F.desc("far"), F.desc("tie"), "pos").limit(ahead).collect()
         if not top:
             break
@@ -216,7 +223,7 @@ def image_memory(counts: DataFrame, demand: Mapping[str, int], *, priority: list
     while any(missing.values()):
         want = F.create_map(*[F.lit(x) for c, m in missing.items() if m for x in (c, m)])
         meets = F.aggregate("held", F.lit(0).cast("long"), lambda s, h: s + F.least(h["n"], F.coalesce(F.element_at(want, h["class_name"]), F.lit(0))))
-        top = images.where(~F.col("image_id").isin(out)).withColumn("gain", meets).where("gain > 0").orderBy(F.desc("gain"), "image_id").limit(ahead).collect()
+        top = without(images, out).withColumn("gain", meets).where("gain > 0").orderBy(F.desc("gain"), "image_id").limit(ahead).collect()
         if not top:
             break
         # every image that isn't brought comes after the last of these, and gains only fall

@@ -12,6 +12,7 @@ from acquira.plans.core import by_admissibility, nms_sql, r6
 from acquira.plans.registry import query
 from acquira.plans.selection import gated_pool
 from acquira.sources import readers
+from acquira.sources.shared import written
 from acquira.sources import tables as t
 
 
@@ -81,13 +82,13 @@ def reference(spark, sf):
 
 @query()
 def distribution_aware_order(spark, sf):
-    pool = gated_pool(spark, sf).withColumn("entropy", F.round("u", 9)).select("pos", "entropy", "image_id", "cost", "embedding").persist()
+    pool = written(gated_pool(spark, sf).withColumn("entropy", F.round("u", 9)).select("pos", "entropy", "image_id", "cost", "embedding"))
     return allocation.order(pool, reference(spark, sf), budget=200)
 
 
 @query()
 def distribution_aware_rounds(spark, sf):
-    pool = gated_pool(spark, sf).withColumn("entropy", F.round("u", 9)).select("pos", "entropy", "image_id", "cost", "embedding").persist()
+    pool = written(gated_pool(spark, sf).withColumn("entropy", F.round("u", 9)).select("pos", "entropy", "image_id", "cost", "embedding"))
     return spark.createDataFrame(allocation.rounds(pool, reference(spark, sf), budget=120, n=2), "round int, image_id long, cost long")
 
 

@@ -135,14 +135,14 @@ def greedy_batch(spark, sf):
 
 @query()
 def emit_order(spark, sf):
-    pool = gated_pool(spark, sf).withColumn("entropy", F.round("u", 9)).select("pos", "cluster", "entropy", "image_id", "cost", "l_linestatus").persist()
+    pool = written(gated_pool(spark, sf).withColumn("entropy", F.round("u", 9)).select("pos", "cluster", "entropy", "image_id", "cost", "l_linestatus"))
     q = {r.cluster: r.quota for r in sampling.quotas(pool.groupBy("cluster").agg(F.count("*").alias("candidates"), F.count(F.when(F.col("l_linestatus") == "F", 1)).alias("references")), budget=200).collect()}
     return sequential.emitted(pool, q)
 
 
 @query()
 def set_cover_memory(spark, sf):
-    c = counts(spark, sf).persist()
+    c = written(counts(spark, sf))
     n = {r.class_name: r.n for r in c.groupBy("class_name").agg(F.sum("n").alias("n")).orderBy("class_name").collect()}
     return spark.createDataFrame(pd.DataFrame({"image_id": sequential.image_memory(c, sequential.power_allocation(n, total=200, alpha=0.5))}), "image_id long")
 
