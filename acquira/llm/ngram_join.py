@@ -12,7 +12,8 @@ each, and the same of their prefixes.
    which are the groups from then on (cut, if large), so the members of a large cluster make no rows for each other afterwards.
 2. *Matrix.* In every column with more than one component the nodes of smaller components meet the groups of larger ones. Summed over
    the columns, a node's entries that a group has too bound the overlap: prefixes of similar sets have much more than one shingle in
-   common, unless their sizes differ much. What meets often enough visits.
+   common, unless their sizes differ much. What meets often enough visits. In a column with more than SEVERAL components nodes visit
+   bundles at once: of the nodes of small components that met the same hubs.
 
 All visits, those of step 1 too, take the same way (``matched``). *Bounds:* the visitor's prefix against the stored union of prefixes;
 what that leaves, its whole set against the stored union. *Opening:* the groups that some visitor's bound leaves open are opened, and
@@ -39,6 +40,8 @@ CROWD, HUBS = 16, 2
 #: Members of a group, those of a group within a component, a group's shingles, and visitors that it is compared with at a time. None
 #: changes a result.
 MEMBERS, LARGE, CHUNK_SHINGLES, VISITORS = 64, 4096, 1 << 20, 128
+#: Components in a column from which on bundles are met in it, not single components; nodes from which on a component is in no bundle.
+SEVERAL, SMALL = 32, 64
 #: Meetings that are counted at a time.
 MEETINGS = 1 << 21
 #: Bytes of text whose shingles are made at a time.
@@ -116,7 +119,7 @@ _UNION = _schema(grp=_LONG, prefix=_BYTES, prefix_having=_BYTES, tokens=_BYTES,
 _PASSED = _schema(node=_LONG, grp=_LONG, own=_BOOL)
 #: What a column's entry holds: shingle, node, size of its set; in the second round also its component, its group and that one's rank.
 _ENTRY = np.dtype([("key", "<u8"), ("node", "<i8"), ("n", "<u4")])
-_LABELLED = np.dtype([("key", "<u8"), ("node", "<i8"), ("n", "<u4"), ("size", "<u4"), ("label", "<i8"), ("grp", "<i8")])
+_LABELLED = np.dtype([("key", "<u8"), ("node", "<i8"), ("n", "<u4"), ("size", "<u4"), ("label", "<i8"), ("grp", "<i8"), ("bundle", "<i8")])
 
 
 def _table(schema: T.StructType, *cols) -> pa.Table:
@@ -195,7 +198,8 @@ def needed_in_prefixes(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray
 def meet_groups(entries: np.ndarray, percent: int) -> list[np.ndarray]:
     """Node, group, how many of the node's entries lie in columns that the group has too, and how many a link needs at least.
 
-    In each column the nodes meet the groups of larger components (of equal ones, those with the larger label).
+    In each column the nodes meet the groups of larger components (of equal ones, those with the larger label). In a column with more
+    than SEVERAL components they meet bundles, each its own too, and need nothing: such meetings all visit.
     """
     entries = entries[np.lexsort((entries["node"], entries["grp"], entries["label"], entries["size"], entries["key"]))]
     total = [np.zeros(0, np.int64)] * 4
@@ -215,7 +219,10 @@ def meet_groups(entries: np.ndarray, percent: int) -> list[np.ndarray]:
     n = entries["n"].astype(np.int64)
     low, high = np.minimum.reduceat(n, groups), np.maximum.reduceat(n, groups)
     weight = np.zeros(len(at) - 1, np.int64)
+    several = np.bincount(column[new_label], minlength=len(at) - 1) > SEVERAL
     weight[mixed[first]] = times
+    bundled = _meet_bundles(entries[(several & (weight > 0))[column]], percent)
+    weight[several] = 0
     visitors = np.where(weight[column[groups]] > 0, label_at[groups] - at[:-1][column[groups]], 0)
     lo = 0
     upto = np.cumsum(visitors)
@@ -235,7 +242,26 @@ def meet_groups(entries: np.ndarray, percent: int) -> list[np.ndarray]:
         runs = _edges(met[0] ^ (met[1] * np.int64(-7046029254386353131))) if len(order) else np.zeros(1, np.int64)
         total = [met[0][runs[:-1]], met[1][runs[:-1]], np.add.reduceat(met[2], runs[:-1]), np.minimum.reduceat(met[3], runs[:-1])] if len(order) else met
         lo = hi
-    return total
+    return [np.concatenate(x) for x in zip(total, bundled, strict=True)]
+
+
+def _meet_bundles(entries: np.ndarray, percent: int) -> list[np.ndarray]:
+    """The same of columns with many components: nodes meet the bundles that don't come before their own."""
+    entries = entries[np.lexsort((entries["bundle"], entries["key"]))]
+    key, bundle, n = entries["key"], entries["bundle"], entries["n"].astype(np.int64)
+    if not len(entries):
+        return [np.zeros(0, np.int64)] * 4
+    blocks = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (bundle[1:] != bundle[:-1])]))
+    ends = np.concatenate([blocks[1:], [len(key)]])
+    low, high = np.minimum.reduceat(n, blocks), np.maximum.reduceat(n, blocks)
+    start = np.searchsorted(key, key[blocks])
+    met = [np.zeros((0, 2), np.int64)]
+    for b in range(len(blocks)):
+        i = np.arange(start[b], ends[b])
+        i = i[(100 * high[b] >= percent * n[i]) & (100 * n[i] >= percent * low[b])]
+        met.append(np.stack([entries["node"][i], np.full(len(i), bundle[blocks[b]])], 1))
+    met = np.unique(np.concatenate(met), axis=0)
+    return [met[:, 0], met[:, 1], np.ones(len(met), np.int64), np.zeros(len(met), np.int64)]
 
 
 def unite(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -443,8 +469,8 @@ def jaccard_components(df: DataFrame, *, size: int = 5, percent: int = 80, id_co
             with batch_rows(spark, 1000):
                 return scratch.write(ordered.mapInArrow(bound(test, kind), _PASSED))
 
-        own = homes.select("node", F.col("grp").alias("home"), "n", F.col("prefix").alias("tokens"))
-        callers = visits.join(own, "node").select("node", "grp", (F.col("home") == F.col("grp")).alias("own"), "n", "tokens")
+        callers = visits.join(nodes.select("node", "n", F.col("prefix").alias("tokens")), "node")
+        callers = callers.join(homes.select("node", "grp", F.lit(True).alias("own")), ["node", "grp"], "left").select("node", "grp", F.coalesce("own", F.lit(False)).alias("own"), "n", "tokens")
         near = passing(callers, asked, "prefix", "prefix_having", "<u4", lambda u, q, n, own: within_prefixes(*u, q, n, own, percent))
         left = scratch.write(shares(near))
         callers = near.join(sets, "node").select("node", "grp", "own", F.lit(0).cast("long").alias("n"), F.col("data").alias("tokens"))
@@ -463,25 +489,32 @@ def jaccard_components(df: DataFrame, *, size: int = 5, percent: int = 80, id_co
     homes = scratch.write(nodes.join(large, "alike", "left").select("block", "node", "n", "prefix", F.xxhash64("alike", hash_of("node", F.coalesce("cuts", F.lit(1)))).alias("grp")))
 
     # 1: the nodes of large columns visit the groups of their first
-    pairs = packets.where("large").groupBy("part").applyInArrow(lambda t: _table(_PAIR, *meet_hubs(_entries(t, _ENTRY), percent).T), _PAIR).distinct()
+    pairs = scratch.write(packets.where("large").groupBy("part").applyInArrow(lambda t: _table(_PAIR, *meet_hubs(_entries(t, _ENTRY), percent).T), _PAIR).distinct())
     visits = scratch.write(pairs.join(homes.select(F.col("node").alias("hub"), "grp"), "hub").select("node", "grp").distinct())
     more = [] if visits.isEmpty() else [matched(visits, homes, "first")]
 
     # 2: what is in smaller components meets the groups of larger ones
     if more:
         labels = components(more[0], scratch=scratch)
+        # nodes of small components that met the same hubs are bundled
+        met = pairs.unionByName(pairs.select(F.col("hub").alias("node"), F.col("node").alias("hub")))
+        least = met.groupBy("node").agg(F.least("node", F.min("hub")).alias("least"))
+        wide = met.join(least.select(F.col("node").alias("hub"), "least"), "hub").groupBy("node").agg(F.min("least").alias("hub"))
         cuts = F.ceil(F.greatest(F.sum("n") / CHUNK_SHINGLES, F.count("*") / LARGE)).cast("int").alias("cuts")
         sized = labels.join(homes.select("node", "n"), "node").groupBy("label").agg(F.count("*").alias("size"), cuts)
         parted = homes.drop("grp").join(labels, "node", "left").join(sized, "label", "left").withColumns({"label": F.coalesce("label", "node"), "size": F.coalesce("size", F.lit(1)), "cuts": F.coalesce("cuts", F.lit(1))})
-        homes = scratch.write(parted.withColumn("grp", F.xxhash64("label", hash_of("node", F.col("cuts")))).drop("cuts"))
+        parted = parted.withColumn("grp", F.xxhash64("label", hash_of("node", F.col("cuts")))).drop("cuts").join(wide, "node", "left")
+        full = parted.where(F.col("size") < SMALL).groupBy("hub").agg(F.ceil(F.greatest(F.sum("n") / CHUNK_SHINGLES, F.count("*") / LARGE)).cast("int").alias("parts"))
+        bundle = F.when((F.col("size") < SMALL) & F.col("hub").isNotNull(), F.xxhash64("hub", hash_of("node", F.coalesce("parts", F.lit(1))), F.lit(1))).otherwise(F.col("grp"))
+        homes = scratch.write(parted.join(full, "hub", "left").withColumn("bundle", bundle).drop("hub", "parts"))
     else:
         labels = None
-        homes = scratch.write(homes.withColumns({"label": F.col("node"), "size": F.lit(1).cast("long"), "grp": F.xxhash64("node", F.lit(0))}))
+        homes = scratch.write(homes.withColumns({"label": F.col("node"), "size": F.lit(1).cast("long"), "grp": F.xxhash64("node", F.lit(0)), "bundle": F.xxhash64("node", F.lit(0))}))
 
     def relabel(t: pa.Table, r: pa.Table) -> pa.Table:
         if not len(t) or not len(r):
             return _none(_ROWS)
-        node, fields = r["node"].to_numpy(), {c: r[c].to_numpy() for c in ("label", "grp", "size")}
+        node, fields = r["node"].to_numpy(), {c: r[c].to_numpy() for c in ("label", "grp", "size", "bundle")}
         order = np.argsort(node)
         out = []
         for d in t["data"].to_pylist():
@@ -495,11 +528,12 @@ def jaccard_components(df: DataFrame, *, size: int = 5, percent: int = 80, id_co
             out.append(x.tobytes())
         return _table(_ROWS, t["block"].to_pylist(), t["part"].to_pylist(), out)
 
-    labelled = by(packets.select("block", "part", "data")).cogroup(by(homes.select("block", "node", "label", "grp", "size"))).applyInArrow(relabel, _ROWS)
+    labelled = by(packets.select("block", "part", "data")).cogroup(by(homes.select("block", "node", "label", "grp", "size", "bundle"))).applyInArrow(relabel, _ROWS)
     met = labelled.groupBy("part").applyInArrow(lambda t: _table(_MET, *meet_groups(_entries(t, _LABELLED), percent)), _MET)
     visits = scratch.write(met.groupBy("node", "grp").agg(F.sum("times").alias("times"), F.min("needed").alias("needed")).where("times >= needed").select("node", "grp"))
     if not visits.isEmpty():
-        more.append(matched(visits, homes, "second"))
+        every = homes.select("node", "grp", "n", "prefix").unionByName(homes.where("bundle <> grp").select("node", F.col("bundle").alias("grp"), "n", "prefix"))
+        more.append(matched(visits, every, "second"))
         labels = None
     of_set = ["n", "s1", "s2"]
     twice = with_words.groupBy("id").agg(F.min(F.struct(*of_set)).alias("a"), F.max(F.struct(*of_set)).alias("b")).where("a <> b").select("id")

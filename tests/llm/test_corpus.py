@@ -80,14 +80,16 @@ def test_jaccard_repeated_ids_with_different_texts(spark):
     assert got == [(5, 0, 5), (5, 56, 5), (5, 56, 5), (7, 57, 5), (9, 57, 5), (11, 1, 11)]
 
 
-@pytest.mark.parametrize("hubs, chunk, visitors", [(1, 64, 2), (2, 1 << 20, 30)])
-def test_jaccard_clusters_of_near_copies(spark, monkeypatch, hubs, chunk, visitors):
+@pytest.mark.parametrize("hubs, chunk, visitors, several", [(1, 64, 2, 2), (2, 1 << 20, 30, 32), (1, 1 << 20, 5, 1)])
+def test_jaccard_clusters_of_near_copies(spark, monkeypatch, hubs, chunk, visitors, several):
     """Clusters whose members are at about the similarity, so that many links decide and many fail; groups in several chunks."""
     monkeypatch.setattr(ngram_join, "HUBS", hubs)
     monkeypatch.setattr(ngram_join, "CHUNK_SHINGLES", chunk)
     monkeypatch.setattr(ngram_join, "MEMBERS", visitors)
     monkeypatch.setattr(ngram_join, "CROWD", 3)
     monkeypatch.setattr(ngram_join, "LARGE", 7)
+    monkeypatch.setattr(ngram_join, "SEVERAL", several)
+    monkeypatch.setattr(ngram_join, "SMALL", 6)
     monkeypatch.setattr(ngram_join, "MEETINGS", 50)
     monkeypatch.setattr(ngram_join, "VISITORS", visitors)
     rng, rows = random.Random(11), []
