@@ -53,7 +53,7 @@ class Cells:
         self.spark, self.compared = rows.sparkSession, 0
         self.n = rows.count()
         if pivots is None:
-            number = min(MOST_PIVOTS, int(np.ceil(np.sqrt(self.n))))
+            number = min(MOST_PIVOTS, int(np.ceil(np.sqrt(self.n)))) if self.n > PART_ROWS else 1  # what one task compares is one cell
             pivots = directions(rows.orderBy(F.xxhash64("k"), "k").limit(max(number, 1)).select("v").toArrow().column(0), False)
         self.pivots = pivots
         self.shared = shared = self.spark.sparkContext.broadcast(pivots)
@@ -205,6 +205,8 @@ def knn(df: DataFrame, reference: DataFrame, *, k: int, id_col: str = "vec_id",
         return asked.select(F.col("id").alias(id_col), F.array().cast(_NEAR).alias("near")), cells
     askers = asked.where("v IS NOT NULL").select("q", "v")
     first = written(merged(cells.meet(askers, home, compare, found)))
+    if len(cells.pivots) == 1:
+        return asked.join(first, "q", "left").select(F.col("id").alias(id_col), F.coalesce("near", F.array().cast(_NEAR)).alias("near")), cells
     bound = first.select("q", F.when(F.size("near") >= k, F.element_at("near", -1)["far"]).otherwise(1.0).alias("far"))
     second = cells.meet(written(askers.join(bound, "q")), further, compare, found)
     near = merged(first.unionByName(second))
