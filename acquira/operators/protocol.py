@@ -55,9 +55,9 @@ def coherence(df: DataFrame, method: str, *, minimum: int = 5, eps: float = 0.25
     """key, g: whether a row has support around it.
 
     off: 1 for all; binary: in a cluster of the minimum size; density: in a DBSCAN cluster of the top share by ``score`` (rows outside
-    it have 0); continuous: 1 / (1 + distance to the k-th neighbour over its median).
+    it have 0); continuous: 1 / (1 + distance to the k-th neighbour over its median), 1 for all where there are k rows or fewer.
     """
-    from acquira.operators import clusters, gates, research
+    from acquira.operators import clusters, gates, terms
     from acquira.sources.shared import written
 
     if method == "off":
@@ -65,7 +65,10 @@ def coherence(df: DataFrame, method: str, *, minimum: int = 5, eps: float = 0.25
     if method == "binary":
         return gates.noise_gate(df, minimum=minimum).select(key, F.col("gate").cast("double").alias("g"))
     if method == "continuous":
-        return research.continuous(df, k=k, key=key, vector="embedding")
+        if df.count() <= k:
+            return df.select(key, F.lit(1.0).alias("g"))
+        d = written(terms.kth_distance(df, df, k=k, itself=True, key=key))
+        return d.select(key, (1 / (1 + F.col("distance") / (ranking.quantile(d, "distance", 0.5) or 1.0))).alias("g"))
     if method == "density":
         d = written(ranking.top_share(df, score, key, share, "_in"))
         found = clusters.dbscan(d.where("_in"), eps=eps, minimum=minimum, key=key)
